@@ -1,0 +1,32 @@
+"""Where intermediate results live, so that lost executors cost a re-read and not a re-run."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset (tests on one machine) a temporary folder is made.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="terracell-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once with ``checkpoint()``; Spark removes its files when they are no longer used."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import decontamination, line_dedup, mixing, pii, secrets, telephony
 
 _QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_pii": pii.op5_pii,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_telephony": telephony.op10_telephony,
 }
-_SQL = {"op3_line_dedup": line_dedup.OP3_SQL}
+_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op9_decontamination": decontamination.OP9_SQL}
 
 
 def queries() -> dict:

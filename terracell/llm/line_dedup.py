@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
+
 #: Characters stripped from both ends of a line (fixed values: \x20, \x09-\x0D).
 _STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys that may be broadcast: those with more than this fraction (1/HOT_KEYS) of all repeated lines.
+HOT_KEYS = 1000
 #: Lines in one word of a bitmap.
 WORD_BITS = 32
 
@@ -58,11 +62,18 @@ def line_keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     streamed = held.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.col("doc_id").desc())
-    repeated = (
-        streamed.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
-    )
-    dropped = lines.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    repeated = cut(streamed.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs))
+    # At most HOT_KEYS keys can each hold more than 1/HOT_KEYS of the repeated lines, so these are broadcast, and
+    # their lines are dealt by document and position; every other key is a small group for the shuffled join.
+    total = repeated.agg(F.sum("docs")).first()[0] or 0
+    is_hot = F.col("docs") * HOT_KEYS > F.lit(total)
+    hot = repeated.where(is_hot).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct("keeper").alias("by_hot"))
+    rest = repeated.where(~is_hot).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.struct("keeper").alias("by_rest"))
+    lines = lines.join(F.broadcast(hot), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
+    lines = lines.withColumn("dealt", F.when(F.col("by_hot").isNull(), F.col("h1")).otherwise(F.xxhash64("_row", "pos")))
+    lines = lines.join(rest, (F.col("dealt") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left")
+    keeper = F.coalesce("by_hot", "by_rest")
+    dropped = lines.where(keeper.isNotNull() & ~F.col("doc_id").eqNullSafe(keeper["keeper"]))
     words = dropped.groupBy("doc_id", "_row", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1, pos % {WORD_BITS})")).alias("bits")
     )

@@ -125,20 +125,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    """Maximal runs of word bytes inside each document."""
-    n = len(data)
-    inside = is_word[data]
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    before[edges] = False
-    start = np.flatnonzero(inside & ~before)
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    after[edges[edges > 0] - 1] = False
-    end = np.flatnonzero(inside & ~after) + 1
-    first = np.searchsorted(start, offsets)
+def run_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the byte runs ``data[start:end]``, which must be ordered and disjoint."""
     code = np.empty(len(start), U64)
     at = 0
     while at < len(start):
@@ -153,6 +141,24 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.n
         s, e = start[at:to] - lo, end[at:to] - lo
         code[at:to] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(U64))
         at = to
+    return code
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> Words:
+    """Maximal runs of word bytes inside each document."""
+    n = len(data)
+    inside = is_word[data]
+    before = np.zeros(n, bool)
+    before[1:] = inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < n]
+    before[edges] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.zeros(n, bool)
+    after[:-1] = inside[1:]
+    after[edges[edges > 0] - 1] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    first = np.searchsorted(start, offsets)
+    code = run_codes(data, start, end, fold)
     return Words(start, end, code, first)
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows used for fitting, per class at most (a documented bound; the rows are those with the smallest hashes of their ids).
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 5000
@@ -278,7 +279,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             scores = [m.score(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
-    return base.mapInArrow(run, base.schema.add("score", "double"))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

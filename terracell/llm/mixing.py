@@ -143,6 +143,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def take_copies(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with their own columns, each as often as :func:`mix_sources` takes it."""
+    decided = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (word_count(docs["text"]) == F.col("_size"))
+    rows = docs.join(decided, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return rows.drop("_copy")
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query: words taken from every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, pii, secrets, telephony, token_ids, toxicity
+from . import decontamination, line_dedup, mixing, ngram_join, pii, secrets, telephony, token_ids, toxicity
 
 _QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_pii": pii.op5_pii,
     "op6_token_ids": token_ids.op6_token_ids,
     "op8_secrets": secrets.op8_secrets,

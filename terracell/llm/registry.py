@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, ngram_join, pii, secrets, telephony, token_ids, toxicity
+from . import decontamination, line_dedup, mixing, ngram_join, pii, secrets, substring_dedup, telephony, token_ids, toxicity
 
 _QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,11 +11,12 @@ _QUERIES = {
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_pii": pii.op5_pii,
     "op6_token_ids": token_ids.op6_token_ids,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_secrets": secrets.op8_secrets,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_telephony": telephony.op10_telephony,
 }
-_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op9_decontamination": decontamination.OP9_SQL}
+_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op9_decontamination": decontamination.OP9_SQL}
 
 
 def queries() -> dict:

@@ -17,8 +17,8 @@ STEPS = 15
 
 def inverse(x: Column, y: Column) -> tuple[Column, Column]:
     """Longitude and latitude in degrees; NULL outside the ellipse."""
-    s = y / (RADIUS * _ROOT2)
-    theta = F.when(F.abs(s) <= 1, F.asin(F.when(F.abs(s) <= 1, s)))
+    # Outside, the arc sine is NaN, and so is the longitude; NaN is above every bound.
+    theta = F.asin(y / (RADIUS * _ROOT2))
     lat = F.degrees(F.asin(F.least(F.greatest((2 * theta + F.sin(2 * theta)) / math.pi, F.lit(-1.0)), F.lit(1.0))))
     lon = F.degrees(F.try_divide(x * math.pi, F.cos(theta) * (2 * _ROOT2 * RADIUS)))
     inside = F.abs(lon) <= 180

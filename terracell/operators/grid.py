@@ -13,6 +13,8 @@ MAX_CELLS = 50_000
 
 def to_xy(grid: GridSpec, col: Column, row: Column) -> tuple[Column, Column]:
     a, b, c, d, e, f = grid.transform
+    if not b and not d:
+        return col * a + c, row * e + f
     return F.lit(c) + col * a + row * b, F.lit(f) + col * d + row * e
 
 
@@ -22,6 +24,8 @@ def to_colrow(grid: GridSpec, x: Column, y: Column) -> tuple[Column, Column]:
     det = a * e - b * d
     if det == 0:
         raise ValueError("the grid's transform has no inverse")
+    if not b and not d:  # each side once, as callers expand these expressions
+        return (x - c) / a, (y - f) / e
     dx, dy = x - c, y - f
     return (dx * e - dy * b) / det, (dy * a - dx * d) / det
 

@@ -26,7 +26,7 @@ _GEOGRAPHIC, _PROJECTED, _CITATION = 2048, 3072, 1026
 def decode(blob: bytes) -> tuple[np.ndarray, GridSpec, float | None]:
     """(bands, rows, cols) array, grid and NoData of the first image of a file."""
     order = {b"II": "<", b"MM": ">"}.get(blob[:2])
-    if order is None or struct.unpack_from(order + "H", blob, 2)[0] != 42:
+    if order is None or len(blob) < 8 or struct.unpack_from(order + "H", blob, 2)[0] != 42:
         raise ValueError("not a classic TIFF file")
     tags = _tags(blob, order)
     w, h = tags[WIDTH][0], tags[HEIGHT][0]

@@ -44,6 +44,8 @@ def bands_and_rows(threshold: float, recall: float = RECALL, max_hashes: int = M
     best = (max_hashes, 1)
     for rows in range(1, max_hashes + 1):
         p = threshold**rows
+        if p < 1e-9:
+            break
         bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
         if bands * rows <= max_hashes:
             best = (bands, rows)
@@ -239,7 +241,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     Rows with a null id stay, as do rows that repeat the id of a document that stays.
     """
     lost = ngram_classes(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_kept"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(lost, F.col("_kept") == F.col("_lost"), "left_anti").select("row.*")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def _material(joined: DataFrame, window: int, k: int, hot: list[int]) -> DataFra
                 np.add.at(mark, first_window[owner] + end, -1)
                 use = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 doc = np.searchsorted(w.first, start[use], "right") - 1
-                docs.append(c.column("doc_id").to_numpy()[doc])
+                docs.append(c.column("doc_id").fill_null(0).to_numpy()[doc])
                 ats.append(start[use] - w.first[doc])
                 anchor.append(low[use])
                 code.append(windows(w, window)[1][use])

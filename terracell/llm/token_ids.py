@@ -113,7 +113,8 @@ def decode_pfor(blob: bytes, first_block: int = 0, last_block: int | None = None
     low, width, counts, start = take("<u4", blocks), take("u1", blocks), take("<u2", blocks), take("<u8", blocks + 1).astype(np.int64)
     words = take("<u4", int(start[-1]))
     position, values = take("<u2", outliers), take("<u4", outliers)
-    a, b = first_block, blocks if last_block is None else min(last_block, blocks)
+    a = min(first_block, blocks)
+    b = blocks if last_block is None else max(a, min(last_block, blocks))
     out = np.zeros((b - a, BLOCK), np.uint32)
     for w in np.unique(width[a:b]):
         if w:

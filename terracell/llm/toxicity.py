@@ -35,6 +35,7 @@ THREATS = "kill murder hurt destroy beat burn shoot stab hang töten umbringen t
 TARGETS = "you your yourself he she him her they them these those people du dich ihr euch sie tu toi vous ils elles tú usted ellos ellas".split()
 NEGATIONS = "not never isn aren don doesn nicht kein keine niemals jamais aucun nunca tampoco jamás".split()
 REPORTS = "said says called wrote claimed quoted sagte schrieb nannte dit écrit disait dijo escribió llamó".split()
+THREAT_WEIGHT = 2.0
 INSULTS = "idiot moron stupid scum trash pathetic worthless disgusting loser clown".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,8 +69,11 @@ def negation(reach: int = 2) -> Transducer:
 
 
 def target() -> Transducer:
-    """Somebody addressed earlier in the clause strengthens insults; threats hardly count without."""
-    return Transducer({(0, "target"): (1, "other", 1.0), (0, "threat"): (0, "threat", 0.1), (1, "insult"): (1, "insult", 1.2), (1, "threat"): (1, "threat", 1.0)})
+    """Somebody addressed earlier in the clause strengthens insults; a threat hardly counts until somebody is addressed, before it or after."""
+    return Transducer({
+        (0, "target"): (1, "other", 1.0), (0, "threat"): (2, "threat", 0.1), (1, "insult"): (1, "insult", 1.2), (1, "threat"): (1, "threat", 1.0),
+        (2, "threat"): (2, "threat", 0.1), (2, "target"): (1, "threat", 0.9),
+    })
 
 
 def series() -> Transducer:
@@ -100,7 +104,7 @@ def compose(parts: list[Transducer]) -> dict[tuple[int, str], tuple[int, float]]
     return table
 
 
-GRAMMAR = compose([reported_speech(), negation(), target(), series()])
+GRAMMAR = compose([target(), reported_speech(), negation(), series()])
 
 
 def entries(word: str) -> list[str]:
@@ -121,7 +125,7 @@ class Model:
         for label, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
             for w in ws:
                 self.known[w] = (label, 0.0)
-        self.threats = dict.fromkeys(THREATS, 2.0)
+        self.threats = dict.fromkeys(THREATS, THREAT_WEIGHT)
 
     def label(self, word: str) -> tuple[str, float]:
         """Label and weight of one word."""
@@ -161,7 +165,8 @@ class Model:
                 for w in ws:
                     label, weight = self.label(w)
                     state, factor = GRAMMAR[state, label]
-                    total += factor * weight
+                    # A target that completes a threat has no weight of its own.
+                    total += factor * (weight or THREAT_WEIGHT)
                 if total:
                     scores.append(total)
         return scores, len(words)
@@ -258,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, m
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     hashed = usable.withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     chosen = hashed.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).unionByName(hashed.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean))
-    rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
     return fit((r["text"], r["toxic"]) for r in rows)
 

@@ -8,15 +8,18 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terracell import ship
 from terracell.llm import decontamination, mixing, ngram_join, store, token_ids, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents with a score of 0.3 or more go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_documents(docs.withColumnsRenamed({"score": "_score"}), model)
-    return scored.where(scored["score"] < toxicity.THRESHOLD).drop("score").withColumnsRenamed({"_score": "score"})
+    # The row travels as a struct, so its columns may have any names.
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return toxicity.score_documents(rows, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship.package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = store.new_path(spark, f"stage-{name}")

@@ -18,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pandas._libs.hashtable import Int64Factorizer
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ SEGMENT_IDS = 1 << 18
 #: End of a document (fixed value of the contract).
 END_ID = 2
 #: Distinct text pieces whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 800_000
 
 _HEADER = struct.Struct("<4sHHQII")
 
@@ -160,14 +160,17 @@ class Encoder:
         return np.array([i for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids], np.uint32)
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        # An open-addressing table that numbers pieces in order of appearance; number 0 is the end of a document.
+        self.numbers = Int64Factorizer(CACHE_PIECES)
+        self.numbers.factorize(np.array([END_ID], np.int64))
         self.length, self.total = np.zeros(1 << 16, np.int32), 1
         self.begin = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 1
         self.ids[0], self.length[0] = END_ID, 1  # slot 0 ends a document
 
-    def _learn(self, codes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of the pieces with the next numbers."""
         simple = [i for i, p in enumerate(pieces) if _SIMPLE.fullmatch(p) and "<|" not in p]
         # A line feed between such pieces is always an id of its own, so they are encoded in one call and parted there.
         joined = self._flat(["\n".join(pieces[i] for i in simple)])
@@ -180,17 +183,17 @@ class Encoder:
         order = np.array(simple + alone, np.int64)
         size = np.concatenate([part, np.fromiter(map(len, found), np.int64, len(found))]).astype(np.int64)
         flat = np.concatenate([joined[joined != self.newline] if simple else joined, np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))]).astype(np.uint32)
-        codes = [codes[i] for i in order.tolist()]
+        count = len(pieces)
+        slot = self.total + order
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.total + len(codes) > len(self.begin):
+        while self.total + count > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[self.total : self.total + len(codes)] = self.used + np.cumsum(size) - size
-        self.length[self.total : self.total + len(codes)] = size
-        self.slot.update(zip(codes, range(self.total, self.total + len(codes))))
+        self.begin[slot] = self.used + np.cumsum(size) - size
+        self.length[slot] = size
         self.used += len(flat)
-        self.total += len(codes)
+        self.total += count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, each with the end id; ids of each document)."""
@@ -217,19 +220,15 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         codes = run_codes(data, start, end) if len(start) else np.zeros(0, np.uint64)
-        which, distinct = pd.factorize(codes)
-        if len(self.slot) > CACHE_PIECES:
+        if self.total > CACHE_PIECES:
             self._forget()
-        keys = distinct.tolist()
-        slot = self.slot
-        new = [i for i, k in enumerate(keys) if k not in slot]
-        if new:
-            seen = np.full(len(keys), -1, np.int64)
-            seen[which[::-1]] = np.arange(len(which))[::-1]
+        slots = self.numbers.factorize(codes.view(np.int64))
+        # Numbers grow with each first appearance, so new pieces are where the running maximum rises.
+        highest = np.maximum.accumulate(np.concatenate(([self.total - 1], slots)))
+        new = np.flatnonzero(highest[1:] > highest[:-1])
+        if len(new):
             raw = data.tobytes()
-            s, e = start[seen[new]].tolist(), end[seen[new]].tolist()
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(s, e)])
-        slots = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))[which]
+            self._learn([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
         # Documents without bytes share the start of the next one; their only id is the end id.
         doc_first = np.searchsorted(start, offsets)
         slots = np.insert(slots, doc_first[1:], 0)

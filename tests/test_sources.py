@@ -116,3 +116,18 @@ def test_streamed_state(spark, tmp_path):
     q.stop()
     got = {r["k"]: (r["total"], r["n"]) for r in spark.read.parquet(str(tmp_path / "state" / "version=1")).collect()}
     assert got == {"a": (9.0, 3), "b": (0.0, 0)}
+
+
+def test_exports(spark, tmp_path):
+    from terracell.sources import sinks
+
+    rows = [("a", r, c, float(r * 4 + c)) for r in range(4) for c in range(4)]
+    df = spark.createDataFrame(rows, "layer string, row int, col int, value double")
+    out = str(tmp_path / "export")
+    assert sinks.export(df, out) and not sinks.export(df.limit(0), out)
+    back = spark.read.parquet(out)
+    assert back.count() == 16 and dict(back.dtypes)["value"] == "float"
+    grid = GridSpec.square("LOCAL", 0.0, 0.0, 1.0, 4, 4)
+    levels = str(tmp_path / "levels")
+    assert sinks.export_with_overviews(df, grid, levels) == 3
+    assert spark.read.parquet(f"{levels}/level=2").first()["value"] == 7.5

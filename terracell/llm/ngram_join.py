@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import cut
-from .vectext import U64, Words, _WORD_POWERS, chunks, mix64, space_table, text_buffers, windows, words
+from .vectext import chunks, mix64, space_table, text_buffers, tidy, U64, windows, _WORD_POWERS, words, Words
 
 _IS_WORD = space_table()
 #: Words in an n-gram and similarity of a link (fixed values of the contract).
@@ -33,8 +33,9 @@ NGRAM, SIMILARITY = 5, 0.8
 RECALL = 0.999
 #: Hash functions a document is signed with at most.
 MAX_HASHES = 128
-#: Documents of a candidate component that are verified together; larger ones are split into blocks of about this size.
-BLOCK_DOCS = 1024
+#: Documents in a block of a candidate component; components of more than 16 blocks get larger blocks, up to four times as large.
+#: A task verifies one block or two, so this bounds its memory; larger blocks mean fewer copies of a document in the shuffle.
+BLOCK_DOCS = 256
 #: n-grams that are columns of one matrix product.
 _SLAB = 4096
 
@@ -184,7 +185,7 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
             for c in chunks(b, "text"):
                 yield _signatures(c, ngram, bands, rows)
 
-    signed = cut(source.mapInArrow(sign, "doc_id long, fp1 long, fp2 long, has_words boolean, bands array<long>"))
+    signed = cut(source.mapInArrow(tidy(sign), "doc_id long, fp1 long, fp2 long, has_words boolean, bands array<long>"))
     usable = signed.where("has_words and doc_id is not null")
     # Copies: one representative for each set of n-grams (the bands follow from the set).
     sets = cut(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")).dropDuplicates(["rep"]))
@@ -192,7 +193,9 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     buckets = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     edges = members.join(cut(buckets), "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     candidates = cut(connected_components(edges))
-    per = cut(candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block_docs).cast("int")))
+    per = cut(candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn(
+        "blocks", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(block_docs)), F.lit(4 * block_docs))).cast("int")
+    ))
     most = per.agg(F.max("blocks")).first()[0] or 0
     # Few components are larger than a block, each with more than block_docs documents.
     placed = candidates.join(per.select("component", "blocks"), "component").join(sets.select(F.col("rep").alias("node"), "copies"), "node")
@@ -215,7 +218,7 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
             links, label = _verify(ids, t.column("block").to_numpy(), t.column("copies").to_numpy(), grams, i, j, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(label)], ["node", "links", "label"])
 
-    verified = cut(gathered.select("node", "text", "component", "copies", "block", "i", "j").mapInArrow(verify, "node long, links long, label long"))
+    verified = cut(gathered.select("node", "text", "component", "copies", "block", "i", "j").mapInArrow(tidy(verify), "node long, links long, label long"))
     if most > 1:
         joined = connected_components(verified.select(F.col("node").alias("u"), F.col("label").alias("v")))
         classes = verified.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("label"))

@@ -12,7 +12,7 @@ import cases
 from terracell.llm import components, ngram_join as N
 
 
-@pytest.mark.parametrize("block", [1024, 2])
+@pytest.mark.parametrize("block", [256, 2])
 def test_against_all_pairs(spark, block):
     rows = cases.texts()
     rng = random.Random(3)
@@ -59,7 +59,7 @@ def test_banding_meets_the_recall():
 
 
 def test_components(spark):
-    e = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (200, 200), (None, 3)]
+    e = [(i + 1, i) for i in range(20)] + [(100, 101), (102, 101), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -25,8 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .vectext import chunks, tidy
+
 #: Labelled rows used for fitting, per class at most (a documented bound; the rows are those with the smallest hashes of their ids).
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 5000
+#: Distinct harmless words that a worker remembers.
+PLAIN_WORDS = 200_000
 #: score at which a document is toxic (fixed value of the contract).
 THRESHOLD = 0.3
 
@@ -140,7 +144,7 @@ class Model:
     def triggers(self, words: list[str]) -> set[str]:
         """Insults and threats among the words; each distinct word is looked up once per worker, within a bound."""
         distinct = set(words)
-        if len(self.plain) > 1_000_000:
+        if len(self.plain) > PLAIN_WORDS:
             self.plain.clear()
         out = set()
         for w in distinct.difference(self.plain):
@@ -181,38 +185,50 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], least_docs: int = 3, least_odds: float = 1.5, most: int = 400) -> dict[str, float]:
+def doc_entries(text: str) -> set[str]:
+    return {e for w in set(_WORD.findall(text.lower())) for e in entries(w)}
+
+
+def learn_lexicon(toxic: list[str], clean: list[str], least_docs: int = 3, least_odds: float = 1.5, rest_odds: float = 0.5, most: int = 400) -> dict[str, float]:
     """Entries that mark toxic documents, chosen one after another.
 
-    toxic, clean: distinct words of each document.  The next entry is the one with the most evidence in
-    the toxic documents not explained so far (lower bound of its log-odds times the root of its count), and its
-    documents count as explained once two entries hold there.
+    The next entry is the one with the most evidence in the toxic documents (lower bound of its log-odds times the root of its count) that no
+    chosen stem covers; it must hold in ``least_docs`` documents with fewer than two chosen entries, and have ``rest_odds`` in those it adds.  Texts are read again for each pass, so only
+    entries that may matter are held: first a table of hash buckets tells which entries are too rare.
     """
+    buckets = np.zeros(1 << 22, np.int32)
+    spot = lambda es: np.fromiter(map(hash, es), np.int64) & ((1 << 22) - 1)
+    for t in toxic:
+        np.add.at(buckets, spot(doc_entries(t)), 1)
     support: Counter = Counter()
-    for ws in toxic:
-        support.update({e for w in ws for e in entries(w)})
+    for t in toxic:
+        es = list(doc_entries(t))
+        support.update([e for e, ok in zip(es, (buckets[spot(es)] >= least_docs).tolist()) if ok])
     support = Counter({e: n for e, n in support.items() if n >= least_docs})
     against: Counter = Counter()
-    for ws in clean:
-        against.update({e for w in ws for e in entries(w)} & support.keys())
+    for t in clean:
+        against.update(doc_entries(t) & support.keys())
     n1, n0 = len(toxic) + 1.0, len(clean) + 1.0
 
-    def odds(e: str) -> float:
-        p, n = support[e], against[e]
+    def odds(p: int, n: int) -> float:
         spread = math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
         return math.log((p + 0.5) / n1) - math.log((n + 0.5) / n0) - spread
 
-    weight = {e: w for e in support if (w := odds(e)) >= least_odds}
+    weight = {e: w for e in support if (w := odds(support[e], against[e])) >= least_odds}
     held: dict[str, list[int]] = {e: [] for e in weight}
-    for i, ws in enumerate(toxic):
-        for e in {e for w in ws for e in entries(w)} & weight.keys():
+    for i, t in enumerate(toxic):
+        for e in doc_entries(t) & weight.keys():
             held[e].append(i)
     # Of entries with the same evidence the longest is the most specific.
     seen, out = Counter(), {}
     for e in sorted(weight, key=lambda e: (-weight[e] * math.sqrt(support[e]), -len(e), e)):
-        nested = any(e.startswith(c) or c.startswith(e) for c in out)
-        if not nested and len(out) < most and sum(seen[i] < 2 for i in held[e]) >= least_docs:
-            out[e] = min(weight[e], 5.0)
+        if len(out) == most or any(e.startswith(c) for c in out):
+            continue
+        # A stem of chosen entries is judged by the documents that they leave out.
+        parts = {i for c in out if c.startswith(e) for i in held[c]}
+        rest = [i for i in held[e] if i not in parts]
+        if sum(seen[i] < 2 for i in rest) >= least_docs and (w := odds(len(rest), against[e])) >= rest_odds:
+            out[e] = min(w, 5.0)
             seen.update(held[e])
     return out
 
@@ -233,20 +249,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40
 
 def fit(texts: Iterable[tuple[str, int]]) -> Model:
     """Model from (text, toxic) rows.  Entries are learned on one half and the curve on the other, then the entries on all."""
-    rows = [(t, y, frozenset(_WORD.findall(t.lower()))) for t, y in texts]
+    rows = list(dict.fromkeys(texts))  # copies of a text are one witness
     seed = {w + "$": 2.5 for w in INSULTS}
 
     def lexicon(part: list) -> dict[str, float]:
-        return seed | learn_lexicon([w for _, y, w in part if y], [w for _, y, w in part if not y])
+        return seed | learn_lexicon([t for t, y in part if y], [t for t, y in part if not y])
 
-    if not any(y for _, y, _ in rows) or all(y for _, y, _ in rows):
+    if not any(y for _, y in rows) or all(y for _, y in rows):
         return Model(seed, [-2.5, 3.0, 1.0, 0.5, 0.5])
     halves = (rows[::2], rows[1::2])
     x, y = [], []
     for a, b in (halves, halves[::-1]):
         m = Model(lexicon(a), [])
-        x += [m.features(t) for t, _, _ in b]
-        y += [v for _, v, _ in b]
+        x += [m.features(t) for t, _ in b]
+        y += [v for _, v in b]
     return Model(lexicon(rows), fit_curve(np.array(x), np.array(y, float)))
 
 
@@ -268,23 +284,24 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, m
     return fit((r["text"], r["toxic"]) for r in rows)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a column ``score``; a column of that name is replaced.
+def score_documents(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """The rows of ``docs`` with a column ``into``; a column of that name is replaced.
 
     Null and empty texts get the score of a document without matched clauses.  Repeated rows repeat; nothing but
     the text enters the score; nothing is shuffled.
     """
-    base = docs.drop("score")
+    base = docs.drop(into)
     names = base.columns
     lexicon, curve = model.lexicon, model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(lexicon, curve)
         for b in batches:
-            scores = [m.score(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
+            for c in chunks(b, "text"):
+                scores = [m.score(x.as_py()) for x in c.column("text")]
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(scores, pa.float64())], [*names, into])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("score", DoubleType())]))
+    return base.mapInArrow(tidy(run), StructType([*base.schema.fields, StructField(into, DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import alnum_table, chunks, fold_table, text_buffers, words
+from .vectext import alnum_table, chunks, fold_table, text_buffers, tidy, words
 
 _IS_WORD, _FOLD = alnum_table(), fold_table()
 #: Words in a window; shorter items are one window.
@@ -108,9 +108,17 @@ class Shard:
         return n
 
 
-def _scan(batch: pa.RecordBatch, q: Queries) -> tuple[np.ndarray, list, list[list[tuple]]]:
+def row_chunks(batch: pa.RecordBatch, field: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the bytes of one field of its column ``row``."""
+    at = 0
+    for c in chunks(pa.RecordBatch.from_arrays([batch.column("row").field(field)], ["text"]), "text"):
+        yield batch.slice(at, c.num_rows)
+        at += c.num_rows
+
+
+def _scan(texts: pa.Array, q: Queries) -> tuple[np.ndarray, list, list[list[tuple]]]:
     """For one chunk: words per document, hit flags per document, and matches (item, item word, document word, words) per document."""
-    data, offsets = text_buffers(batch.column("text"))
+    data, offsets = text_buffers(texts)
     w = words(data, offsets, _IS_WORD, _FOLD)
     n_docs = len(offsets) - 1
     matches: list[list[tuple]] = [[] for _ in range(n_docs)]
@@ -171,7 +179,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     item_id are one item.  Repeated rows repeat.
     """
     out = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"),
         F.array().cast("array<struct<item_id:bigint,item_word:int,doc_word:int,words:int>>").alias("matches"),
     )
@@ -181,16 +189,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             q = Queries(ids, texts, window)
             for b in batches:
-                for c in chunks(b, "text"):
-                    n, flags, matches = _scan(c, q)
+                # The text is read where it lies, in the row, so it is sent once.
+                where = b.schema.field("row").type.get_field_index(text)
+                for c in row_chunks(b, where):
+                    n, flags, matches = _scan(c.column("row").field(where), q)
                     old = c.column("hit").to_pylist()
                     hits = [f.tobytes() if o is None else (np.frombuffer(o, bool) | f).tobytes() for f, o in zip(flags, old)]
                     found = [o + [dict(zip(("item_id", "item_word", "doc_word", "words"), x)) for x in m] for o, m in zip(c.column("matches").to_pylist(), matches)]
                     arrays = {"n_words": pa.array(n, pa.int64()), "hit": pa.array(hits, pa.binary()), "matches": pa.array(found, pa.list_(_MATCH))}
                     yield pa.RecordBatch.from_arrays([arrays.get(x, c.column(i)) for i, x in enumerate(c.schema.names)], c.schema.names)
 
-        out = out.mapInArrow(run, schema)
-    return out.drop("text")
+        out = out.mapInArrow(tidy(run), schema)
+    return out
 
 
 def contamination_summary(found: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vectext import tidy
+
 #: One found span; offsets are code points, end exclusive.
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
@@ -42,5 +44,5 @@ def find_spans(docs: DataFrame, finder: Callable[[str], list[Span]], order: Call
             )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id long, found {SPAN_TYPE}, counts array<long>, base_sha256 string, spans string"
+        tidy(run), f"doc_id long, found {SPAN_TYPE}, counts array<long>, base_sha256 string, spans string"
     )

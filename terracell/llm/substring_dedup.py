@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import new_path
-from .vectext import U64, Words, chunks, mix64, space_table, text_buffers, windows, words
+from .vectext import chunks, mix64, space_table, text_buffers, tidy, U64, windows, words, Words
 
 _IS_WORD = space_table()
 #: Words in a window (fixed value of the contract) and in the runs that anchors are chosen from.
@@ -109,7 +109,7 @@ def _anchored_runs(source: DataFrame, window: int, k: int) -> DataFrame:
         key = np.where(here > 0, anchor, mix64(doc.astype(U64) * U64(31) + place.astype(U64)))
         yield from _pieces([key.view(np.int64), doc, place, here.astype(np.int32)], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["key", "doc_id", "place", "here"])
 
-    return source.mapInArrow(run, "key long, doc_id long, place long, here int")
+    return source.mapInArrow(tidy(run), "key long, doc_id long, place long, here int")
 
 
 def _repeated_runs(runs: DataFrame, n: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _repeated_runs(runs: DataFrame, n: int) -> DataFrame:
             [_column(held, "doc_id")[keep], _column(held, "place")[keep], np.where(head, key, 0)[keep], np.where(head, times, np.minimum(times, 1))[keep]],
             [pa.int64()] * 4, ["doc_id", "place", "anchor", "times"])
 
-    return runs.repartition(n, "key").mapInArrow(run, "doc_id long, place long, anchor long, times long")
+    return runs.repartition(n, "key").mapInArrow(tidy(run), "doc_id long, place long, anchor long, times long")
 
 
 def _material(joined: DataFrame, window: int, k: int, hot: list[int]) -> DataFrame:
@@ -197,7 +197,7 @@ def _material(joined: DataFrame, window: int, k: int, hot: list[int]) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[r]), pa.array(doc[s[r]]), pa.array(at[s[r]].astype(np.int32)), pa.array(n[r].astype(np.int32)), pa.array(blobs, pa.binary())], ["key", "doc_id", "at", "n", "codes"])
 
-    return joined.mapInArrow(run, "key long, doc_id long, at int, n int, codes binary")
+    return joined.mapInArrow(tidy(run), "key long, doc_id long, at int, n int, codes binary")
 
 
 def _search(doc: np.ndarray, at: np.ndarray, n: np.ndarray, codes: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ def _report(material: DataFrame, n: int, window: int) -> DataFrame:
             i = j
         yield from _pieces([np.concatenate(docs), np.concatenate(places)], [pa.int64(), pa.int64()], ["doc_id", "place"])
 
-    return material.repartition(n, "key").mapInArrow(run, "doc_id long, place long")
+    return material.repartition(n, "key").mapInArrow(tidy(run), "doc_id long, place long")
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -327,7 +327,7 @@ def remove_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
                     [c.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests)],
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return found.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ from terracell.llm import decontamination, mixing, ngram_join, store, token_ids,
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents with a score of 0.3 or more go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # The row travels as a struct, so its columns may have any names.
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return toxicity.score_documents(rows, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score_documents(docs, model, into=name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship.package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage's table goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = store.new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            store.discard(spark, before)
+        before = path
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import new_path
-from .vectext import chunks, run_codes, text_buffers
+from .vectext import chunks, give_back, run_codes, text_buffers, tidy
 
 #: Format constants (fixed values): magic, version, rows and lanes of a block.
 MAGIC, VERSION, ROWS, LANES = b"PFOR", 1, 32, 32
@@ -36,8 +36,12 @@ PERCENTILE = 0.98
 SEGMENT_IDS = 1 << 18
 #: End of a document (fixed value of the contract).
 END_ID = 2
+#: Bytes of text encoded at once.
+CHUNK_BYTES = 2 << 20
+#: Parts written for each shuffle partition: a part is sorted by one task and sent to Python in few batches, so it is kept small.
+PARTS_PER_PARTITION = 4
 #: Distinct text pieces whose ids a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 
 _HEADER = struct.Struct("<4sHHQII")
 
@@ -173,7 +177,9 @@ class Encoder:
         """Ids of the pieces with the next numbers."""
         simple = [i for i, p in enumerate(pieces) if _SIMPLE.fullmatch(p) and "<|" not in p]
         # A line feed between such pieces is always an id of its own, so they are encoded in one call and parted there.
-        joined = self._flat(["\n".join(pieces[i] for i in simple)])
+        parts = ["\n".join(pieces[i] for i in simple[a : a + 20_000]) for a in range(0, len(simple), 20_000)]
+        gap = np.array([self.newline or 0], np.uint32)
+        joined = np.concatenate([x for p in parts for x in (gap, self._flat([p]))][1:]) if parts else gap[:0]
         edge = np.flatnonzero(joined == self.newline)
         if self.newline is None or len(edge) != len(simple) - 1:
             simple, joined, edge = [], joined[:0], edge[:0]
@@ -262,7 +268,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str =
     Null and empty texts have the end id only.  Null ids come first; rows with equal ids stay together, in the order of their
     texts.  Other columns are ignored.  An empty table writes an empty folder.
     """
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = PARTS_PER_PARTITION * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
 
@@ -282,8 +288,9 @@ def write_segments(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str =
 
         size = 0
         for b in batches:
-            for c in chunks(b, "text"):
+            for c in chunks(b, "text", CHUNK_BYTES):
                 ids, lengths = e.encode(*text_buffers(c.column("text")))
+                give_back()
                 held.append((c.column("doc_id").to_pylist(), ids, lengths))
                 size += len(ids)
                 if size >= segment_ids:
@@ -292,19 +299,20 @@ def write_segments(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str =
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, _SEGMENT).write.parquet(out)
+    ordered.mapInArrow(tidy(run), _SEGMENT).write.parquet(out)
 
 
 def read_segments(spark, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in a folder of :func:`write_segments`, from the packed ids.
 
-    start: ids of all documents before it.  The window runs over one row per written part.
+    start: ids of all documents before it.  The window runs over one row per written part; their number is that of the
+    writer's tasks, so these rows are broadcast and the packed ids are read where they lie.
     """
     segments = spark.read.parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
-    placed = segments.join(base, segments["part"] == base["_part"]).select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
+    placed = segments.join(F.broadcast(base), segments["part"] == base["_part"]).select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +325,7 @@ def read_segments(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(first.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first + start.as_py()), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

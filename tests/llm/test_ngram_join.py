@@ -12,7 +12,7 @@ import cases
 from terracell.llm import components, ngram_join as N
 
 
-@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("block", [256, 8])
 def test_against_all_pairs(spark, block):
     rows = cases.texts()
     rng = random.Random(3)

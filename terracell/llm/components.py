@@ -5,30 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, discard, new_path
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges (u long, v long)``; the component is its smallest node.
 
     Loops and nulls are ignored.  A node's smallest neighbour is aggregated before it meets the node's edges, so no
-    neighbourhood is collected, and each round is materialised, so a lost executor costs one round.  Rounds grow with
-    the logarithm of the number of nodes.
+    neighbourhood is collected, and each step is a written table, so a lost executor costs one step.  Tables rather than
+    checkpoints: a checkpoint hands on the size estimate of its plan, and those of joins multiply from round to round.
+    Rounds grow with the logarithm of the number of nodes.
     """
+    spark = edges.sparkSession
+    held: list[str] = []
+
+    def keep(df: DataFrame, names: str) -> DataFrame:
+        held.append(new_path(spark, "components"))
+        df.write.parquet(held[-1])
+        return spark.read.schema(names).parquet(held[-1])
+
     e = edges.where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "u long, v long")
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u long, m long")
+        large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "u long, v long")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "u long, m long")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        e = keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "u long, v long")
+        for path in held[:-1]:
+            discard(spark, path)
+        held[:] = held[-1:]
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = cut(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()))
+    discard(spark, held[0])
+    return found

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as P
@@ -57,7 +59,10 @@ def mask_cells(spark, sf_dir):
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     hole = P.rectangle(x + w / 4, y + w / 2, x + w * 3 / 4, y + w * 3 / 2)
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(F.col("geometry.polys")[0], hole[0])).alias("polys"))
-    return V.mask_cells(r.select(shape.alias("geometry")), GridSpec("LOCAL", (2.5, 0.0, 0.0, 0.0, 2.5, 0.0), 80, 100))
+    f = r.select(shape.alias("geometry"))
+    # Cells count from the origin; the grid reaches as far as the features do.
+    b = V.total_bounds(f).first()
+    return V.mask_cells(f, GridSpec("LOCAL", (2.5, 0.0, 0.0, 0.0, 2.5, 0.0), *[max(1, math.ceil((v or 0) / 2.5)) for v in (b["xmax"], b["ymax"])]))
 
 
 @query(f"WITH {_RECT} SELECT layer, count(*) AS parts, sum(w * 2 * w) AS area, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS type FROM r GROUP BY 1")

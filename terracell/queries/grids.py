@@ -188,9 +188,33 @@ i AS (SELECT row, col, CAST(floor((lon + 12.0) / 0.5) AS BIGINT) AS sc, CAST(flo
 SELECT row, col, p_retailprice AS value FROM i JOIN part ON p_partkey = sr * 50 + sc WHERE sc BETWEEN 0 AND 49 AND sr BETWEEN 0 AND 39""")
 def warp_nearest(spark, sf_dir):
     """A lon/lat raster on a metric grid."""
-    src = GridSpec.square("EPSG:4326", -12.0, 43.0, 0.5, WIDTH, 40)
-    c = table(spark, sf_dir, "part").where("p_partkey < 2000").select((F.col("p_partkey") / WIDTH).cast("int").alias("row"), (F.col("p_partkey") % WIDTH).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
-    out, _ = W.to_mollweide(c, src, how="nearest", target=GridSpec.square(M.CODE, -1000000.0, 5000000.0, 20000.0, 60, 60))
+    # The target is a window: it reads rows 2 to 23 of the source, however high that is.
+    src = GridSpec.square("EPSG:4326", -12.0, 43.0, 0.5, WIDTH, _grid(spark, sf_dir).height)
+    out, _ = W.to_mollweide(_prices(spark, sf_dir), src, how="nearest", target=GridSpec.square(M.CODE, -1000000.0, 5000000.0, 20000.0, 60, 60))
+    return out.select("row", "col", "value")
+
+
+def _prices(spark, sf_dir):
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") / WIDTH).cast("int").alias("row"), (F.col("p_partkey") % WIDTH).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
+
+
+@query("""WITH RECURSIVE h AS (SELECT max(p_partkey) // 50 + 1 AS h FROM part), g AS (SELECT h, least(0.5, 20.0 / h) AS size FROM h),
+n AS (SELECT 0 AS i, lat, radians(lat) AS th FROM (SELECT unnest([43.0, 43.0 - size * h]) AS lat FROM g)
+  UNION ALL SELECT i + 1, lat, th - (2 * th + sin(2 * th) - pi() * sin(radians(lat))) / (2 + 2 * cos(2 * th)) FROM n WHERE i < 15),
+e AS (SELECT lon * cos(th) * 2 * sqrt(2.0) * 6378137.0 / 180 AS x, sin(th) * sqrt(2.0) * 6378137.0 AS y FROM n, (SELECT unnest([-12.0, -12.0 + 50 * size]) AS lon FROM g) WHERE i = 15),
+b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e),
+r AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / sqrt(2500.0 + h * h) AS res FROM b, h),
+d AS (SELECT *, floor(x0 / res) * res AS l, ceil(y1 / res) * res AS t FROM r),
+c AS (SELECT CAST(tr AS INTEGER) AS row, CAST(tc AS INTEGER) AS col, l + (tc + 0.5) * res AS x, t - (tr + 0.5) * res AS y
+  FROM (SELECT *, unnest(range(0, CAST(ceil((t - y0) / res) AS BIGINT))) AS tr FROM d) u, LATERAL (SELECT unnest(range(0, CAST(ceil((u.x1 - u.l) / u.res) AS BIGINT))) AS tc)),
+a AS (SELECT *, asin(y / (6378137.0 * sqrt(2.0))) AS th FROM c),
+l AS (SELECT row, col, degrees(pi() * x / (2 * sqrt(2.0) * 6378137.0 * cos(th))) AS lon, degrees(asin((2 * th + sin(2 * th)) / pi())) AS lat FROM a),
+i AS (SELECT row, col, CAST(floor((lon + 12.0) / size) AS BIGINT) AS sc, CAST(floor((43.0 - lat) / size) AS BIGINT) AS sr FROM l, g)
+SELECT row, col, p_retailprice AS value FROM i JOIN part ON p_partkey = sr * 50 + sc WHERE sc BETWEEN 0 AND 49 AND sr >= 0""")
+def warp_covering(spark, sf_dir):
+    """The whole raster, at most 20 degrees high, on a metric grid around its outline."""
+    h = _grid(spark, sf_dir).height
+    out, _ = W.to_mollweide(_prices(spark, sf_dir), GridSpec.square("EPSG:4326", -12.0, 43.0, min(0.5, 20.0 / h), WIDTH, h), how="nearest")
     return out.select("row", "col", "value")
 
 

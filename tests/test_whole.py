@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terracell.queries import geometry
+from terracell.queries import geometry, grids
 
 
 def test_mask_reaches_every_feature(spark, tmp_path):
@@ -19,3 +19,17 @@ def test_mask_reaches_every_feature(spark, tmp_path):
                     want.add((r, c))
     assert max(r for r, _ in want) > 100
     assert sorted(map(tuple, geometry.mask_cells(spark, str(tmp_path)).select("row", "col").collect())) == sorted(want)
+
+
+def test_warp_covers_the_raster(spark, tmp_path):
+    n = 5000
+    spark.createDataFrame([(k, float(k)) for k in range(n)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {int(v) for (v,) in grids.warp_covering(spark, str(tmp_path)).select("value").collect()}
+    assert {k // 50 for k in got} == set(range(n // 50)) and {k % 50 for k in got} == set(range(50))
+    assert len(got) > n / 2
+
+
+def test_warp_window_reads_all_parts(spark, tmp_path):
+    spark.createDataFrame([(k, float(k)) for k in range(2500)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    plan = grids.warp_nearest(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "< 2000)" not in plan

@@ -153,7 +153,7 @@ _MATCH = pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_wo
 
 def _pieces(benchmark: DataFrame, item_id: str, text: str, piece_bytes: int) -> Iterator[tuple[list, list[str]]]:
     """The benchmark in pieces whose texts have ``piece_bytes`` at most, or are a single item."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("item_id is not null").distinct()
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     ids, texts, held = [], [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         n = len(r["text"].encode())
@@ -175,8 +175,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     ``row`` (a struct); ``hit`` has a byte for each word, 1 inside an occurrence of a window; ``matches`` has the longest
     verbatim match at each place where an item's text begins to agree.  One row per input row; nothing is shuffled.
 
-    Null and empty texts have no words and no hits.  Items without words and items with a null id never match; rows of one
-    item_id are one item.  Repeated rows repeat.
+    Null and empty texts have no words and no hits.  Items without words never match; rows of one item_id are one
+    item.  Items with a null id match as others do, with a null in ``matches``.  Repeated rows repeat.
     """
     out = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -204,8 +204,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def contamination_summary(found: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of :func:`find_contamination`."""
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of :func:`find_contamination`.
+
+    Items with a null id count in n_hit and contaminated; n_items and the digest are about named items.
+    """
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item_id"].cast("string")))))
     hits = F.length(F.regexp_replace(F.hex("hit"), "00", "")) / 2
     return found.select("doc_id", "n_words", hits.cast("long").alias("n_hit"), items.alias("items")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"),

@@ -84,3 +84,13 @@ def test_empty_tables(spark):
     df = cases.frame(spark)
     assert D.remove_contaminated(df, none).count() == df.count()
     assert D.find_contamination(cases.empty(spark), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
+
+
+def test_items_without_an_id_are_searched(spark):
+    docs = [(1, "x released under the terms of this y", "en", "a"), (2, "nothing of it here", "en", "a")]
+    bench = spark.createDataFrame([(None, "released under the terms"), (None, "of that")], "item_id long, text string")
+    df = cases.frame(spark, docs, repeat=False)
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in D.contamination_summary(D.find_contamination(df, bench)).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {1: (4, 0, none, True), 2: (0, 0, none, False)}
+    assert [r["doc_id"] for r in D.remove_contaminated(df, bench).collect()] == [2]

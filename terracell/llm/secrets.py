@@ -1,7 +1,7 @@
 """Secret scan: named patterns plus a battery of randomness tests.
 
 Candidates are long tokens.  The narrowest alphabet that holds a token is its inferred
-encoding (decimal, hex, base32, base36, base62, base64, printable).  Three tests ask whether the token looks drawn
+encoding (decimal, hex, letters, base32, base36, base62, base64, printable).  Three tests ask whether the token looks drawn
 uniformly from that alphabet: chi-squared uniformity of its symbols, a runs test of
 the upper half against the lower half, and the serial correlation of neighbours; a token that one of
 them clearly rejects is no secret.  For the rest, the likelihood of a uniform
@@ -34,7 +34,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}+")
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Alphabets from narrow to wide; the order of symbols is used by the runs and serial tests.
 ENCODINGS = (
-    ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("hex_upper", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"),
+    ("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("hex_upper", _DIGITS + "ABCDEF"), ("upper", _UPPER), ("lower", _LOWER), ("base32", _UPPER + "234567"),
     ("base36", _DIGITS + _LOWER), ("base36_upper", _DIGITS + _UPPER), ("base62", _UPPER + _LOWER + _DIGITS),
     ("base64", _UPPER + _LOWER + _DIGITS + "+/="), ("base64url", _UPPER + _LOWER + _DIGITS + "-_="), ("printable", _UPPER + _LOWER + _DIGITS + "+/_=-"),
 )
@@ -42,6 +42,8 @@ _RANKS = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in E
 
 #: Ordinary text: letters follow the previous character's class with these probabilities (fixed values).
 _STAY = {"l": {"l": 0.95, "u": 0.01, "d": 0.01, "s": 0.03}, "u": {"l": 0.70, "u": 0.26, "d": 0.02, "s": 0.02}, "d": {"l": 0.03, "u": 0.02, "d": 0.90, "s": 0.05}, "s": {"l": 0.55, "u": 0.15, "d": 0.15, "s": 0.15}}
+#: A word in capitals goes on in capitals with this probability, as one in small letters does (fixed value).
+_CAPITALS = 0.95
 #: Letters of ordinary text in per mille (fixed values).
 _LETTER = dict(zip(_LOWER, (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
 
@@ -91,9 +93,10 @@ def evidence(token: str) -> float:
     """log of (likelihood under a uniform draw) / (likelihood under ordinary text)."""
     name, rank = encoding(token)
     total, last = 0.0, "s"
-    for c in token:
-        k = _kind(c)
-        p = _STAY[last][k] * (_LETTER[c.lower()] / 1001 if k in "lu" else 0.1 if k == "d" else 0.2)
+    kinds = [_kind(c) for c in token]
+    capitals = set(kinds) == {"u"}
+    for c, k in zip(token, kinds):
+        p = (_CAPITALS if capitals and last == "u" else _STAY[last][k]) * (_LETTER[c.lower()] / 1001 if k in "lu" else 0.1 if k == "d" else 0.2)
         total -= math.log(len(rank)) + math.log(p)
         last = k
     return total
@@ -104,9 +107,6 @@ def random_tokens(text: str, fdr: float, alpha: float) -> list[tuple[int, int, f
     seen = []
     for m in _TOKEN.finditer(text):
         t = m[0]
-        # Written words are not drawn from an alphabet: at least two kinds of characters and no all-digit tokens.
-        if len({_kind(c) for c in t}) < 2:
-            continue
         rejected = min(3 * min(battery(t).values()), 1.0) < alpha
         seen.append((1.0 if rejected else math.exp(-max(0.0, evidence(t))), len(t), m.start(), m.end()))
     if not seen:

@@ -98,3 +98,12 @@ def test_awkward_rows(spark, find, plain):
             assert r["spans"] == ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in r["found"])
             assert sum(r["counts"]) == sum(x["base"] for x in r["found"])
     assert find(cases.empty(spark)).collect() == []
+
+
+def test_keys_of_one_kind_of_character():
+    rng = random.Random(11)
+    for alphabet, n in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40), ("abcdefghijklmnopqrstuvwxyz", 40), ("0123456789", 120)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(50)]
+        assert sum(bool(secrets.random_tokens(f"the key {k} is here", 1e-4, 1e-3)) for k in keys) > 25
+    for w in ("COUNTERREVOLUTIONARIES", "donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION", "-" * 40, "=" * 40, "7" * 40, "20240101120000202401"):
+        assert not secrets.random_tokens(f"a {w} b", 1e-4, 1e-3)

@@ -101,8 +101,8 @@ def _signatures(batch: pa.RecordBatch, k: int, bands: int, rows: int) -> pa.Reco
     where = np.zeros(len(size) + 1, np.int32)
     where[1:] = np.cumsum(np.where(size > 0, bands, 0))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(size > 0), pa.ListArray.from_arrays(pa.array(where), flat)],
-        ["doc_id", "fp1", "fp2", "has_words", "bands"],
+        [batch.column("doc_id"), batch.column("th"), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(size > 0), pa.ListArray.from_arrays(pa.array(where), flat)],
+        ["doc_id", "th", "fp1", "fp2", "has_words", "bands"],
     )
 
 
@@ -173,58 +173,65 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     Words are runs of characters other than ASCII white space.
 
     Documents without words (null, empty) and rows with a null id are linked to nothing; their class is their own id.
-    Repeated rows are copies.  Rows of one id with different texts count as one document in links to others.  Other
-    columns are ignored.
+    Repeated rows are copies.  Rows of one id with different texts each count in links and copies; texts with the same
+    smallest id are in one class.  Other columns are ignored.
     """
     spark = docs.sparkSession
     bands, rows = bands_and_rows(threshold, recall)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # Rows of one id are told apart by a hash of their text.
+    source = source.withColumn("th", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b, "text"):
                 yield _signatures(c, ngram, bands, rows)
 
-    signed = cut(source.mapInArrow(tidy(sign), "doc_id long, fp1 long, fp2 long, has_words boolean, bands array<long>"))
+    signed = cut(source.mapInArrow(tidy(sign), "doc_id long, th long, fp1 long, fp2 long, has_words boolean, bands array<long>"))
     usable = signed.where("has_words and doc_id is not null")
     # Copies: one representative for each set of n-grams (the bands follow from the set).
-    sets = cut(usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")).dropDuplicates(["rep"]))
+    sets = usable.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    sets = cut(sets.select("fp1", "fp2", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("th"), "copies", "bands"))
     members = sets.select("rep", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     edges = members.join(cut(buckets), "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     candidates = cut(connected_components(edges))
-    per = cut(candidates.groupBy("component").agg(F.count("*").alias("size")).withColumn(
+    # A row per set; several sets have one node where rows of one id have different texts.
+    held = cut(candidates.join(sets.select(F.col("rep").alias("node"), "th", "copies"), "node"))
+    shared = held.count() > candidates.count()
+    per = cut(held.groupBy("component").agg(F.count("*").alias("size")).withColumn(
         "blocks", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(block_docs)), F.lit(4 * block_docs))).cast("int")
     ))
     most = per.agg(F.max("blocks")).first()[0] or 0
     # Few components are larger than a block, each with more than block_docs documents.
-    placed = candidates.join(per.select("component", "blocks"), "component").join(sets.select(F.col("rep").alias("node"), "copies"), "node")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = held.join(per.select("component", "blocks"), "component")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "th"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "component", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "node", "th", "component", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gathered = source.withColumnRenamed("doc_id", "node").join(tasks, "node").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    gathered = source.withColumnRenamed("doc_id", "node").join(tasks, ["node", "th"]).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node", "th")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, ["component", "i", "j"]):
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            ids, first = np.unique(t.column("node").to_numpy(), return_index=True)
-            t = t.take(pa.array(first)).combine_chunks()
+            node, th = t.column("node").to_numpy(), t.column("th").to_numpy()
+            t = t.take(pa.array(np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (th[1:] != th[:-1])))))).combine_chunks()
+            ids = t.column("node").to_numpy()
             grams: list[np.ndarray] = []
             for c in chunks(t.to_batches()[0], "text"):
                 code, edge = shingles(words(*text_buffers(c.column("text")), _IS_WORD), ngram)
                 grams += [np.unique(code[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             links, label = _verify(ids, t.column("block").to_numpy(), t.column("copies").to_numpy(), grams, i, j, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(label)], ["node", "links", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), t.column("th").combine_chunks(), pa.array(links.astype(np.int64)), pa.array(label)], ["node", "th", "links", "label"])
 
-    verified = cut(gathered.select("node", "text", "component", "copies", "block", "i", "j").mapInArrow(tidy(verify), "node long, links long, label long"))
-    if most > 1:
+    verified = cut(gathered.select("node", "th", "text", "component", "copies", "block", "i", "j").mapInArrow(tidy(verify), "node long, th long, links long, label long"))
+    if most > 1 or shared:
         joined = connected_components(verified.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        classes = verified.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", "links", F.coalesce("component", "node").alias("label"))
+        classes = verified.groupBy("node", "th").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", "th", "links", F.coalesce("component", "node").alias("label"))
     else:
         classes = verified
-    found = sets.join(classes, sets["rep"] == classes["node"], "left").select(
+    found = sets.join(classes.withColumnRenamed("th", "t2"), (F.col("rep") == F.col("node")) & (F.col("th") == F.col("t2")), "left").select(
         "fp1", "fp2", "copies", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     named = signed.drop("bands").withColumn("ok", F.col("has_words") & F.col("doc_id").isNotNull())

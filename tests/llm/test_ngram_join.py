@@ -63,3 +63,15 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_texts_that_share_their_smallest_id(spark, block):
+    w = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    near = [*w[0][:59], "other"]
+    rows = [(1, w[0]), (1, w[1]), *((i, w[0]) for i in range(5, 10)), *((i, w[1]) for i in range(20, 23)), (30, near), (40, w[2])]
+    df = cases.frame(spark, [(i, " ".join(t), "en", "a") for i, t in rows], repeat=False)
+    got = sorted(map(tuple, N.ngram_classes(df, block_docs=block).select("doc_id", "class_id", "n_links", "n_copies").collect()))
+    want = [(1, 1, 6, 6), (1, 1, 3, 4), *((i, 1, 6, 6) for i in range(5, 10)), *((i, 1, 3, 4) for i in range(20, 23)), (30, 1, 6, 1), (40, 40, 0, 1)]
+    assert got == sorted(want)
+    assert sorted(r["doc_id"] for r in N.drop_near_copies(df, block_docs=block).collect()) == [1, 1, 40]

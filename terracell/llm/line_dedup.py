@@ -1,9 +1,9 @@
 """Line deduplication with DataFrame operations only.
 
-Line keys become 128-bit hashes.  They are range-partitioned by (hash, document)
-and sorted inside each partition by hash, then document and position descending, so
-each partition streams the occurrences of a hash in order and folds them into one
-row (documents seen, keeping document); since the range bounds include the document, a
+Line keys become 128-bit hashes.  They are range-partitioned by (hash, document),
+and a hash aggregate folds the occurrences of a hash in each partition into one
+row (documents seen, keeping document); Spark drops the sort before it, as neither
+depends on the order.  Since the range bounds include the document, a
 hash that a third of all documents hold spans many partitions, and what is merged
 afterwards is one row per hash and partition.  The result of the operator is a
 compressed bitmap per document, never the text.

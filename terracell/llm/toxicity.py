@@ -4,7 +4,7 @@ The words of a clause become labels (insult, threat, target, negation, report, o
 Four transducers rewrite the label sequence and weigh it: a threat or insult counts for
 more when somebody is addressed, for less after a negation, and for less inside reported
 speech.  They are composed into one automaton that runs over a clause once; the score of
-a document comes from its matched clauses, never from isolated words.
+a document comes from its matched clauses.  A lone insult or threat is a match too, with its own weight.
 
 The insult entries (whole words, and stems that productive endings follow) and their
 weights are learned from labelled documents, as is the logistic curve that turns clause

@@ -1,23 +1,27 @@
-"""FM-index over word codes, with a wavelet matrix of packed bits, for many patterns at once.
+"""FM-index over word codes: a wavelet matrix of packed bits and symbol counts, searched for many patterns at once.
 
-The suffix order covers the first ``depth`` symbols, which is all that patterns of up to
-``depth`` symbols need.  Ranks are a popcount inside a 64-bit word plus a count per word.
-The interval of a pattern's last ``table`` symbols comes from a lookup table that the
-construction leaves behind; the other symbols are added by backward search.
+The suffix array exists only while the index is built; what stays is the Burrows-Wheeler
+transform in a wavelet matrix (a bit per level and symbol, and a count per 64 bits), the
+number of smaller symbols, and the intervals of all short runs of ``jump`` symbols, from
+which every backward search starts.  The suffix order covers the first ``depth`` symbols,
+which is all that patterns of up to ``depth`` symbols need.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Patterns that take a step together; the arrays of a step stay in the processor's cache.
+_TOGETHER = 1 << 15
+
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks of integer keys, equal keys having equal ranks."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     rank = np.empty(len(keys), np.int64)
     step = np.ones(len(keys), np.int64)
-    step[0] = 0
+    step[:1] = 0
     step[1:] = s[1:] != s[:-1]
     rank[order] = np.cumsum(step)
     return rank
@@ -31,6 +35,15 @@ def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _packed(text: np.ndarray, levels: int, count: int) -> np.ndarray:
+    """At each place the next ``count`` symbols in one integer, with 0 past the end."""
+    out = np.zeros(len(text), np.int64)
+    for i in range(count):
+        out <<= levels
+        out[: len(text) - i] |= text[i:]
+    return out
+
+
 class WaveletMatrix:
     """Symbols below ``1 << levels`` with rank queries."""
 
@@ -59,47 +72,71 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of ``text`` (int symbols from 1 up, 0 between pieces) for patterns of ``depth`` symbols without 0."""
+    """Index of ``text`` (int symbols from 1 up, 0 between pieces) for patterns of up to ``depth`` symbols without 0."""
 
     def __init__(self, text: np.ndarray, depth: int):
         self.depth, self.n = depth, len(text)
-        sigma = int(text.max(initial=0)) + 1
-        levels = max(1, int(sigma - 1).bit_length())
-        # Doubling: ranks by 3 symbols from one packed key, then by 6, 12, ...; the last step overlaps to reach the depth.
-        rank, known = _dense(text), 1
-        if 3 * levels <= 60 and depth >= 3:
-            wide = text.astype(np.int64)
-            one, two = np.zeros_like(wide), np.zeros_like(wide)
-            one[:-1], two[:-2] = wide[1:], wide[2:]
-            rank, known = _dense((wide << (2 * levels)) | (one << levels) | two), 3
+        text = text.astype(np.int64)
+        self.sigma = int(text.max(initial=0)) + 1
+        self.level_bits = levels = max(1, int(self.sigma - 1).bit_length())
+        self.jump = min(depth, 62 // levels)
+        # Doubling: ranks by as many symbols as one integer holds, then by twice as many; the last step overlaps to reach the depth.
+        start = _packed(text, levels, self.jump)
+        rank, known = _dense(start), self.jump
         while 2 * known < depth:
             rank, known = _dense(rank * (self.n + 2) + _shifted(rank, known)), 2 * known
-        self.table, self.table_rank = known, rank
-        keys = rank * (self.n + 2) + _shifted(rank, depth - known)
-        self.sa = np.argsort(keys, kind="stable")
-        self.table_end = np.cumsum(np.bincount(rank, minlength=int(rank.max(initial=0)) + 1))
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
-        bwt = text[self.sa - 1]
-        self.bits = WaveletMatrix(bwt.astype(np.int32), levels)
-        self.origin = self.bits.walk(np.arange(sigma), np.zeros(sigma, np.int64))
-
-    def intervals(self, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals in the suffix array of the patterns ``text[at : at + depth]``."""
-        tail = self.table_rank[at + (self.depth - self.table)]
-        hi = self.table_end[tail].astype(np.int64)
-        lo = np.where(tail > 0, self.table_end[tail - 1], 0).astype(np.int64)
-        for back in range(self.depth - self.table - 1, -1, -1):
-            c = text[at + back]
-            both = self.bits.walk(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            base = self.first[c] - self.origin[c]
-            lo, hi = both[: len(at)] + base, both[len(at) :] + base
-        return lo, hi
-
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Smallest text position in each of several disjoint non-empty intervals."""
-        order = np.argsort(lo)
-        edges = np.stack([lo[order], np.minimum(hi[order], self.n)], axis=1).ravel()
-        padded = np.append(self.sa, np.iinfo(np.int64).max)
-        out = np.empty(len(lo), np.int64)
-        out[order] = np.minimum.reduceat(padded, edges)[::2]
-        return out
+        suffixes = np.argsort(rank * (self.n + 2) + _shifted(rank, depth - known))
+        self.runs, self.run_lo = np.unique(start[suffixes], return_index=True)
+        self.run_hi = np.append(self.run_lo[1:], self.n)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
+        self.bits = WaveletMatrix(text[suffixes - 1].astype(np.int32), levels)
+        self.base = self.first[:-1] - self.bits.walk(np.arange(self.sigma), np.zeros(self.sigma, np.int64))
+
+    def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns of ``lo, hi`` with ``symbol`` before them: one step of backward search."""
+        out_lo, out_hi = np.empty_like(lo), np.empty_like(hi)
+        for i in range(0, len(lo), _TOGETHER):
+            s = slice(i, i + _TOGETHER)
+            c = symbol[s]
+            both = self.bits.walk(np.concatenate([c, c]), np.concatenate([lo[s], hi[s]]))
+            base = self.base[c]
+            out_lo[s], out_hi[s] = both[: len(c)] + base, both[len(c) :] + base
+        return out_lo, out_hi
+
+    def statistics(self, stream: np.ndarray, end: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of a stream at the places ``end`` (exclusive), up to the index's depth.
+
+        For each place the largest number of symbols before it that occur ``least`` times or more in the index, as far as it is
+        ``jump`` or more (0 below), and the first place of their interval, which tells equal matches of one length apart from others.
+        A 0 or a symbol that the index lacks ends a match.  Places that share an interval and the next symbol take the step together.
+        """
+        length, found = np.zeros(len(end), np.int64), np.full(len(end), -1, np.int64)
+        stream = np.where(stream < self.sigma, stream, 0).astype(np.int64)
+        packed = _packed(stream, self.level_bits, self.jump)
+        active = np.flatnonzero(end >= self.jump)
+        want = packed[end[active] - self.jump]
+        spot = np.minimum(np.searchsorted(self.runs, want), max(0, len(self.runs) - 1))
+        low = (1 << self.level_bits) - 1
+        whole = np.ones(len(active), bool)
+        for i in range(self.jump):
+            whole &= (want >> (i * self.level_bits)) & low > 0
+        held = whole & (self.runs[spot] == want) & (self.run_hi[spot] - self.run_lo[spot] >= least) if len(self.runs) else np.zeros(len(active), bool)
+        active, spot = active[held], spot[held]
+        state, which = np.unique(spot, return_inverse=True)
+        lo, hi = self.run_lo[state].astype(np.int64), self.run_hi[state].astype(np.int64)
+        length[active], found[active] = self.jump, lo[which]
+        for size in range(self.jump + 1, self.depth + 1):
+            at = end[active] - size
+            symbol = np.where(at >= 0, stream[np.maximum(at, 0)], 0)
+            pair, which = np.unique(which * self.sigma + symbol, return_inverse=True)
+            c = pair % self.sigma
+            lo, hi = self.extend(c, lo[pair // self.sigma], hi[pair // self.sigma])
+            good = (c > 0) & (hi - lo >= least)
+            number = np.cumsum(good) - 1
+            keep = good[which]
+            active, which = active[keep], number[which[keep]]
+            lo, hi = lo[good], hi[good]
+            if not len(active):
+                break
+            length[active], found[active] = size, lo[which]
+        return length, found

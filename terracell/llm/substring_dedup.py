@@ -3,13 +3,14 @@
 1. The windows of a document are grouped into runs with the same anchor, the smallest
    fingerprint among the short word runs inside the window.  Equal windows have equal
    anchors, so a window whose anchor occurs once anywhere is unique and goes no further.
-2. The other runs are shards' material.  A task keeps only its first occurrence of each
-   window; later ones are known repeats already.  The shard of a window follows from its
-   anchor, or from the window itself for the few anchors that hold much of the
-   corpus, so no shard grows with one passage.
-3. A shard indexes its pieces in document order and searches its windows backward; the
-   smallest position in a window's interval is its first occurrence, the others are
-   reported.
+   Anchors and fingerprints choose what is searched where; they decide no repeat.
+2. The other windows are material.  A task gathers a shard of it, indexes the shard, and
+   streams its documents through the index by backward search: windows whose matching
+   statistic reaches the window's length occur twice, those of one interval being equal; all
+   but the earliest are repeats already.
+3. The earliest ones travel to shards by content, by their anchor, or by the window itself for
+   anchors with very many runs, so no shard grows with one passage.  Each of these
+   shards is searched in the same way, and the runs of later windows are reported.
 """
 
 from __future__ import annotations
@@ -20,20 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .store import new_path
 from .vectext import chunks, mix64, space_table, text_buffers, tidy, U64, windows, words, Words
 
 _IS_WORD = space_table()
 #: Words in a window (fixed value of the contract) and in the runs that anchors are chosen from.
 WINDOW, ANCHOR = 20, 5
-#: Words indexed together at most, unless one anchor has more.
-SHARD_WORDS = 1 << 20
-#: Anchors that may travel to all tasks: those with more than this fraction (1/HOT_ANCHORS) of all repeated runs.
-HOT_ANCHORS = 1000
+#: Words indexed together, unless one anchor has more; an anchor has fewer than HOT_RUNS runs there.
+SHARD_WORDS = 1 << 19
+#: Anchors with so many runs are hot: each of their windows chooses a shard of its own.
+HOT_RUNS = 4096
+#: Runs of one anchor in a chunk of documents that make it hot at once; only their number is shuffled by anchor.
+CHUNK_RUNS = 32
+#: A place is ``first window << 32 | windows``, with this bit for runs of hot anchors.
+_HOT = 1 << 31
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,216 +67,209 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [n])) if n else np.zeros(1, np.int64)
 
 
-def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
-    return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in batches]) if batches else np.zeros(0, np.int64)
-
-
 def _pieces(columns: list[np.ndarray], types: list[pa.DataType], names: list[str], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(columns[0]), rows):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + rows], t) for c, t in zip(columns, types)], names)
 
 
 def _anchored_runs(source: DataFrame, window: int, k: int) -> DataFrame:
-    """``key, doc_id, place, here``: runs of windows with one anchor; place packs the first window and their number.
+    """``key, doc_id, place, here``: runs of windows with one anchor, keyed by it; a run that may repeat itself counts twice in ``here``.
 
-    The first run of an anchor in a task is keyed by the anchor and has the number of the task's runs with it in ``here``
-    (a run that may repeat itself counts twice); the
-    others are known to be repeated (``here`` 0) and keyed at large.
+    Where a chunk has many runs of an anchor, the first one stands for all and makes the anchor hot; the others have 0 in
+    ``here`` and are keyed at large.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [[], [], [], []]
         for b in batches:
             for c in chunks(b, "text"):
                 w = words(*text_buffers(c.column("text")), _IS_WORD)
                 start, anchor, short = anchors(w, window, k)
                 if not len(start):
                     continue
-                doc = np.searchsorted(w.first, start, "right") - 1
-                edge = _runs(anchor, doc)
-                s = edge[:-1]
-                found[0].append(anchor[s])
-                found[1].append(c.column("doc_id").to_numpy()[doc[s]])
-                found[2].append(((start[s] - w.first[doc[s]]) << 32) | np.diff(edge))
+                row = np.searchsorted(w.first, start, "right") - 1
+                edge = _runs(anchor, row)
+                s, n = edge[:-1], np.diff(edge)
                 # A run in which the anchor stands at two places may hold the same window twice.
-                reach = np.diff(edge) + window - k
+                reach = n + window - k
                 spot = np.arange(int(reach.sum())) + np.repeat(start[s] - (np.cumsum(reach) - reach), reach)
                 inside = np.add.reduceat((short[spot] == np.repeat(anchor[s], reach)).astype(np.int64), np.cumsum(reach) - reach)
-                found[3].append(np.minimum(inside, 2))
-        if not found[0]:
-            return
-        anchor, doc, place, inside = (np.concatenate(x) for x in found)
-        order = np.argsort(anchor, kind="stable")
-        edge = _runs(anchor[order])
-        here = np.zeros(len(anchor), np.int64)
-        here[order[edge[:-1]]] = np.add.reduceat(inside[order], edge[:-1])
-        key = np.where(here > 0, anchor, mix64(doc.astype(U64) * U64(31) + place.astype(U64)))
-        yield from _pieces([key.view(np.int64), doc, place, here.astype(np.int32)], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["key", "doc_id", "place", "here"])
+                anchor, doc, place, here = anchor[s], c.column("doc_id").to_numpy()[row[s]], ((start[s] - w.first[row[s]]) << 32) | n, np.minimum(inside, 2)
+                order = np.argsort(anchor, kind="stable")
+                edge = _runs(anchor[order])
+                many = np.diff(edge) >= CHUNK_RUNS
+                crowd = order[np.repeat(many, np.diff(edge))]
+                key = anchor.copy()
+                key[crowd], here[crowd] = mix64(doc[crowd].astype(U64) * U64(31) + place[crowd].astype(U64)), 0
+                lead = order[edge[:-1][many]]
+                key[lead], here[lead] = anchor[lead], HOT_RUNS
+                yield from _pieces([key.view(np.int64), doc, place, here.astype(np.int32)], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["key", "doc_id", "place", "here"])
 
     return source.mapInArrow(tidy(run), "key long, doc_id long, place long, here int")
 
 
-def _repeated_runs(runs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, place, anchor, times``: the runs whose anchor occurs more than once; times: occurrences, in one row of each anchor and task."""
+def _repeated_runs(runs: DataFrame) -> DataFrame:
+    """``doc_id, place``: the runs whose anchor occurs more than once, those of hot anchors marked."""
+    times = F.sum("here").over(Window.partitionBy("key"))
+    known = runs.withColumn("times", times).where("times > 1 or here = 0")
+    hot = (F.col("here") == 0) | (F.col("times") >= HOT_RUNS)
+    return known.select("doc_id", F.when(hot, F.col("place").bitwiseOR(F.lit(_HOT))).otherwise(F.col("place")).alias("place"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
+
+def _judge(doc: np.ndarray, at: np.ndarray, n: np.ndarray, flat: np.ndarray, window: int) -> np.ndarray:
+    """For every window of a shard's pieces, in the order given: 0 the earliest of its kind, 1 a later one, 2 the same place again.
+
+    Pieces: ``n`` windows from window ``at`` of a document; ``flat`` has the word codes of all pieces, ``n + window - 1`` each.
+    """
+    size = n + window - 1
+    source = np.cumsum(size) - size
+    order = np.lexsort((at, doc))
+    size, count = size[order], n[order]
+    # A 0 after each piece ends matches.
+    begin = np.cumsum(size + 1) - (size + 1)
+    text = np.zeros(int(size.sum()) + len(size), np.int64)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[inside + np.repeat(begin, size)] = np.unique(flat[inside + np.repeat(source[order], size)], return_inverse=True)[1] + 1
+    which = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    length, interval = FMIndex(text, window).statistics(text, which + np.repeat(begin, count) + window)
+    found = np.flatnonzero(length == window)
+    # The documents were streamed in order, so the first window of an interval is the earliest.
+    _, first, group = np.unique(interval[found], return_index=True, return_inverse=True)
+    lead = found[first[group]]
+    doc, at = np.repeat(doc[order], count), np.repeat(at[order], count) + which
+    verdict = np.zeros(len(doc), np.int8)
+    verdict[found] = np.where(found == lead, 0, np.where((doc[found] == doc[lead]) & (at[found] == at[lead]), 2, 1))
+    out = np.empty_like(verdict)
+    out[np.repeat((np.cumsum(n) - n)[order], count) + which] = verdict
+    return out
+
+
+class _Material:
+    """Repeated-looking windows of some documents, gathered until they fill a shard."""
+
+    def __init__(self, window: int, k: int):
+        self.window, self.k = window, k
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, c: pa.RecordBatch) -> None:
+        places = c.column("places")
+        if places.null_count == len(places):
+            return
+        w = words(*text_buffers(c.column("text")), _IS_WORD)
+        start, low, _ = anchors(w, self.window, self.k)
+        per = np.maximum(w.counts() - self.window + 1, 0)
+        first_window = np.concatenate(([0], np.cumsum(per)))
+        size = pa.compute.list_value_length(places).fill_null(0).to_numpy()
+        flat = places.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(size)), size)
+        at, n, hot = flat >> 32, flat & (_HOT - 1), (flat & _HOT) > 0
+        # Runs of another row with the same id may reach past this text.
+        end = np.minimum(at + n, per[owner])
+        at = np.minimum(at, end)
+        marks = np.zeros((2, len(start) + 1), np.int32)
+        for mark, some in zip(marks, (np.ones(len(at), bool), hot)):
+            np.add.at(mark, (first_window[owner] + at)[some], 1)
+            np.add.at(mark, (first_window[owner] + end)[some], -1)
+        used, single = np.cumsum(marks[:, :-1], axis=1) > 0
+        use = np.flatnonzero(used)
+        if not len(use):
             return
-        key, here = _column(held, "key"), _column(held, "here").astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        edge = _runs(key[order])
-        total = np.add.reduceat(here[order], edge[:-1])
-        times = np.empty(len(key), np.int64)
-        times[order] = np.repeat(total, np.diff(edge))
-        keep = (times > 1) | (here == 0)
-        head = np.zeros(len(key), bool)
-        head[order[edge[:-1]]] = True
-        head &= (here > 0) & (times > 64)
-        yield from _pieces(
-            [_column(held, "doc_id")[keep], _column(held, "place")[keep], np.where(head, key, 0)[keep], np.where(head, times, np.minimum(times, 1))[keep]],
-            [pa.int64()] * 4, ["doc_id", "place", "anchor", "times"])
-
-    return runs.repartition(n, "key").mapInArrow(tidy(run), "doc_id long, place long, anchor long, times long")
-
-
-def _material(joined: DataFrame, window: int, k: int, hot: list[int]) -> DataFrame:
+        row = np.searchsorted(w.first, start[use], "right") - 1
+        edge = _runs(row, use - np.arange(len(use)))
+        s, n = edge[:-1], np.diff(edge)
+        size = n + self.window - 1
+        spot = np.arange(int(size.sum())) + np.repeat(start[use[s]] - (np.cumsum(size) - size), size)
+        key = np.where(single[use], windows(w, self.window)[1][use], low[use])
+        doc = c.column("doc_id").fill_null(0).to_numpy()[row[s]]
+        self.parts.append((doc, start[use[s]] - w.first[row[s]], n, (w.code[spot] >> U64(32)).astype(np.uint32), key, single[use]))
+        self.words += len(spot)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Pieces of windows that are the earliest here, for the shards of their keys, and runs of later ones (without codes)."""
+        if not self.parts:
+            return
+        doc, at, n, flat, key, single = (np.concatenate(x) for x in zip(*self.parts))
+        self.clear()
+        verdict = _judge(doc, at, n, flat, self.window)
+        piece = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        word = inside + np.repeat(np.cumsum(n + self.window - 1) - (n + self.window - 1), n)
+        key = np.where(verdict == 0, key, U64(0))
+        edge = _runs(piece, verdict, key, np.where(single & (verdict == 0), np.arange(len(piece)), 0))
+        s, m = edge[:-1], np.diff(edge)
+        s, m = s[verdict[s] < 2], m[verdict[s] < 2]
+        doc, at, later = doc[piece[s]], at[piece[s]] + inside[s], verdict[s] == 1
+        keys = np.where(later, mix64(doc.astype(U64)), key[s]).view(np.int64)
+        for i in range(0, len(s), 1 << 15):
+            r = slice(i, i + (1 << 15))
+            blobs = [None if x else flat[p : p + c + self.window - 1].tobytes() for p, c, x in zip(word[s[r]].tolist(), m[r].tolist(), later[r].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[r]), pa.array(doc[r]), pa.array(at[r].astype(np.int32)), pa.array(m[r].astype(np.int32)), pa.array(blobs, pa.binary())], _PIECE_NAMES)
+
+
+_PIECE_NAMES = ["key", "doc_id", "at", "n", "codes"]
+_PIECE = "key long, doc_id long, at int, n int, codes binary"
+
+
+def _material(joined: DataFrame, window: int, k: int) -> DataFrame:
     """``key, doc_id, at, n, codes``: pieces for the shards (n windows from window ``at``, word codes); without codes: n known repeats."""
-    hot_anchors = np.sort(np.array(hot, np.int64).view(U64)) if hot else np.zeros(0, U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ats, anchor, code, where, texts, base = [], [], [], [], [], [], 0
+        held = _Material(window, k)
         for b in batches:
             for c in chunks(b, "text"):
-                places = c.column("places")
-                if places.null_count == len(places):
-                    continue
-                w = words(*text_buffers(c.column("text")), _IS_WORD)
-                start, low, _ = anchors(w, window, k)
-                per = np.maximum(w.counts() - window + 1, 0)
-                first_window = np.concatenate(([0], np.cumsum(per)))
-                size = pa.compute.list_value_length(places).fill_null(0).to_numpy()
-                flat = places.flatten().to_numpy()
-                owner = np.repeat(np.arange(len(size)), size)
-                at, n = flat >> 32, flat & 0xFFFFFFFF
-                # Runs of another row with the same id may reach past this text.
-                end = np.minimum(at + n, per[owner])
-                at = np.minimum(at, end)
-                mark = np.zeros(len(start) + 1, np.int32)
-                np.add.at(mark, first_window[owner] + at, 1)
-                np.add.at(mark, first_window[owner] + end, -1)
-                use = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                doc = np.searchsorted(w.first, start[use], "right") - 1
-                docs.append(c.column("doc_id").fill_null(0).to_numpy()[doc])
-                ats.append(start[use] - w.first[doc])
-                anchor.append(low[use])
-                code.append(windows(w, window)[1][use])
-                where.append(base + start[use])
-                texts.append((w.code >> U64(32)).astype(np.uint32))
-                base += len(w.code)
-        if not docs:
-            return
-        doc, at, low, full, place, text = (np.concatenate(x) for x in (docs, ats, anchor, code, where, texts))
-        # Map-side combine: of each window the first occurrence in this task is kept; an equal place is the same occurrence.
-        order = np.lexsort((at, doc, full))
-        edge = _runs(full[order])
-        lead = np.repeat(order[edge[:-1]], np.diff(edge))
-        repeat = np.zeros(len(doc), bool)
-        repeat[order] = (doc[order] != doc[lead]) | (at[order] != at[lead])
-        twin = np.zeros(len(doc), bool)
-        twin[order] = (order != lead) & ~repeat[order]
-        keep = ~repeat & ~twin
-        single = np.isin(low, hot_anchors)
-        key = np.where(single, full, low)
-        step = np.where(single, np.arange(len(doc)), 0)
-        edge = _runs(keep, doc, at - np.arange(len(doc)), key, step, place - np.arange(len(doc)), twin)
-        s, n = edge[:-1], np.diff(edge)
-        told = repeat[s]
-        shipped = keep[s]
-        rows = np.flatnonzero(told | shipped)
-        keys = np.where(told, mix64(doc[s].astype(U64)), key[s]).view(np.int64)
-        for i in range(0, len(rows), 1 << 15):
-            r = rows[i : i + (1 << 15)]
-            blobs = [text[p : p + m + window - 1].tobytes() if x else None for p, m, x in zip(place[s[r]].tolist(), n[r].tolist(), shipped[r].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[r]), pa.array(doc[s[r]]), pa.array(at[s[r]].astype(np.int32)), pa.array(n[r].astype(np.int32)), pa.array(blobs, pa.binary())], ["key", "doc_id", "at", "n", "codes"])
-
-    return joined.mapInArrow(tidy(run), "key long, doc_id long, at int, n int, codes binary")
+                held.add(c)
+                if held.words >= SHARD_WORDS:
+                    yield from held.rows()
+        yield from held.rows()
 
-
-def _search(doc: np.ndarray, at: np.ndarray, n: np.ndarray, codes: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a shard's pieces that occur earlier in the shard: (doc, first window, windows) of their runs."""
-    order = np.lexsort((at, doc))
-    doc, at, n = doc[order], at[order], n[order]
-    flat = np.frombuffer(b"".join(codes[i] for i in order.tolist()), np.uint32)
-    size = n + window - 1
-    # A 0 after each piece keeps patterns from reaching into the next.
-    begin = np.cumsum(size + 1) - (size + 1)
-    text = np.zeros(int(size.sum()) + len(size), np.int64)
-    spot = np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)
-    values, symbols = np.unique(flat, return_inverse=True)
-    text[spot] = symbols + 1
-    at_text = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    piece = np.repeat(np.arange(len(n)), n)
-    # Windows with a fingerprint of their own cannot occur elsewhere in the shard.
-    w = Words(spot, spot + 1, mix64(flat.astype(U64) + U64(1)), np.concatenate(([0], np.cumsum(size))))
-    full = windows(w, window)[1]
-    by = np.argsort(full, kind="stable")
-    edge = _runs(full[by])
-    count = np.diff(edge)
-    lead = by[edge[:-1][count > 1]]
-    nothing = np.zeros(0, np.int64)
-    if not len(lead):
-        return nothing, nothing, nothing
-    index = FMIndex(text, window)
-    lo, hi = index.intervals(at_text[lead], text)
-    # Each window is reported from the interval of its own words, whatever its fingerprint.
-    lo, which = np.unique(lo, return_index=True)
-    hi = hi[which]
-    first = index.earliest(lo, hi)
-    size_of = hi - lo
-    members = index.sa[np.arange(int(size_of.sum())) - np.repeat(np.cumsum(size_of) - size_of, size_of) + np.repeat(lo, size_of)]
-    first = np.repeat(first, size_of)
-    window_at = np.full(len(text), -1, np.int64)
-    window_at[at_text] = np.arange(len(at_text))
-    m, f = window_at[members], window_at[first]
-    d_m, a_m = doc[piece[m]], at[piece[m]] + at_text[m] - begin[piece[m]]
-    d_f, a_f = doc[piece[f]], at[piece[f]] + at_text[f] - begin[piece[f]]
-    later = np.sort(m[(d_m != d_f) | (a_m != a_f)])
-    d, a = doc[piece[later]], at[piece[later]] + at_text[later] - begin[piece[later]]
-    edge = _runs(d, a - np.arange(len(a)), piece[later])
-    return d[edge[:-1]], a[edge[:-1]], np.diff(edge)
+    return joined.mapInArrow(tidy(run), _PIECE)
 
 
 def _report(material: DataFrame, n: int, window: int) -> DataFrame:
     """``doc_id, place``: runs of repeated windows found by the shards, and those that were known."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
+    def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        has = pa.compute.is_valid(t.column("codes"))
-        known = t.filter(pa.compute.invert(has))
-        t = t.filter(has)
-        docs, places = [known.column("doc_id").to_numpy()], [(known.column("at").to_numpy().astype(np.int64) << 32) | known.column("n").to_numpy()]
-        key = t.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        doc, at, count = (t.column(c).to_numpy().astype(np.int64)[order] for c in ("doc_id", "at", "n"))
-        codes = t.column("codes").take(pa.array(order)).to_pylist()
-        edge = _runs(key[order])
-        upto = np.concatenate(([0], np.cumsum(count + window - 1)))
-        i = 0
-        while i < len(edge) - 1:
-            j = max(i + 1, int(np.searchsorted(upto[edge], upto[edge[i]] + SHARD_WORDS, "right")) - 1)
-            s, e = int(edge[i]), int(edge[j])
-            d, a, m = _search(doc[s:e], at[s:e], count[s:e], codes[s:e], window)
-            docs.append(d)
-            places.append((a << 32) | m)
-            i = j
-        yield from _pieces([np.concatenate(docs), np.concatenate(places)], [pa.int64(), pa.int64()], ["doc_id", "place"])
-
-    return material.repartition(n, "key").mapInArrow(tidy(run), "doc_id long, place long")
+        doc, at, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "at", "n"))
+        later = _judge(doc, at, count, np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint32), window) == 1
+        piece = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        edge = _runs(piece, later)
+        s, m = edge[:-1], np.diff(edge)
+        s, m = s[later[s]], m[later[s]]
+        yield from _pieces([doc[piece[s]], ((at[piece[s]] + inside[s]) << 32) | m], [pa.int64()] * 2, ["doc_id", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            has = pa.compute.is_valid(b.column("codes"))
+            known = b.filter(pa.compute.invert(has))
+            yield from _pieces([known.column("doc_id").to_numpy(), (known.column("at").to_numpy().astype(np.int64) << 32) | known.column("n").to_numpy()], [pa.int64()] * 2, ["doc_id", "place"])
+            b = b.filter(has)
+            # Rows arrive sorted by key: a full shard ends where a key does.
+            while b.num_rows:
+                key = b.column("key").to_numpy()
+                ends = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [False]))) + 1
+                if held and key[0] != held[-1].column("key")[-1].as_py():
+                    ends = np.concatenate(([0], ends))
+                sums = size + np.cumsum(b.column("n").to_numpy().astype(np.int64) + window - 1)
+                full = ends[np.where(ends > 0, sums[ends - 1], size) >= SHARD_WORDS]
+                to = int(full[0]) if len(full) else b.num_rows
+                if to:
+                    held.append(b.slice(0, to))
+                    size = int(sums[to - 1])
+                if len(full):
+                    yield from search(held)
+                    held, size = [], 0
+                b = b.slice(to)
+        if held:
+            yield from search(held)
+
+    return material.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "doc_id long, place long")
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -284,19 +281,15 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Null and empty texts, and texts of fewer words, have no windows.  Rows with a null id are neither judged nor
     count as earlier.  Ids are expected to be unique; rows that repeat an id are one document, windows at one place of it being one
-    occurrence, and they share its places.  Other columns are ignored.
+    occurrence if their words are equal, and they share its places.  Other columns are ignored.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    path = new_path(spark, "repeated-runs")
-    _repeated_runs(_anchored_runs(source.where("doc_id is not null"), window, anchor), n).write.parquet(path)
-    runs = spark.read.parquet(path)
-    total = runs.agg(F.sum("times")).first()[0] or 0
-    hot = [r[0] for r in runs.where(F.col("times") * HOT_ANCHORS > F.lit(total)).where("anchor <> 0").select("anchor").distinct().collect()]
-    per_doc = runs.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    judged = source.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "places")
-    found = _report(_material(judged, window, anchor, hot), n, window)
+    runs = _repeated_runs(_anchored_runs(source.where("doc_id is not null"), window, anchor))
+    per_doc = runs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
+    judged = source.join(per_doc, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "places")
+    found = _report(_material(judged, window, anchor), n, window)
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
     return source.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "places")
 

@@ -1,17 +1,15 @@
 """Line deduplication with DataFrame operations only.
 
-Line keys become 128-bit hashes.  They are range-partitioned by (hash, document),
-and a hash aggregate folds the occurrences of a hash in each partition into one
-row (documents seen, keeping document); Spark drops the sort before it, as neither
-depends on the order.  Since the range bounds include the document, a
-hash that a third of all documents hold spans many partitions, and what is merged
-afterwards is one row per hash and partition.  The result of the operator is a
-compressed bitmap per document, never the text.
+Line keys become 128-bit hashes.  They are range-partitioned and sorted by hash, document
+(largest first) and position, and a window streams over each hash in that order: the first
+occurrences are those of the document that keeps the line, and the rank of the last one is the number of
+documents.  A hash that many lines share is dealt to several ranges by document; the first documents of
+each range are enough to decide it.  The result of the operator is a compressed bitmap per document, never the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut
@@ -19,8 +17,10 @@ from .store import cut
 #: Characters stripped from both ends of a line (fixed values: \x20, \x09-\x0D).
 _STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys that may be broadcast: those with more than this fraction (1/HOT_KEYS) of all repeated lines.
+#: A key with more than this fraction (1/HOT_KEYS) of all lines is dealt to several ranges; at most so many keys have one.
 HOT_KEYS = 1000
+#: Keys that the sketch follows which finds the hot ones; it has at most this size in every task, and its error is below half of 1/HOT_KEYS.
+SKETCH_KEYS = 1 << 13
 #: Lines in one word of a bitmap.
 WORD_BITS = 32
 
@@ -35,62 +35,68 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_row")]
 
 
-def line_keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Bitmaps of the lines to drop, for the documents that lose any.
+def _hot_keys(lines: DataFrame, hot_keys: int) -> DataFrame:
+    """``a1, salts``: first hashes of the keys with many lines, and the number of ranges that each is dealt to.
+
+    The counts come from a sketch of bounded size.  What it misses or adds changes how rows are dealt, never what is found.
+    """
+    total, top = lines.agg(F.count("*"), F.expr(f"approx_top_k(h1, {hot_keys}, {max(SKETCH_KEYS, 2 * hot_keys)})")).first()
+    found = [(x["item"], x["count"] * hot_keys // total + 1) for x in top or [] if x["count"] > 2 and x["count"] * hot_keys > total]
+    return lines.sparkSession.createDataFrame(found, "a1 long, salts long")
+
+
+def line_keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Bitmaps of the lines to keep, for the documents that lose any.
 
     A key is a line without surrounding ASCII white space and with A-Z lower-cased.
     Keys of ``min_chars`` code points or more in ``min_docs`` documents or more lose all
     their lines except those of the largest ``doc_id`` holding them.
 
-    Returns ``doc_id, _row, dropped map<int,int>``: word ``w`` has bit ``b`` set if
-    line ``32*w + b`` is dropped; words without dropped lines are left out.
+    Returns ``doc_id, _row, keep map<int,int>``: word ``w`` has bit ``b`` set if line ``32*w + b`` is kept; words whose lines all stay are left out.
 
-    Null or empty texts have one empty line and are kept.  Each input row is a document; exactly
-    repeated rows each count and, having the same id, keep or lose the same lines.  A null id sorts
-    first.  Other columns are ignored.
+    Null or empty texts have one empty line and are kept.  Rows that repeat an id are one document: they count once, and
+    keep or lose the same keys.  Rows with a null id are one document, the smallest.  Other columns are ignored.
     """
     folded = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
     stripped = F.transform(F.split(folded, "\n", -1), lambda x: F.btrim(x, F.lit(_STRIP)))
     keys = F.transform(stripped, lambda x: F.when(F.length(x) >= min_chars, F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))))
     lines = docs.select(*_row_key(doc_id, text), F.posexplode(keys).alias("pos", "h")).where("h is not null")
-    lines = lines.select("doc_id", "_row", "pos", "h.h1", "h.h2")
+    lines = cut(lines.select("doc_id", "_row", "pos", "h.h1", "h.h2"))
 
-    # One row per document and key: a document's keys are de-duplicated where the document is.
-    own = F.array_distinct(F.filter(stripped, lambda x: F.length(x) >= min_chars))
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.explode(own).alias("x")).select(
-        "doc_id", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), F.col("x")).alias("h2")
-    )
+    hot = _hot_keys(lines, hot_keys)
+    dealt = lines.join(F.broadcast(hot), F.col("h1") == F.col("a1"), "left")
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(-1))).drop("a1", "salts")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    streamed = held.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.col("doc_id").desc())
-    repeated = cut(streamed.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs))
-    # At most HOT_KEYS keys can each hold more than 1/HOT_KEYS of the repeated lines, so these are broadcast, and
-    # their lines are dealt by document and position; every other key is a small group for the shuffled join.
-    total = repeated.agg(F.sum("docs")).first()[0] or 0
-    is_hot = F.col("docs") * HOT_KEYS > F.lit(total)
-    hot = repeated.where(is_hot).select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct("keeper").alias("by_hot"))
-    rest = repeated.where(~is_hot).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.struct("keeper").alias("by_rest"))
-    lines = lines.join(F.broadcast(hot), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
-    lines = lines.withColumn("dealt", F.when(F.col("by_hot").isNull(), F.col("h1")).otherwise(F.xxhash64("_row", "pos")))
-    lines = lines.join(rest, (F.col("dealt") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left")
-    keeper = F.coalesce("by_hot", "by_rest")
-    dropped = lines.where(keeper.isNotNull() & ~F.col("doc_id").eqNullSafe(keeper["keeper"]))
+    key = ["h1", "h2", "salt"]
+    ordered = dealt.repartitionByRange(n, *key).sortWithinPartitions(*key, F.col("doc_id").desc_nulls_last(), "pos")
+    ranked = ordered.withColumn("rank", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last())))
+    ranked = ranked.withColumn("docs", F.max("rank").over(Window.partitionBy(*key)))
+    ranked = cut(ranked.where((F.col("docs") >= min_docs) | (F.col("salt") >= 0)))
+
+    # A key that was dealt to several ranges: its first documents in each, at most min_docs.
+    heads = ranked.where((F.col("salt") >= 0) & (F.col("rank") <= min_docs)).select("h1", "h2", F.struct("doc_id").alias("doc")).distinct()
+    wide = heads.groupBy(F.col("h1").alias("a1"), F.col("h2").alias("a2")).agg(F.max("doc").alias("keeper"), F.count("*").alias("n"))
+    salted = ranked.where("salt >= 0").join(F.broadcast(wide.where(F.col("n") >= min_docs)), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")))
+    dropped = ranked.where("salt < 0 and rank > 1").select("doc_id", "_row", "pos").unionByName(
+        salted.where(~F.col("doc_id").eqNullSafe(F.col("keeper.doc_id"))).select("doc_id", "_row", "pos")
+    )
     words = dropped.groupBy("doc_id", "_row", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1, pos % {WORD_BITS})")).alias("bits")
+        F.bitwise_not(F.bit_or(F.expr(f"shiftleft(1, pos % {WORD_BITS})"))).alias("bits")
     )
-    return words.groupBy("doc_id", "_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    return words.groupBy("doc_id", "_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` from documents and the bitmaps of :func:`line_keep_bitmaps`."""
     mine = docs.select(*_row_key(doc_id, text), split_lines(F.col(text)).alias("lines"))
-    there = bitmaps.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "dropped")
+    there = bitmaps.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_r"), "keep")
     both = mine.join(there, mine["doc_id"].eqNullSafe(there["_id"]) & (mine["_row"] == there["_r"]), "left")
 
     def bit(i: Column) -> Column:
-        word = F.try_element_at(F.col("dropped"), F.floor(i / WORD_BITS).cast("int"))
-        return F.coalesce(F.call_function("getbit", word, F.pmod(i, F.lit(WORD_BITS))), F.lit(0).cast("tinyint"))
+        word = F.try_element_at(F.col("keep"), F.floor(i / WORD_BITS).cast("int"))
+        return F.coalesce(F.call_function("getbit", word, F.pmod(i, F.lit(WORD_BITS))), F.lit(1).cast("tinyint"))
 
-    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: bit(i) == 0))
+    kept = F.when(F.col("keep").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: bit(i) == 1))
     return both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
         "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
     )

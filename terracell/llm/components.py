@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from .store import cut, discard, new_path
 
 
+#: A key with more than this fraction (1/HOT_KEYS) of all rows is hot; there are at most so many, whatever the size of the table.
+HOT_KEYS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with a table of unique keys, whose column ``weight`` has the number of rows of ``left`` with the key.
+
+    The hot keys, at most HOT_KEYS, are broadcast, so their rows stay where they are; the rows of all others are shuffled.
+    Both tables are read twice, so they should be written ones.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    hot = F.broadcast(right.where(is_hot))
+    return left.join(hot, on).unionByName(left.join(F.broadcast(right.where(is_hot).select(*on)), on, "left_anti").join(right.where(~is_hot), on))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges (u long, v long)``; the component is its smallest node.
 
-    Loops and nulls are ignored.  A node's smallest neighbour is aggregated before it meets the node's edges, so no
-    neighbourhood is collected, and each step is a written table, so a lost executor costs one step.  Tables rather than
+    Loops and nulls are ignored.  A node's smallest neighbour is aggregated before it meets the node's edges, and that of a hub
+    is broadcast, so no neighbourhood is collected, and each step is a written table, so a lost executor costs one step.  Tables rather than
     checkpoints: a checkpoint hands on the size estimate of its plan, and those of joins multiply from round to round.
     Rounds grow with the logarithm of the number of nodes.
     """
@@ -29,10 +45,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u long, m long")
-        large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "u long, v long")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "u long, m long")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "u long, m long, n long")
+        large = keep(join_hot(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "u long, v long")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u long, m long, n long")
+        small = join_hot(large, low, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "u long, v long")
         for path in held[:-1]:
             discard(spark, path)

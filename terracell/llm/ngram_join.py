@@ -3,12 +3,14 @@
 1. Every document gets a fingerprint of its set of word n-grams and its band hashes; the
    number of bands and rows follows from the threshold and the target recall.
    Documents with equal sets collapse into one representative.
-2. Representatives meet on band hashes.  A bucket yields one edge from each member to its
-   smallest member, never its pairs; connected through these edges are all candidates.
-3. The documents of a candidate component are gathered, in blocks if it is large, and
-   every pair of a block or of two blocks is verified on full n-gram sets at once by
-   matrix products.  Each document leaves with the number of its links and the smallest
-   document it is connected to, so no pair is ever a row.
+2. Representatives meet on band hashes.  Buckets with the same members are one unit.  A
+   bucket yields one edge from each member to its smallest member, never its pairs;
+   connected through these edges are the candidate components.
+3. The documents of a component, or of each of its units if that is less work, are
+   gathered, in blocks if they are many, and every pair of a block or of two blocks
+   is compared on full n-gram sets by matrix products.  A pair counts where its first common band
+   is looked at, so once, and only if it has one.  Each document leaves with the number of
+   its links and the smallest document it is connected to, so no pair is ever a row.
 4. Components over the verified links are the classes.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, join_hot
 from .store import cut
 from .vectext import chunks, mix64, space_table, text_buffers, tidy, U64, windows, _WORD_POWERS, words, Words
 
@@ -33,7 +35,7 @@ NGRAM, SIMILARITY = 5, 0.8
 RECALL = 0.999
 #: Hash functions a document is signed with at most.
 MAX_HASHES = 128
-#: Documents in a block of a candidate component; components of more than 16 blocks get larger blocks, up to four times as large.
+#: Documents in a block of a component or unit; those of more than 16 blocks get larger blocks, up to four times as large.
 #: A task verifies one block or two, so this bounds its memory; larger blocks mean fewer copies of a document in the shuffle.
 BLOCK_DOCS = 256
 #: n-grams that are columns of one matrix product.
@@ -116,8 +118,17 @@ def _labels(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, label) of every document of a task: all pairs of block i if i equals j, else all pairs between i and j."""
+def _first_common(bands: np.ndarray) -> np.ndarray:
+    """For each pair of rows the first column in which they agree, or the number of columns."""
+    m, width = bands.shape
+    first = np.full((m, m), width, np.uint8)
+    for b in range(width - 1, -1, -1):
+        first[np.equal.outer(bands[:, b], bands[:, b])] = b
+    return first
+
+
+def _verify(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, mask: int, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, label) of every document of a task: pairs of block i if i equals j, else pairs between i and j, whose first common band is in ``mask``."""
     m = len(ids)
     size = np.fromiter(map(len, sets), np.int64, m)
     gram, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
@@ -135,10 +146,13 @@ def _verify(ids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[n
         x[doc[a:b], column[a:b] - lo] = 1
         both += x @ x.T
     linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+    wanted = np.array([mask >> b & 1 for b in range(bands.shape[1])] + [0], bool)
+    linked &= wanted[_first_common(bands)]
     np.fill_diagonal(linked, False)
     if i != j:
         linked &= block[:, None] != block[None, :]
-    return linked @ copies, _labels(linked, ids)
+    # Texts of one id are in one class, linked or not.
+    return linked @ copies, _labels(linked | np.equal.outer(ids, ids), ids)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -164,6 +178,32 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _units(sets: DataFrame) -> DataFrame:
+    """``rep, th, leader, unit, mask, n``: for each set its units (buckets with the same members), the bands they stand for, their smallest id and size."""
+    members = sets.select("rep", "th", F.posexplode("bands").alias("no", "band"))
+    print_of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep", "th"))
+    buckets = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n"), print_of(1).alias("f1"), print_of(2).alias("f2")).where("n > 1")
+    buckets = cut(buckets.select("band", "leader", "n", F.xxhash64("f1", "f2", "n").alias("unit")))
+    met = join_hot(members, buckets, ["band"], "n")
+    return met.groupBy("rep", "th", "leader", "unit").agg(F.bit_or(F.expr("shiftleft(1L, no)")).alias("mask"), F.max("n").alias("n"))
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """``node, th, copies, bands, whole, size, groups``: the groups that each set is compared in.
+
+    A component is one group if that means no more pairs than its units have together; otherwise its units are the groups.
+    """
+    units = cut(_units(sets))
+    components = connected_components(units.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    each = units.groupBy(F.col("rep").alias("node"), "th").agg(F.sum("n").alias("pairs"), F.collect_list(F.struct(F.col("unit").alias("group"), "mask", "n")).alias("units"))
+    mine = sets.select(F.col("rep").alias("node"), "th", "copies", "bands")
+    held = cut(each.join(mine, ["node", "th"]).join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    per = cut(held.groupBy("component").agg(F.count("*").alias("size"), F.sum("pairs").alias("pairs")).select("component", "size", (F.col("size") * F.col("size") <= F.col("pairs")).alias("whole")))
+    both = join_hot(held, per, ["component"], "size")
+    alone = F.array(F.struct(F.col("component").alias("group"), F.lit(-1).cast("long").alias("mask"), F.col("size").alias("n")))
+    return both.select("node", "th", "copies", "bands", "whole", "size", F.when(F.col("whole"), alone).otherwise(F.col("units")).alias("groups"))
+
+
 def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = SIMILARITY, recall: float = RECALL,
                   block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies``, one row per input row.
@@ -192,57 +232,41 @@ def ngram_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     # Copies: one representative for each set of n-grams (the bands follow from the set).
     sets = usable.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     sets = cut(sets.select("fp1", "fp2", F.col("least.doc_id").alias("rep"), F.col("least.th").alias("th"), "copies", "bands"))
-    members = sets.select("rep", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    edges = members.join(cut(buckets), "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v"))
-    candidates = cut(connected_components(edges))
-    # A row per set; several sets have one node where rows of one id have different texts.
-    held = cut(candidates.join(sets.select(F.col("rep").alias("node"), "th", "copies"), "node"))
-    shared = held.count() > candidates.count()
-    per = cut(held.groupBy("component").agg(F.count("*").alias("size")).withColumn(
-        "blocks", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / 16, F.lit(block_docs)), F.lit(4 * block_docs))).cast("int")
-    ))
-    most = per.agg(F.max("blocks")).first()[0] or 0
-    # Few components are larger than a block, each with more than block_docs documents.
-    placed = held.join(per.select("component", "blocks"), "component")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "th"), F.col("blocks")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "th", "component", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    placed = _placed(sets)
+    # Rows that repeat one another have one text to compare.
+    texts = source.withColumnRenamed("doc_id", "node").join(placed, ["node", "th"]).dropDuplicates(["node", "th"])
+    tasks = texts.select("node", "th", "text", "copies", "bands", "whole", "size", F.explode("groups").alias("g")).select("*", "g.group", "g.mask", "g.n").drop("g")
+    tasks = tasks.withColumn("blocks", F.ceil(F.col("n") / F.least(F.greatest(F.col("n") / 16, F.lit(block_docs)), F.lit(4 * block_docs))).cast("int"))
+    # A component compared in one block needs no further look at its links: the labels are its classes.
+    tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node", "th"), F.col("blocks")).cast("int")).withColumn("final", F.col("whole") & (F.col("blocks") == 1))
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    gathered = source.withColumnRenamed("doc_id", "node").join(tasks, ["node", "th"]).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node", "th")
+    unit = ["whole", "group", "i", "j"]
+    # Ranges rather than hashes: pairs of large blocks are dealt evenly.
+    gathered = tasks.select("node", "th", "text", "copies", "bands", "mask", "final", "block", *unit).repartitionByRange(n, *unit).sortWithinPartitions(*unit)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["component", "i", "j"]):
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            node, th = t.column("node").to_numpy(), t.column("th").to_numpy()
-            t = t.take(pa.array(np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (th[1:] != th[:-1])))))).combine_chunks()
-            ids = t.column("node").to_numpy()
+        for t in _grouped(batches, unit):
+            t = t.combine_chunks()
+            first = {k: t.column(k)[0].as_py() for k in ("mask", "i", "j")}
+            ids, signature = t.column("node").to_numpy(), t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             grams: list[np.ndarray] = []
             for c in chunks(t.to_batches()[0], "text"):
                 code, edge = shingles(words(*text_buffers(c.column("text")), _IS_WORD), ngram)
                 grams += [np.unique(code[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-            links, label = _verify(ids, t.column("block").to_numpy(), t.column("copies").to_numpy(), grams, i, j, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), t.column("th").combine_chunks(), pa.array(links.astype(np.int64)), pa.array(label)], ["node", "th", "links", "label"])
-
-    verified = cut(gathered.select("node", "th", "text", "component", "copies", "block", "i", "j").mapInArrow(tidy(verify), "node long, th long, links long, label long"))
-    if most > 1 or shared:
-        joined = connected_components(verified.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        classes = verified.groupBy("node", "th").agg(F.sum("links").alias("links")).join(joined, "node", "left").select("node", "th", "links", F.coalesce("component", "node").alias("label"))
-    else:
-        classes = verified
-    found = sets.join(classes.withColumnRenamed("th", "t2"), (F.col("rep") == F.col("node")) & (F.col("th") == F.col("t2")), "left").select(
-        "fp1", "fp2", "copies", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    named = signed.drop("bands").withColumn("ok", F.col("has_words") & F.col("doc_id").isNotNull())
-    # Rows without words or id are dealt by their own fingerprint column, spread by id.
-    named = named.withColumn("k2", F.when(F.col("ok"), F.col("fp2")).otherwise(F.xxhash64("doc_id")))
-    both = named.join(found.withColumnRenamed("fp2", "k2"), ["fp1", "k2"], "left")
-    return both.select(
-        "doc_id", F.when(F.col("ok"), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("ok"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("ok"), F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("n_copies"),
-    )
+            links, label = _verify(ids, t.column("block").to_numpy(), t.column("copies").to_numpy(), grams, signature, **first, threshold=threshold)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), t.column("th").combine_chunks(), pa.array(links.astype(np.int64)), pa.array(label), t.column("final").combine_chunks()], ["node", "th", "links", "label", "final"])
+
+    verified = cut(gathered.mapInArrow(tidy(verify), "node long, th long, links long, label long, final boolean"))
+    joined = connected_components(verified.where("not final").select(F.col("node").alias("u"), F.col("label").alias("v")))
+    classes = verified.groupBy("node", "th").agg(F.sum("links").alias("links"), F.min("label").alias("label")).join(joined, "node", "left")
+    classes = classes.select(F.col("node").alias("rep"), "th", "links", F.coalesce("component", "label").alias("label"))
+    found = sets.drop("bands").join(classes, ["rep", "th"], "left")
+    found = cut(found.select("fp1", "fp2", "copies", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = join_hot(usable.select("doc_id", "fp1", "fp2"), found, ["fp1", "fp2"], "copies").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
+    alone = signed.where("not (has_words and doc_id is not null)").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return named.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The words of a clause become labels (insult, threat, target, negation, report, other).
-Four transducers rewrite the label sequence and weigh it: a threat or insult counts for
-more when somebody is addressed, for less after a negation, and for less inside reported
-speech.  They are composed into one automaton that runs over a clause once; the score of
-a document comes from its matched clauses.  A lone insult or threat is a match too, with its own weight.
-
-The insult entries (whole words, and stems that productive endings follow) and their
+The words of a clause become labels (abuse, harm, target, negation, report, other).  Six
+transducers rewrite the label sequence and weigh it: one marks what follows somebody who is
+addressed, one makes threats of harmful verbs that meet a target, one makes insults of abusive words, which count for little
+until a target comes before or after them, and three weaken what stands in reported speech, after a negation, or
+in a series.  They are composed into one automaton that runs over a clause once; the score
+of a document comes from its matched clauses.
+
+The abusive entries (whole words, and stems that productive endings follow) and their
 weights are learned from labelled documents, as is the logistic curve that turns clause
-scores into a probability.
+scores into a probability.  Entries are counted and features are computed by Spark; the driver gets
+counts and features.
 """
 
 from __future__ import annotations
@@ -16,19 +18,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .store import cut
 from .vectext import chunks, tidy
 
 #: Labelled rows used for fitting, per class at most (a documented bound; the rows are those with the smallest hashes of their ids).
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 5000
+#: Bytes of text used for fitting, per class at most: rows are taken in the order of those hashes while they fit.
+MAX_BYTES = 64 << 20
+#: Seed of the hash that picks labelled rows; its lowest bit is the half of a row.
+_PICK = 11
 #: Distinct harmless words that a worker remembers.
 PLAIN_WORDS = 200_000
 #: score at which a document is toxic (fixed value of the contract).
@@ -39,6 +46,7 @@ THREATS = "kill murder hurt destroy beat burn shoot stab hang töten umbringen t
 TARGETS = "you your yourself he she him her they them these those people du dich ihr euch sie tu toi vous ils elles tú usted ellos ellas".split()
 NEGATIONS = "not never isn aren don doesn nicht kein keine niemals jamais aucun nunca tampoco jamás".split()
 REPORTS = "said says called wrote claimed quoted sagte schrieb nannte dit écrit disait dijo escribió llamó".split()
+#: Weight of a harmful verb, and of the abuse that a later target completes (fixed value).
 THREAT_WEIGHT = 2.0
 INSULTS = "idiot moron stupid scum trash pathetic worthless disgusting loser clown".split()
 
@@ -58,6 +66,21 @@ class Transducer:
         return self.arcs.get((state, label)) or (self.fallback.get(state, state), label, 1.0)
 
 
+def target() -> Transducer:
+    """From somebody addressed to the end of the clause, abuse and harm are aimed at somebody."""
+    return Transducer({(0, "target"): (1, "target", 1.0), (1, "abuse"): (1, "aimed abuse", 1.0), (1, "harm"): (1, "aimed harm", 1.0)})
+
+
+def threat() -> Transducer:
+    """A harmful verb hardly counts until somebody is addressed, before it or after."""
+    return Transducer({(0, "harm"): (1, "threat", 0.1), (1, "harm"): (1, "threat", 0.1), (0, "aimed harm"): (0, "threat", 1.0), (1, "aimed harm"): (1, "threat", 1.0), (1, "target"): (0, "threat", 0.9)})
+
+
+def insult() -> Transducer:
+    """An abusive word alone is half an insult; the target that it is said of, before it or after, makes it a whole one and more."""
+    return Transducer({(0, "abuse"): (1, "insult", 0.5), (1, "abuse"): (1, "insult", 0.5), (0, "aimed abuse"): (0, "insult", 1.2), (1, "aimed abuse"): (1, "insult", 1.2), (1, "target"): (0, "insult", 0.7)})
+
+
 def reported_speech() -> Transducer:
     """From a verb of saying to the end of the clause, insults and threats are somebody else's."""
     return Transducer({(0, "report"): (1, "other", 1.0), (1, "insult"): (1, "insult", 0.6), (1, "threat"): (1, "threat", 0.4)})
@@ -72,20 +95,12 @@ def negation(reach: int = 2) -> Transducer:
     return Transducer(arcs, {s: s - 1 for s in range(1, reach + 1)})
 
 
-def target() -> Transducer:
-    """Somebody addressed earlier in the clause strengthens insults; a threat hardly counts until somebody is addressed, before it or after."""
-    return Transducer({
-        (0, "target"): (1, "other", 1.0), (0, "threat"): (2, "threat", 0.1), (1, "insult"): (1, "insult", 1.2), (1, "threat"): (1, "threat", 1.0),
-        (2, "threat"): (2, "threat", 0.1), (2, "target"): (1, "threat", 0.9),
-    })
-
-
 def series() -> Transducer:
     """Further insults of one clause add less."""
     return Transducer({(0, "insult"): (1, "insult", 1.0), (1, "insult"): (1, "insult", 0.8)})
 
 
-LABELS = ("insult", "threat", "target", "negation", "report", "other")
+LABELS = ("abuse", "harm", "target", "negation", "report", "other")
 
 
 def compose(parts: list[Transducer]) -> dict[tuple[int, str], tuple[int, float]]:
@@ -108,7 +123,8 @@ def compose(parts: list[Transducer]) -> dict[tuple[int, str], tuple[int, float]]
     return table
 
 
-GRAMMAR = compose([target(), reported_speech(), negation(), series()])
+PARTS = [target(), threat(), insult(), reported_speech(), negation(), series()]
+GRAMMAR = compose(PARTS)
 
 
 def entries(word: str) -> list[str]:
@@ -136,19 +152,19 @@ class Model:
         if word in self.known:
             return self.known[word]
         weight = max((self.lexicon[e] for e in entries(word) if e in self.lexicon), default=0.0)
-        found = ("insult", weight) if weight else ("threat", self.threats[word]) if word in self.threats else ("other", 0.0)
+        found = ("abuse", weight) if weight else ("harm", self.threats[word]) if word in self.threats else ("other", 0.0)
         if weight or word in self.threats:
             self.known[word] = found
         return found
 
     def triggers(self, words: list[str]) -> set[str]:
-        """Insults and threats among the words; each distinct word is looked up once per worker, within a bound."""
+        """Abuse and harm among the words; each distinct word is looked up once per worker, within a bound."""
         distinct = set(words)
         if len(self.plain) > PLAIN_WORDS:
             self.plain.clear()
         out = set()
         for w in distinct.difference(self.plain):
-            if self.label(w)[0] in ("insult", "threat"):
+            if self.label(w)[0] in ("abuse", "harm"):
                 out.add(w)
             else:
                 self.plain.add(w)
@@ -169,7 +185,7 @@ class Model:
                 for w in ws:
                     label, weight = self.label(w)
                     state, factor = GRAMMAR[state, label]
-                    # A target that completes a threat has no weight of its own.
+                    # A target that completes a threat or insult has no weight of its own.
                     total += factor * (weight or THREAT_WEIGHT)
                 if total:
                     scores.append(total)
@@ -189,47 +205,43 @@ def doc_entries(text: str) -> set[str]:
     return {e for w in set(_WORD.findall(text.lower())) for e in entries(w)}
 
 
-def learn_lexicon(toxic: list[str], clean: list[str], least_docs: int = 3, least_odds: float = 1.5, rest_odds: float = 0.5, most: int = 400) -> dict[str, float]:
-    """Entries that mark toxic documents, chosen one after another.
+#: Toxic documents that an entry must be in.
+LEAST_DOCS = 3
+
+
+def odds(p, n, toxic: int, clean: int, spreads: float = 1.0):
+    """Lower bound of the log-odds of an entry in ``p`` of the toxic and ``n`` of the clean documents (numbers or arrays)."""
+    p, n = np.asarray(p, float) + 0.5, np.asarray(n, float) + 0.5
+    return np.log(p / (toxic + 1.0)) - np.log(n / (clean + 1.0)) - spreads * np.sqrt(1 / p + 1 / n)
+
+
+def candidates(entry: list[str], p: np.ndarray, n: np.ndarray, toxic: int, clean: int, least_odds: float = 1.5) -> dict[str, tuple[float, int, int]]:
+    """``{entry: (lower bound of its log-odds, p, n)}`` of the entries that mark toxic documents."""
+    if not toxic or not clean:
+        return {}
+    low = odds(p, n, toxic, clean)
+    return {entry[i]: (float(low[i]), int(p[i]), int(n[i])) for i in np.flatnonzero((p >= LEAST_DOCS) & (low >= least_odds))}
+
+
+def choose(found: dict[str, tuple[float, int, int]], held: dict[str, list[int]], toxic: int, clean: int, rest_odds: float = 0.5) -> dict[str, float]:
+    """Entries with weights, chosen one after another; ``held`` has the toxic documents of each candidate.
 
     The next entry is the one with the most evidence in the toxic documents (lower bound of its log-odds times the root of its count) that no
-    chosen stem covers; it must hold in ``least_docs`` documents with fewer than two chosen entries, and have ``rest_odds`` in those it adds.  Texts are read again for each pass, so only
-    entries that may matter are held: first a table of hash buckets tells which entries are too rare.
+    chosen stem covers; it must hold in LEAST_DOCS documents with fewer than two chosen entries, and have ``rest_odds`` in those it adds.
     """
-    buckets = np.zeros(1 << 22, np.int32)
-    spot = lambda es: np.fromiter(map(hash, es), np.int64) & ((1 << 22) - 1)
-    for t in toxic:
-        np.add.at(buckets, spot(doc_entries(t)), 1)
-    support: Counter = Counter()
-    for t in toxic:
-        es = list(doc_entries(t))
-        support.update([e for e, ok in zip(es, (buckets[spot(es)] >= least_docs).tolist()) if ok])
-    support = Counter({e: n for e, n in support.items() if n >= least_docs})
-    against: Counter = Counter()
-    for t in clean:
-        against.update(doc_entries(t) & support.keys())
-    n1, n0 = len(toxic) + 1.0, len(clean) + 1.0
-
-    def odds(p: int, n: int) -> float:
-        spread = math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        return math.log((p + 0.5) / n1) - math.log((n + 0.5) / n0) - spread
-
-    weight = {e: w for e in support if (w := odds(support[e], against[e])) >= least_odds}
-    held: dict[str, list[int]] = {e: [] for e in weight}
-    for i, t in enumerate(toxic):
-        for e in doc_entries(t) & weight.keys():
-            held[e].append(i)
+    seen, out, longer = Counter(), {}, {}
     # Of entries with the same evidence the longest is the most specific.
-    seen, out = Counter(), {}
-    for e in sorted(weight, key=lambda e: (-weight[e] * math.sqrt(support[e]), -len(e), e)):
-        if len(out) == most or any(e.startswith(c) for c in out):
+    for e in sorted(found, key=lambda e: (-found[e][0] * math.sqrt(found[e][1]), -len(e), e)):
+        if any(e[:k] in out for k in _STEM if k < len(e)):
             continue
         # A stem of chosen entries is judged by the documents that they leave out.
-        parts = {i for c in out if c.startswith(e) for i in held[c]}
-        rest = [i for i in held[e] if i not in parts]
-        if sum(seen[i] < 2 for i in rest) >= least_docs and (w := odds(len(rest), against[e])) >= rest_odds:
+        rest = [i for i in held[e] if i not in longer.get(e, ())]
+        if sum(seen[i] < 2 for i in rest) >= LEAST_DOCS and (w := float(odds(len(rest), found[e][2], toxic, clean))) >= rest_odds:
             out[e] = min(w, 5.0)
             seen.update(held[e])
+            for k in _STEM:
+                if k < len(e):
+                    longer.setdefault(e[:k], set()).update(held[e])
     return out
 
 
@@ -247,23 +259,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40
     return w.tolist()
 
 
-def fit(texts: Iterable[tuple[str, int]]) -> Model:
-    """Model from (text, toxic) rows.  Entries are learned on one half and the curve on the other, then the entries on all."""
-    rows = list(dict.fromkeys(texts))  # copies of a text are one witness
-    seed = {w + "$": 2.5 for w in INSULTS}
-
-    def lexicon(part: list) -> dict[str, float]:
-        return seed | learn_lexicon([t for t, y in part if y], [t for t, y in part if not y])
-
-    if not any(y for _, y in rows) or all(y for _, y in rows):
-        return Model(seed, [-2.5, 3.0, 1.0, 0.5, 0.5])
-    halves = (rows[::2], rows[1::2])
-    x, y = [], []
-    for a, b in (halves, halves[::-1]):
-        m = Model(lexicon(a), [])
-        x += [m.features(t) for t, _ in b]
-        y += [v for _, v in b]
-    return Model(lexicon(rows), fit_curve(np.array(x), np.array(y, float)))
+SEED = {w + "$": 2.5 for w in INSULTS}
 
 
 def held_out(doc_id):
@@ -271,17 +267,90 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, max_clean: int = MAX_CLEAN_ROWS) -> Model:
-    """Fits on at most ``max_toxic`` and ``max_clean`` labelled rows that are not held out.
-
-    labels: ``doc_id, toxic``; null ids and labels are left out, and of several labels of one id the largest counts.
-    """
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_bytes: int) -> DataFrame:
+    """``h, text, toxic``: distinct labelled texts that are not held out, within the bounds, with the hash that picked them."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    hashed = usable.withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
+    hashed = usable.withColumn("h", F.xxhash64(F.lit(_PICK), "doc_id"))
     chosen = hashed.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).unionByName(hashed.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
-    return fit((r["text"], r["toxic"]) for r in rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat an id one text counts, and copies of a text are one witness.
+    one = texts.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text")).groupBy("text", "toxic").agg(F.min("h").alias("h"))
+    # The window runs over the bounded sample.
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", F.xxhash64("text")))
+    return one.withColumn("bytes", so_far).where(F.col("bytes") <= max_bytes).select("h", "text", "toxic")
+
+
+def _count_entries(sample: DataFrame) -> DataFrame:
+    """``entry, p0, p1, n0, n1``: toxic and clean documents with the entry, by half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, "text"):
+                parts = [Counter() for _ in range(4)]
+                for h, text, toxic in zip(*(c.column(k).to_pylist() for k in ("h", "text", "toxic"))):
+                    parts[(0 if toxic else 2) + (h & 1)].update(doc_entries(text))
+                names = list(set().union(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([p[e] for e in names], pa.int64()) for p in parts)], ["entry", "p0", "p1", "n0", "n1"])
+
+    counted = sample.mapInArrow(tidy(run), "entry string, p0 long, p1 long, n0 long, n1 long")
+    return counted.groupBy("entry").agg(*(F.sum(k).alias(k) for k in ("p0", "p1", "n0", "n1"))).where(F.col("p0") + F.col("p1") >= LEAST_DOCS)
+
+
+def _holders(sample: DataFrame, names: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Toxic documents of each entry, as (half, hash)."""
+    wanted = set(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, "text"):
+                held = [(e, h) for h, text in zip(c.column("h").to_pylist(), c.column("text").to_pylist()) for e in doc_entries(text) & wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in held], pa.string()), pa.array([h for _, h in held], pa.int64())], ["entry", "h"])
+
+    held = sample.where("toxic = 1").mapInArrow(tidy(run), "entry string, h long").toArrow()
+    out: dict[str, list[tuple[int, int]]] = {e: [] for e in names}
+    for e, h in zip(held.column("entry").to_pylist(), held.column("h").to_pylist()):
+        out[e].append((h & 1, h))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, max_clean: int = MAX_CLEAN_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on labelled rows that are not held out: at most ``max_toxic`` and ``max_clean`` of them, and ``max_bytes`` of text per class.
+
+    labels: ``doc_id, toxic``; null ids and labels are left out, and of several labels of one id the largest counts.  Of rows that
+    repeat an id one text counts.  Entries are learned on each half of the rows for the curve on the other half, and then on all.
+    Without labelled rows of both classes the seed vocabulary and a fixed curve serve.
+    """
+    sample = cut(labelled_sample(docs, labels, max_toxic, max_clean, max_bytes))
+    size = np.zeros(4, int)
+    for r in sample.groupBy("toxic", F.col("h").bitwiseAND(F.lit(1)).alias("half")).count().collect():
+        size[(0 if r["toxic"] else 2) + r["half"]] = r["count"]
+    if not size[:2].sum() or not size[2:].sum():
+        return Model(dict(SEED), [-2.5, 3.0, 1.0, 0.5, 0.5])
+    t = _count_entries(sample).toArrow()
+    entry, p0, p1, n0, n1 = (t.column(k).to_pylist() if k == "entry" else t.column(k).to_numpy() for k in t.schema.names)
+    # For all rows, for the first half and for the second.
+    counts = [(p0 + p1, n0 + n1, size[0] + size[1], size[2] + size[3]), (p0, n0, size[0], size[2]), (p1, n1, size[1], size[3])]
+    found = [candidates(entry, *c) for c in counts]
+    held = _holders(sample, list(set().union(*found)))
+    lexicons = []
+    for half, f, (_, _, toxic, clean) in zip((None, 0, 1), found, counts):
+        lexicons.append(SEED | choose(f, {e: [h for at, h in held[e] if half is None or at == half] for e in f}, toxic, clean))
+    x = _features(sample, Model(lexicons[1], []), Model(lexicons[2], [])).toArrow()
+    return Model(lexicons[0], fit_curve(np.array(x.column("x").to_pylist()), x.column("y").to_numpy().astype(float)))
+
+
+def _features(sample: DataFrame, first: Model, second: Model) -> DataFrame:
+    """``x, y``: features of each row by the model of the other half, and its label."""
+    lexicons = (first.lexicon, second.lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Model(lexicon, []) for lexicon in lexicons]
+        for b in batches:
+            for c in chunks(b, "text"):
+                x = [models[1 - (h & 1)].features(text) for h, text in zip(c.column("h").to_pylist(), c.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), c.column("toxic")], ["x", "y"])
+
+    return sample.mapInArrow(tidy(run), "x array<double>, y int")
 
 
 def score_documents(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:

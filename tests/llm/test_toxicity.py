@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import sys
 import zlib
@@ -35,8 +36,8 @@ def frames(spark, rows):
 def test_grammar_scores_clauses():
     m = T.Model({"idiot$": 2.0}, [0.0] * 5)
     score = lambda t: sum(m.clause_scores(t)[0])
-    assert score("you idiot") > score("an idiot") > score("not an idiot")
-    assert score("they said an idiot came") < score("an idiot came")
+    assert score("you idiot") > score("an idiot you are") > 2 * score("an idiot") > 2 * score("not an idiot")
+    assert score("they said an idiot came") < score("they saw an idiot came")
     assert score("they said it. an idiot came") == score("an idiot came")
     assert score("kill the lights") < score("i will kill you") <= score("you i will kill")
     assert score("nice words only") == 0 and score("idiotic") == 0
@@ -44,21 +45,96 @@ def test_grammar_scores_clauses():
 
 
 def test_composition_equals_running_in_turn():
-    parts = [T.target(), T.reported_speech(), T.negation(), T.series()]
-    table = T.compose(parts)
+    table = T.compose(T.PARTS)
     rng = random.Random(3)
     for _ in range(300):
         labels = rng.choices(T.LABELS, k=12)
-        state, states = 0, [0] * len(parts)
+        state, states = 0, [0] * len(T.PARTS)
         for label in labels:
             out, weight = label, 1.0
-            for i, t in enumerate(parts):
+            for i, t in enumerate(T.PARTS):
                 states[i], out, f = t.step(states[i], out)
                 weight *= f
             state, got = table[state, label]
             assert got == (weight if out in ("insult", "threat") else 0.0)
 
 
+def by_rules(words, label):
+    """Score of a clause read off the rules, without states."""
+    total, insults, harms, abuses, addressed = 0.0, 0, 0, 0, False
+    for i, w in enumerate(words):
+        kind, weight = label(w)
+        made, factor = None, 0.0
+        if kind == "harm":
+            made, factor = "threat", 1.0 if addressed else 0.1
+            harms += not addressed
+        elif kind == "abuse":
+            made, factor = "insult", 1.2 if addressed else 0.5
+            abuses += not addressed
+        elif kind == "target":
+            if harms:
+                made, factor, harms = "threat", 0.9, 0
+            elif abuses:
+                made, factor, abuses = "insult", 0.7, 0
+            addressed = True
+        if made is None:
+            continue
+        if any(label(x)[0] == "report" for x in words[:i]):
+            factor *= 0.6 if made == "insult" else 0.4
+        if any(label(x)[0] == "negation" for x in words[max(0, i - 2) : i]):
+            factor *= 0.7 if made == "insult" else 0.3
+        if made == "insult":
+            factor *= 0.8 if insults else 1.0
+            insults += 1
+        total += factor * (weight or T.THREAT_WEIGHT)
+    return total
+
+
+def test_scores_against_the_rules():
+    m = T.Model({"idiot$": 2.5, "grumpf": 1.7}, [-3.0, 2.0, 1.0, 0.5, 0.7])
+    rng = random.Random(5)
+    pool = ["idiot", "grumpfen", "grumpf", "kill", "hurt", "you", "they", "not", "never", "said", "called", "tree", "house", "green"]
+    for _ in range(400):
+        clauses = [rng.choices(pool, k=rng.randrange(0, 9)) for _ in range(rng.randrange(1, 5))]
+        text = rng.choice([". ", "; ", "\n"]).join(" ".join(c) for c in clauses)
+        got, n = m.clause_scores(text)
+        want = [x for c in clauses if any(m.label(w)[0] in ("abuse", "harm") for w in c) and (x := by_rules(c, m.label))]
+        assert n == sum(map(len, clauses)) and len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+        s = sum(want)
+        z = sum(a * b for a, b in zip(m.curve, (1, min(s, 30) / 10, max(want, default=0) / 5, math.log1p(len(want)), min(s / math.sqrt(n + 20), 5))))
+        assert abs(m.score(text) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_entries_are_counted_by_half(spark):
+    rows = [(h, t, y) for h, (_, t, y) in enumerate(labelled(120))]
+    got = {r["entry"]: tuple(r)[1:] for r in T._count_entries(spark.createDataFrame(rows, "h long, text string, toxic int").repartition(3)).collect()}
+    want = {}
+    for h, t, y in rows:
+        for e in T.doc_entries(t):
+            want.setdefault(e, [0, 0, 0, 0])[(0 if y else 2) + h % 2] += 1
+    assert got == {e: tuple(c) for e, c in want.items() if c[0] + c[1] >= T.LEAST_DOCS}
+
+
+def test_ties_and_covered_entries():
+    found = {"grum$": (2.0, 4, 0), "grump": (2.0, 4, 0), "blorp$": (2.0, 4, 0), "rare$": (2.0, 2, 0)}
+    held = {"grum$": [1, 2, 3, 4], "grump": [5, 6, 7, 8], "blorp$": [9, 10, 11, 12], "rare$": [1, 2]}
+    first = T.choose(found, held, 20, 50)
+    assert list(first) == ["blorp$", "grum$", "grump"] and first == T.choose(dict(reversed(found.items())), held, 20, 50)
+    stems = {"grumpf": (2.5, 6, 0), "grumpfen$": (2.0, 3, 0)}
+    assert list(T.choose(stems, {"grumpf": [1, 2, 3, 4, 5, 6], "grumpfen$": [1, 2, 3]}, 20, 50)) == ["grumpf"]
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (3, "a"), (4, "x" * 100), (5, None), (7, "y" * 60), (8, "z" * 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y in ((1, 0), (1, 1), (3, 1), (4, 1), (5, 1), (7, 0), (8, 0))], "doc_id long, toxic int")
+    usable = [i for i in (1, 3, 4, 7, 8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = T.labelled_sample(docs, labels, 10, 10, 80).collect()
+    assert all(len(r["text"]) <= 80 for r in got) and len({r["text"] for r in got if r["toxic"]}) == len([r for r in got if r["toxic"]])
+    assert sum(len(r["text"]) for r in got if not r["toxic"]) <= 80
+    everything = T.labelled_sample(docs, labels, 10, 10, 10**6).collect()
+    assert len({r["h"] for r in everything}) == len(everything) and len(everything) <= len(usable)
+
+
 def test_held_out_accuracy(spark):
     rows = labelled()
     docs, labels = frames(spark, rows)
@@ -81,7 +157,8 @@ def test_held_out_rows_do_not_train(spark):
 
 
 def test_awkward_rows(spark):
-    model = T.fit([(t, y) for _, t, y in labelled()])
+    docs, labels = frames(spark, labelled())
+    model = T.train(docs, labels)
     df = cases.frame(spark)
     got = T.score_documents(df, model).collect()
     assert len(got) == df.count() and all(0 <= r["score"] <= 1 for r in got)

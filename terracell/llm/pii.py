@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, find_spans
+from .spans import find_spans, Span, Taken
 
 #: Kinds in the order of the contract, then the added ones.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -118,23 +118,17 @@ def find_pii(text: str, min_score: float = 0.5) -> list[Span]:
             if 8 <= len(_digits(m[0])) <= 15:
                 base("phone", *m.span())
 
-    taken = [(s, e) for _, s, e, _, _ in out]
-
-    def add(kind: str, start: int, end: int) -> None:
-        score = _scored(kind, text, start, end)
-        if score >= min_score and not any(s < end and start < e for s, e in taken):
-            out.append((kind, start, end, score, False))
-            taken.append((start, end))
-
-    for m in _IBAN.finditer(text):
-        compact = m[0].replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            add("iban", *m.span())
-    for s, e in short:
-        add("short_card", s, e)
-    for m in _LOCAL_PHONE.finditer(text):
-        if 7 <= len(_digits(m[0])) <= 15:
-            add("local_phone", *m.span())
+    taken = Taken([(s, e) for _, s, e, _, _ in out])
+
+    def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
+        """Spans of one kind, which do not overlap one another, where nothing is taken."""
+        new = [(kind, s, e, score, False) for s, e in spans if not taken.meets(s, e) and (score := _scored(kind, text, s, e)) >= min_score]
+        out.extend(new)
+        taken.add([y[1:3] for y in new])
+
+    add("iban", (m.span() for m in _IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)))
+    add("short_card", short)
+    add("local_phone", (m.span() for m in _LOCAL_PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15))
     return out
 
 
@@ -148,7 +142,7 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_s
     ``found`` has kind, start, end (code points), score and whether the span is one of the base kinds.
 
     Null and empty texts have no spans.  Repeated rows give repeated results; ids are not looked at.  Other
-    columns are ignored.  Every pattern is linear in the text.
+    columns are ignored.  The time grows with the length of the text.
     """
     return find_spans(docs, lambda t: find_pii(t, min_score), lambda y: (_RANK[y[0]], y[1]), BASE_KINDS, doc_id, text)
 

@@ -3,9 +3,10 @@
 Candidates are long tokens.  The narrowest alphabet that holds a token is its inferred
 encoding (decimal, hex, letters, base32, base36, base62, base64, printable).  Three tests ask whether the token looks drawn
 uniformly from that alphabet: chi-squared uniformity of its symbols, a runs test of
-the upper half against the lower half, and the serial correlation of neighbours; a token that one of
-them clearly rejects is no secret.  For the rest, the likelihood of a uniform
-draw over that of ordinary text gives an e-value; ``1/e`` bounds the p-value of ordinary
+the upper half against the lower half, and the serial correlation of neighbours.  Their
+p-values are combined by Fisher's method.  The likelihood of a uniform draw over that of
+ordinary text is an e-value; times the battery's p-value, which is at most 1, it still is
+one, and a token that the battery doubts needs that much more evidence.  ``1/e`` bounds the p-value of ordinary
 text reaching it, and falls with the length of the token.  The candidates of a document
 are then accepted by the Benjamini-Hochberg rule at level ``fdr``, with weights by length.
 """
@@ -19,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Span, find_spans
+from .spans import find_spans, Span, Taken
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
@@ -102,13 +103,21 @@ def evidence(token: str) -> float:
     return total
 
 
-def random_tokens(text: str, fdr: float, alpha: float) -> list[tuple[int, int, float]]:
+def combined(p_values: list[float]) -> float:
+    """Fisher's combination of three p-values: minus twice the sum of logarithms is chi-squared with six degrees of freedom."""
+    x = -sum(math.log(max(p, 1e-300)) for p in p_values)
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def random_tokens(text: str, fdr: float) -> list[tuple[int, int, float]]:
     """Tokens accepted as random: start, end and q-value."""
     seen = []
     for m in _TOKEN.finditer(text):
         t = m[0]
-        rejected = min(3 * min(battery(t).values()), 1.0) < alpha
-        seen.append((1.0 if rejected else math.exp(-max(0.0, evidence(t))), len(t), m.start(), m.end()))
+        e = evidence(t)
+        # The battery can only lower the evidence, so tokens without any need no test.
+        p = 1.0 if e <= 0 else min(1.0, math.exp(-e) / max(combined(list(battery(t).values())), 1e-300))
+        seen.append((p, len(t), m.start(), m.end()))
     if not seen:
         return []
     mean = sum(n for _, n, _, _ in seen) / len(seen)
@@ -122,7 +131,7 @@ def random_tokens(text: str, fdr: float, alpha: float) -> list[tuple[int, int, f
     return out
 
 
-def find_secrets(text: str, fdr: float = 1e-4, alpha: float = 1e-3) -> list[Span]:
+def find_secrets(text: str, fdr: float = 1e-4) -> list[Span]:
     out: list[Span] = []
     lower = text.lower() if (":" in text or "=" in text) else ""
     if lower and any(x in lower for x in _NAMES):
@@ -130,25 +139,24 @@ def find_secrets(text: str, fdr: float = 1e-4, alpha: float = 1e-3) -> list[Span
     if "AKIA" in text:
         out += [("access", *m.span(), 1.0, True) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", *m.span(), 1.0, True) for m in _HEX.finditer(text)]
-    taken = [(s, e) for _, s, e, _, _ in out]
-    out += [("random", s, e, 1.0 - q, False) for s, e, q in random_tokens(text, fdr, alpha) if not any(a < e and s < b for a, b in taken)]
+    taken = Taken([(s, e) for _, s, e, _, _ in out])
+    out += [("random", s, e, 1.0 - q, False) for s, e, q in random_tokens(text, fdr) if not taken.meets(s, e)]
     return out
 
 
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 
-def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = 1e-4, alpha: float = 1e-3) -> DataFrame:
+def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = 1e-4) -> DataFrame:
     """Secrets in every whole text.
 
-    ``fdr``: level at which the random tokens of a document are controlled; ``alpha``: level at which one of the
-    randomness tests rules a token out.  Returns ``doc_id, found, counts, base_sha256, spans``, one row per input
-    row (see :func:`spans.find_spans`).
+    ``fdr``: level at which the random tokens of a document are controlled.  Returns ``doc_id, found, counts, base_sha256,
+    spans``, one row per input row (see :func:`spans.find_spans`).
 
     Null and empty texts have no spans.  Repeated rows give repeated results; ids are not looked at.  Other
-    columns are ignored.  Every pattern is linear in the text.
+    columns are ignored.  The time grows with the length of the text.
     """
-    return find_spans(docs, lambda t: find_secrets(t, fdr, alpha), lambda y: (y[1], _RANK[y[0]]), BASE_KINDS, doc_id, text)
+    return find_spans(docs, lambda t: find_secrets(t, fdr), lambda y: (y[1], _RANK[y[0]]), BASE_KINDS, doc_id, text)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

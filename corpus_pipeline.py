@@ -15,7 +15,7 @@ from terracell.llm import decontamination, mixing, ngram_join, store, token_ids,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents with a score of 0.3 or more go."""
+    """Operator 1: documents with a score of 0.3 or more go; a null text scores as an empty one.  The score is never a column of the result."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = "score"
     while name in docs.columns:
@@ -24,22 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one document of each group of near copies stays."""
+    """Operator 4: one document of each group of near copies stays, the one with the smallest id; rows with a null id or without words stay."""
     return ngram_join.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents with a benchmark window go."""
+    """Operator 9: documents with a benchmark window go, items with a null id included; null and empty texts stay."""
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: a document is there as often as the mix takes it."""
+    """Operator 2: a document is there as often as the mix takes it; those without words are never taken."""
     return mixing.take_copies(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the corpus as packed token ids, described from the files."""
+    """Operator 6: the corpus as packed token ids, described from the files; null ids come first, and a null text is an end id."""
     out = store.new_path(spark, "corpus-ids")
     token_ids.write_segments(docs, token_ids.public_vocabulary(), out)
     return token_ids.read_segments(spark, out)
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table goes once the next one is written, and the last one's when the application ends."""
     ship.package(spark)
-    """The rows of the last stage; each stage's table goes once the next one is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = store.new_path(spark, f"stage-{name}")

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset a temporary folder serves a local session; on a cluster, whose machines do not see
+    each other's folders, it is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="terracell-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
@@ -23,16 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once with ``checkpoint()``; Spark removes its files when they are no longer used."""
+    """Materialise ``df`` once with ``checkpoint()``; Spark removes its files when they are no longer used if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as :mod:`terracell.session` does."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a written table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table in the session's own folder, which goes when the application ends."""
+    home = f"{shared_dir(spark)}/terracell-{spark.sparkContext.applicationId}"
+    fs, p = _files(spark, home)
+    if fs.mkdirs(p):
+        fs.deleteOnExit(p)
+    return f"{home}/{name}-{uuid.uuid4().hex}"

@@ -134,10 +134,9 @@ def decode_pfor(blob: bytes, first_block: int = 0, last_block: int | None = None
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
-#: Bytes that may belong to white space beyond ASCII, to a control that some libraries count as space, or to a special token.
-_SUSPECT = np.zeros(256, bool)
-_SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
-_WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80")
+#: Bytes that may begin white space beyond ASCII or a control that some libraries count as space.
+_ODD = (0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3)
+_ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80"
 _SIMPLE = re.compile(r"\x20?\S+")
 #: Kinds of bytes: beyond ASCII, letter or digit, other mark, space, other ASCII white space.
 _ALNUM, _MARK, _BLANK = 1, 2, 3
@@ -149,13 +148,21 @@ class Encoder:
 
     Texts are cut only where the pre-tokenizer always parts them: before a lone white space between two other characters,
     after it unless it is a space, and between an ASCII letter or digit and a following ASCII mark.  A text with unusual
-    white space or a special token is one piece.
+    white space or a token that the vocabulary adds to the model's is one piece.
+
+    Pieces are looked up by fingerprint and then compared: by length and outer bytes, which are all bytes of pieces of up to 32, and
+    longer ones byte by byte.  Should a fingerprint ever stand for two pieces, the texts of that chunk are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile(b"|".join([_ODD_SPACE, *map(re.escape, added)]))
+        self.suspect = np.zeros(256, bool)
+        self.suspect[[*_ODD, *(x[0] for x in added)]] = True
+        self.added = [x.decode() for x in added]
         newline = self._flat(["\n"])
         self.newline = newline[0] if len(newline) == 1 else None
         self._forget()
@@ -172,10 +179,13 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 1
         self.ids[0], self.length[0] = END_ID, 1  # slot 0 ends a document
+        self.shape, self.inner = np.zeros((2, 1 << 16), np.uint64), np.zeros((2, 1 << 16), np.uint64)
+        self.bytes = np.zeros(1 << 16, np.int32)
+        self.long: dict[int, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of the pieces with the next numbers."""
-        simple = [i for i, p in enumerate(pieces) if _SIMPLE.fullmatch(p) and "<|" not in p]
+        simple = [i for i, p in enumerate(pieces) if _SIMPLE.fullmatch(p) and not any(x in p for x in self.added)]
         # A line feed between such pieces is always an id of its own, so they are encoded in one call and parted there.
         parts = ["\n".join(pieces[i] for i in simple[a : a + 20_000]) for a in range(0, len(simple), 20_000)]
         gap = np.array([self.newline or 0], np.uint32)
@@ -195,6 +205,8 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.total + count > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+            self.shape, self.inner = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.shape, self.inner))
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[slot] = self.used + np.cumsum(size) - size
         self.length[slot] = size
@@ -217,9 +229,9 @@ class Encoder:
             cut[1 : n - 1] = alone
             cut[2:n] |= alone & (kind[1:-1] > _BLANK)
             cut[1:n] |= (kind[1:] == _MARK) & (kind[:-1] == _ALNUM)
-            odd = np.unique(np.searchsorted(offsets, np.flatnonzero(_SUSPECT[data]), "right") - 1)
+            odd = np.unique(np.searchsorted(offsets, np.flatnonzero(self.suspect[data]), "right") - 1)
             for d in odd.tolist():
-                if _WHOLE.search(data[offsets[d] : offsets[d + 1]]):
+                if self.whole.search(data[offsets[d] : offsets[d + 1]]):
                     cut[offsets[d] : offsets[d + 1]] = False
         cut[offsets[:-1]] = True
         cut[n] = False
@@ -232,9 +244,29 @@ class Encoder:
         # Numbers grow with each first appearance, so new pieces are where the running maximum rises.
         highest = np.maximum.accumulate(np.concatenate(([self.total - 1], slots)))
         new = np.flatnonzero(highest[1:] > highest[:-1])
+        raw = data.tobytes()
+        bytes_at = np.ndarray(n + 1, "<u8", raw + bytes(8), strides=(1,))
+        piece = end - start
+        head, tail = bytes_at[start], bytes_at[np.maximum(start, end - 8)]
+        short, long = np.flatnonzero(piece < 8), np.flatnonzero(piece > 16)
+        head[short] &= (np.uint64(1) << (piece[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        # The bytes behind a short piece are not its own.
+        tail[short] = 0
+        second, third = bytes_at[start[long] + 8], bytes_at[end[long] - 16]
+        longest = long[piece[long] > 32]
         if len(new):
-            raw = data.tobytes()
+            first = self.total
             self._learn([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            self.shape[:, first : self.total] = head[new], tail[new]
+            self.bytes[first : self.total] = piece[new]
+            at = np.flatnonzero(slots[long] >= first)
+            self.inner[:, slots[long[at]]] = second[at], third[at]
+            for i in longest[slots[longest] >= first].tolist():
+                self.long.setdefault(int(slots[i]), raw[start[i] : end[i]])
+        alike = (self.shape[0][slots] == head).all() and (self.shape[1][slots] == tail).all() and (self.bytes[slots] == piece).all()
+        alike = alike and (self.inner[0][slots[long]] == second).all() and (self.inner[1][slots[long]] == third).all()
+        if not alike or any(self.long[k] != raw[a:b] for k, a, b in zip(slots[longest].tolist(), start[longest].tolist(), end[longest].tolist())):
+            return self._whole(raw, offsets)
         # Documents without bytes share the start of the next one; their only id is the end id.
         doc_first = np.searchsorted(start, offsets)
         slots = np.insert(slots, doc_first[1:], 0)
@@ -246,6 +278,12 @@ class Encoder:
         return self.ids[gather], per_doc
 
 
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], add_special_tokens=False)
+        ids = [np.append(np.array(e.ids, np.uint32), np.uint32(END_ID)) for e in found]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -265,12 +303,13 @@ def write_segments(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str =
     ``out`` is a folder of Parquet files: a row is a segment, with its place (part, segment, ids of the part
     before it), its documents and their lengths, and the packed ids.  Spark's commit protocol makes a lost or repeated task harmless.
 
-    Null and empty texts have the end id only.  Null ids come first; rows with equal ids stay together, in the order of their
-    texts.  Other columns are ignored.  An empty table writes an empty folder.
+    Null and empty texts have the end id only.  Null ids come first; rows with equal ids follow one another by length of text
+    and a hash of it, and may be in several parts.  Other columns are ignored.  An empty table writes an empty folder.
     """
     n = PARTS_PER_PARTITION * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.length("text").asc(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -305,7 +344,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, out: str, doc_id: str =
 def read_segments(spark, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in a folder of :func:`write_segments`, from the packed ids.
 
-    start: ids of all documents before it.  The window runs over one row per written part; their number is that of the
+    start: ids of all documents before it.  Null ids, repeated ids and texts without ids come back as they were written; an empty folder gives no rows.
+    The window runs over one row per written part; their number is that of the
     writer's tasks, so these rows are broadcast and the packed ids are read where they lie.
     """
     segments = spark.read.parquet(path)

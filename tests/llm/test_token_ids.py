@@ -84,3 +84,22 @@ def test_forgetting_changes_nothing(monkeypatch, enc):
     e = K.Encoder(K.public_vocabulary())
     for t in (["a b c d e f"], ["g h i a b"], ["a b c"]):
         assert e.encode(*V.text_buffers(pa.array(t)))[0].tolist() == direct(enc, t)[0]
+
+
+def test_equal_fingerprints_do_not_mix_pieces(monkeypatch):
+    monkeypatch.setattr(K, "run_codes", lambda data, start, end: V.run_codes(data, start, end) % np.uint64(40))
+    e = K.Encoder(K.public_vocabulary())
+    rng = random.Random(2)
+    for _ in range(20):
+        t = [" ".join(rng.choice(["alpha", "beta", "gamma delta", "x" * 30, "x" * 29 + "y", "é" * 9, "no", "yes", "12,5"]) for _ in range(rng.randrange(1, 40))) for _ in range(5)]
+        ids, n = e.encode(*V.text_buffers(pa.array(t)))
+        want = direct(e, t)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
+def test_rows_of_one_id_are_spread(spark, tmp_path):
+    rows = [(7, f"text number {i} of one id " + "w " * (i % 3), "en", "a") for i in range(400)]
+    K.write_segments(cases.frame(spark, rows, repeat=False), K.public_vocabulary(), str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).select("part").distinct().count() > 3
+    got = sorted(K.read_segments(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
+    assert len(got) == 400 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import join_hot
 from .store import cut
 
 #: Weights by rank of the source, repeating (fixed values of the contract).
@@ -38,7 +39,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, limit: float = 2.0, wei
     total; it is found from running sums over the sources in the order in which they fill up.
     """
     per = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
-    # One row per source: these windows order sources, not documents.
+    # One row per source: these windows order sources, not documents, so one task sees as many rows as there are sources.
     rank = Window.orderBy(F.col("source").asc_nulls_last())
     everyone = Window.partitionBy()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -107,9 +108,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     in order.  Rows repeated in full (same id, source and size) are rounded together, so
     they get equal copies.  Other columns are ignored.  An empty table gives an empty result.
     """
-    sized = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    targets = cut(source_targets(sized, share, limit, weights)).withColumnRenamed("source", "_source")
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    # A key without null for the source; sources with much of the corpus are broadcast with their targets, all others are shuffled.
+    sized = cut(sized.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    targets = cut(source_targets(sized, share, limit, weights).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"))
+    rows = join_hot(sized, targets, ["_key"], "docs").drop("_key")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("base", F.floor(ratio + 1e-12).cast("long")).withColumn("part", F.greatest(ratio - F.col("base"), F.lit(0.0)))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
@@ -144,7 +147,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def take_copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with their own columns, each as often as :func:`mix_sources` takes it."""
+    """The mix itself: the rows of ``docs`` with their own columns, each as often as :func:`mix_sources` takes it.
+
+    Rows without words (null and empty texts) are never taken; a row with a null id or source is taken as any other; repeated rows are
+    taken equally often.  An empty table gives an empty one.
+    """
     decided = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), "copies").distinct()
     # The row travels as a struct, so its columns may have any names.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

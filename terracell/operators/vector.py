@@ -46,8 +46,18 @@ def clean_geometries(features: DataFrame, geometry: str = "geometry") -> DataFra
     return fixed.where(P.is_usable(F.col(geometry)))
 
 
+def gather_parts(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """One geometry per combination of ``keys``: all its parts side by side, each distinct part once.
+
+    For layers that divide a territory, whose parts do not overlap; borders between touching parts stay.
+    """
+    parts = features.where(P.is_usable(F.col(geometry))).groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(geometry)["polys"])))).alias("polys"))
+    kind = F.when(F.size("polys") == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
+    return parts.select(*keys, F.struct(kind.alias("type"), F.col("polys").alias("polys")).alias(geometry))
+
+
 def dissolve(features: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
-    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_exact`."""
+    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_exact` and :func:`gather_parts`."""
     parts = features.where(P.is_usable(F.col(geometry))).groupBy(key).agg(F.flatten(F.collect_list(F.col(geometry)["polys"])).alias("polys"))
     boxes = F.transform("polys", lambda p: P.bounds(F.array(p)))
     meet = lambda a, b: (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"]) & (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import VAR_TYPES
+
 
 def missing_years(files: DataFrame, first: int, last: int) -> DataFrame:
     """``year``: expected years without a row in ``files``."""
@@ -26,6 +28,19 @@ def require_none(missing: DataFrame, what: str) -> None:
         raise ValueError(f"missing {what}: " + ", ".join("-".join(str(v) for v in r) for r in rows))
 
 
+def grid_problems(grids: DataFrame) -> DataFrame:
+    """Rows of ``grids (crs, transform, width, height, ...)`` that no plan can use, with the reason in ``problem``."""
+    a, e = F.col("transform")[0], F.col("transform")[4]
+    bad = F.when(F.coalesce(F.trim("crs"), F.lit("")) == "", "no CRS").when(F.coalesce(a * e, F.lit(0.0)) == 0, "cells without area")
+    bad = bad.when((F.coalesce("width", F.lit(0)) < 1) | (F.coalesce("height", F.lit(0)) < 1), "no cells")
+    return grids.withColumn("problem", bad).where("problem is not null")
+
+
+def unknown_types(layers: DataFrame, column: str = "var_type") -> DataFrame:
+    """Rows whose variable type is none of the known ones."""
+    return layers.where(~F.coalesce(F.col(column).isin(*VAR_TYPES), F.lit(False)))
+
+
 def shapes(cells: DataFrame, key: str) -> DataFrame:
     """``key, height, width`` of each input."""
     return cells.groupBy(key).agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))

@@ -1,4 +1,8 @@
-"""GeoTIFF files: strips or tiles, uncompressed or deflate, integer and floating samples."""
+"""GeoTIFF files, classic and big: strips or tiles, uncompressed, deflate or LZW, integer and floating samples.
+
+Files are written tile by tile: tasks compress 256 x 256 blocks, and the compressed blocks are streamed into the
+file, so no layer is ever one array.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..model import GridSpec
 
 #: Tag numbers (fixed values).
@@ -18,59 +23,119 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, GEO_ASCII, NODATA = 33550, 33922, 34264, 34735, 34737, 42113
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+#: Compression numbers: none, LZW, deflate (fixed values).
+_NONE, _LZW, _DEFLATE = 1, 5, (8, 32946)
 BLOCK = 256
+#: Bytes from which a file is a big one, with room for the header.
+BIG = (1 << 32) - (1 << 20)
 #: Geographic type and projected type keys, and the citation key (fixed values).
 _GEOGRAPHIC, _PROJECTED, _CITATION = 2048, 3072, 1026
 
 
-def decode(blob: bytes) -> tuple[np.ndarray, GridSpec, float | None]:
-    """(bands, rows, cols) array, grid and NoData of the first image of a file."""
-    order = {b"II": "<", b"MM": ">"}.get(blob[:2])
-    if order is None or len(blob) < 8 or struct.unpack_from(order + "H", blob, 2)[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    tags = _tags(blob, order)
+Window = tuple[int, int, int, int]
+
+
+def decode(blob: bytes, window: Window | None = None, band: int | None = None) -> tuple[np.ndarray, GridSpec, float | None]:
+    """(bands, rows, cols) array, grid and NoData of the first image of a file.
+
+    ``window``: first row, row after the last, first column, column after the last; only its blocks are unpacked.  ``band``
+    counts from 1.  The grid is that of the whole file.
+    """
+    order, tags = _header(blob)
     w, h = tags[WIDTH][0], tags[HEIGHT][0]
     samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (8,))
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
     dtype = np.dtype(f"{order}{kind}{bits[0] // 8}")
     planar = tags.get(PLANAR, (1,))[0] == 2
     packed, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-    if packed not in (1, 8, 32946) or predictor not in (1, 2):
+    if packed not in (_NONE, _LZW, *_DEFLATE) or predictor not in (1, 2, 3):
         raise ValueError(f"compression {packed} with predictor {predictor} is not supported")
     if TILE_OFFSETS in tags:
         bw, bh, offs, counts = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         bw, bh, offs, counts = w, min(h, tags.get(ROWS_PER_STRIP, (h,))[0]), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    r0, r1, c0, c1 = window or (0, h, 0, w)
+    r0, r1, c0, c1 = max(0, r0), min(h, r1), max(0, c0), min(w, c1)
     across, down = -(-w // bw), -(-h // bh)
     per = 1 if planar else samples
-    out = np.empty((samples, down * bh, across * bw), dtype)
-    for i, (o, n) in enumerate(zip(offs, counts)):
-        raw = blob[o : o + n]
-        raw = zlib.decompress(raw) if packed != 1 else raw
-        plane, j = divmod(i, across * down) if planar else (0, i)
-        r, c = divmod(j, across)
-        a = np.frombuffer(raw, dtype)
-        a = a[: len(a) // (bw * per) * bw * per].reshape(-1, bw, per)
-        if predictor == 2:
-            a = np.cumsum(a, axis=1, dtype=dtype)
-        for s in range(per):
-            out[plane if planar else s, r * bh : r * bh + len(a), c * bw : (c + 1) * bw] = a[:, :, s]
-    return out[:, :h, :w], GridSpec(_crs(tags), _transform(tags), w, h), _nodata(tags)
-
-
-def _tags(blob: bytes, order: str) -> dict[int, tuple]:
-    at = struct.unpack_from(order + "I", blob, 4)[0]
-    out = {}
-    for i in range(struct.unpack_from(order + "H", blob, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", blob, at + 2 + 12 * i)
-        if kind not in _TYPES:
+    first_r, first_c = r0 // bh, c0 // bw
+    rows, cols = max(0, -(-r1 // bh) - first_r), max(0, -(-c1 // bw) - first_c)
+    bands = range(samples) if band is None else range(band - 1, band)
+    nodata = _nodata(tags)
+    out = np.full((len(bands), rows * bh, cols * bw), 0 if nodata is None or (kind != "f" and nodata != nodata) else nodata, dtype)
+    for plane in bands if planar else (0,):
+        for r in range(first_r, first_r + rows):
+            for c in range(first_c, first_c + cols):
+                i = plane * across * down + r * across + c
+                if not counts[i]:  # a block that was never written
+                    continue
+                raw = blob[offs[i] : offs[i] + counts[i]]
+                raw = zlib.decompress(raw) if packed in _DEFLATE else _unpack_lzw(raw) if packed == _LZW else raw
+                a = _samples(raw, dtype, bw, per, predictor)
+                at = slice((r - first_r) * bh, (r - first_r) * bh + len(a)), slice((c - first_c) * bw, (c - first_c + 1) * bw)
+                for k, s in enumerate(bands):
+                    if planar and s == plane or not planar:
+                        out[(k, *at)] = a[:, :, 0 if planar else s]
+    part = out[:, r0 - first_r * bh : r1 - first_r * bh, c0 - first_c * bw : c1 - first_c * bw]
+    return part, GridSpec(_crs(tags), _transform(tags), w, h), nodata
+
+
+def _samples(raw: bytes, dtype: np.dtype, width: int, per: int, predictor: int) -> np.ndarray:
+    """(rows, width, samples) of an unpacked block."""
+    size = width * per * dtype.itemsize
+    rows = len(raw) // size
+    if predictor == 3:
+        # Bytes of one significance together, the highest first, each row as differences.
+        x = np.frombuffer(raw, np.uint8, rows * size).reshape(rows, -1, per).cumsum(axis=1, dtype=np.uint8)
+        x = x.reshape(rows, dtype.itemsize, width * per).transpose(0, 2, 1)
+        return np.ascontiguousarray(x).view(dtype.newbyteorder(">")).reshape(rows, width, per)
+    a = np.frombuffer(raw, dtype, rows * width * per).reshape(rows, width, per)
+    return np.cumsum(a, axis=1, dtype=dtype) if predictor == 2 else a
+
+
+def _unpack_lzw(raw: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, the highest bit first; 256 starts anew and 257 ends."""
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, width, held, bits, last = list(start), bytearray(), 9, 0, 0, b""
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
             continue
-        size = struct.calcsize("<" + _TYPES[kind]) * n
-        where = at + 2 + 12 * i + 8
-        if size > 4:
-            where = struct.unpack_from(order + "I", blob, where)[0]
-        out[tag] = (blob[where : where + n],) if kind == 2 else struct.unpack_from(order + _TYPES[kind] * n, blob, where)
-    return out
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(start), 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + entry[:1])
+            width = min(12, (len(table) + 1).bit_length())
+        out += entry
+        last = entry
+    return bytes(out)
+
+
+def _header(blob: bytes) -> tuple[str, dict[int, tuple]]:
+    """(byte order, tags) of a classic or big file."""
+    order = {b"II": "<", b"MM": ">"}.get(blob[:2])
+    kind = struct.unpack_from(order + "H", blob, 2)[0] if order and len(blob) >= 16 else 0
+    if kind not in (42, 43):
+        raise ValueError("not a TIFF file")
+    word, number, inline = ("Q", "Q", 8) if kind == 43 else ("I", "H", 4)
+    at = struct.unpack_from(order + word, blob, 8 if kind == 43 else 4)[0]
+    out, step = {}, 4 + 2 * inline
+    first = at + struct.calcsize("<" + number)
+    for i in range(struct.unpack_from(order + number, blob, at)[0]):
+        tag, t, n = struct.unpack_from(order + "HH" + word, blob, first + step * i)
+        if t not in _TYPES:
+            continue
+        where = first + step * i + 4 + inline
+        if struct.calcsize("<" + _TYPES[t]) * n > inline:
+            where = struct.unpack_from(order + word, blob, where)[0]
+        out[tag] = (blob[where : where + n],) if t == 2 else struct.unpack_from(order + _TYPES[t] * n, blob, where)
+    return order, out
 
 
 def _transform(tags: dict) -> tuple:
@@ -103,7 +168,7 @@ def _nodata(tags: dict) -> float | None:
         return None
 
 
-def encode(bands: np.ndarray, grid: GridSpec, nodata: float | None = None, compress: bool = True, tiled: bool = True) -> bytes:
+def encode(bands: np.ndarray, grid: GridSpec, nodata: float | None = None, compress: bool = True, tiled: bool = True, big: bool = False) -> bytes:
     """A little-endian GeoTIFF with separate bands in 256 x 256 deflate tiles by default."""
     n, h, w = bands.shape
     bands = bands.astype(bands.dtype.newbyteorder("<"))
@@ -117,100 +182,135 @@ def encode(bands: np.ndarray, grid: GridSpec, nodata: float | None = None, compr
                     part = np.pad(part, ((0, bh - part.shape[0]), (0, bw - part.shape[1])), mode="edge")
                 raw = np.ascontiguousarray(part).tobytes()
                 blocks.append(zlib.compress(raw) if compress else raw)
-    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
+    sizes = [len(x) for x in blocks]
+    places = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist()
+    return _head(grid, n, bands.dtype, nodata, sizes, places, compress, (bw, bh) if tiled else bh, big) + b"".join(blocks)
+
+
+def _head(grid: GridSpec, n: int, dtype: np.dtype, nodata: float | None, sizes: list[int], places: list[int], compress: bool, block: tuple[int, int] | int, big: bool) -> bytes:
+    """Everything before the blocks, whose ``places`` count from there; ``block``: width and height of a tile, or rows of a strip."""
     a, b, c, d, e, f = grid.transform
     epsg = int(grid.crs[5:]) if grid.crs.upper().startswith("EPSG:") else None
     name = (grid.crs + "|").encode("latin-1", "replace")
-    geographic = epsg == 4326
+    geographic, tiled, word = epsg == 4326, isinstance(block, tuple), "Q" if big else "I"
     keys = [(1024, 0, 1, 2 if geographic else 1), (1025, 0, 1, 1)]
     keys += [(_GEOGRAPHIC if geographic else _PROJECTED, 0, 1, epsg)] if epsg else [(_CITATION, GEO_ASCII, len(name), 0)]
-    counts = [len(x) for x in blocks]
+    where = TILE_OFFSETS if tiled else STRIP_OFFSETS
     entries: list[tuple[int, int, tuple]] = [
-        (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (bands.dtype.itemsize * 8,) * n), (COMPRESSION, 3, (8 if compress else 1,)), (PHOTOMETRIC, 3, (1,)),
-        (SAMPLES, 3, (n,)), (PLANAR, 3, (2,)), (FORMAT, 3, (kind,) * n), (TRANSFORM, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
+        (WIDTH, 4, (grid.width,)), (HEIGHT, 4, (grid.height,)), (BITS, 3, (dtype.itemsize * 8,) * n), (COMPRESSION, 3, (8 if compress else 1,)), (PHOTOMETRIC, 3, (1,)),
+        (SAMPLES, 3, (n,)), (PLANAR, 3, (2,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[dtype.kind],) * n),
+        (TRANSFORM, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
         (GEO_KEYS, 3, (1, 1, 0, len(keys), *[v for k in sorted(keys) for v in k])), (GEO_ASCII, 2, (name,)),
+        (TILE_COUNTS if tiled else STRIP_COUNTS, 4, tuple(sizes)), (where, 16 if big else 4, tuple(places)),
     ]
-    entries += [(TILE_WIDTH, 4, (bw,)), (TILE_HEIGHT, 4, (bh,))] if tiled else [(ROWS_PER_STRIP, 4, (bh,))]
-    entries += [(TILE_COUNTS if tiled else STRIP_COUNTS, 4, tuple(counts)), (TILE_OFFSETS if tiled else STRIP_OFFSETS, 4, (0,) * len(blocks))]
+    entries += [(TILE_WIDTH, 4, (block[0],)), (TILE_HEIGHT, 4, (block[1],))] if tiled else [(ROWS_PER_STRIP, 4, (block,))]
     if nodata is not None:
         entries.append((NODATA, 2, (f"{nodata:.17g}\0".encode(),)))
     entries.sort()
-    body = 8 + 2 + 12 * len(entries) + 4
+    pack = lambda t, v: v[0] if t == 2 else struct.pack("<" + _TYPES[t] * len(v), *v)
+    inline, start = (8, 16) if big else (4, 8)
+    body = start + (8 if big else 2) + (4 + 2 * inline) * len(entries) + inline
+    first = body + sum(len(r) + len(r) % 2 for _, t, v in entries if len(r := pack(t, v)) > inline)
+    if not big and first + max((p + k for p, k in zip(places, sizes)), default=0) >= 1 << 32:
+        raise ValueError("too large for a classic TIFF file")
+    head = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, start, len(entries)) if big else struct.pack("<2sHIH", b"II", 42, start, len(entries))
     extra = b""
-    packed = {}
-    for tag, t, v in entries:
-        raw = v[0] if t == 2 else struct.pack("<" + _TYPES[t] * len(v), *v)
-        packed[tag] = (raw, body + len(extra))
-        extra += raw + b"\0" * (len(raw) % 2) if len(raw) > 4 else b""
-    first = body + len(extra)
-    if first + sum(counts) >= 1 << 32:
-        raise ValueError("too large for a classic TIFF file; split the layer")
-    offsets = np.cumsum([first, *counts[:-1]]).tolist() if counts else []
-    head = struct.pack("<2sHIH", b"II", 42, 8, len(entries))
     for tag, t, v in entries:
-        raw, at = packed[tag]
-        if tag in (TILE_OFFSETS, STRIP_OFFSETS):
-            raw = struct.pack("<" + "I" * len(offsets), *offsets)
-            if len(raw) > 4:
-                extra = extra[: at - body] + raw + extra[at - body + len(raw) :]
-        count = len(raw) if t == 2 else len(v)
-        head += struct.pack("<HHI", tag, t, count) + (struct.pack("<I", at) if len(raw) > 4 else raw.ljust(4, b"\0"))
-    return head + b"\0\0\0\0" + extra + b"".join(blocks)
+        raw = pack(t, tuple(first + x for x in v) if tag == where else v)
+        head += struct.pack("<HH" + word, tag, t, len(raw) if t == 2 else len(v))
+        if len(raw) > inline:
+            head += struct.pack("<" + word, body + len(extra))
+            extra += raw + b"\0" * (len(raw) % 2)
+        else:
+            head += raw.ljust(inline, b"\0")
+    return head + b"\0" * inline + extra
 
 
 _CELLS = "path string, band int, row int, col int, value double"
 _GRIDS = "path string, crs string, transform array<double>, width int, height int, bands int, nodata double, dtype string"
 
 
-def read_cells(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """``path, band, row, col, value`` of all files under ``path``; NoData and NaN are NULL.  A task decodes a file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def read_cells(spark: SparkSession, path: str, pattern: str = "*.tif*", window: Window | None = None, band: int | None = None) -> DataFrame:
+    """``path, band, row, col, value`` of all files under ``path``; NoData and NaN are NULL.
+
+    A task decodes a file, of a ``window`` (see :func:`decode`) only its blocks and of a ``band`` only its blocks.  Rows and
+    columns count from the corner of the file.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, blob in zip(frame["path"], frame["content"]):
-                bands, _, nodata = decode(bytes(blob))
-                for i, band in enumerate(bands):
-                    for r in range(0, len(band), 64):
-                        v = band[r : r + 64].astype(np.float64)
+                bands, g, nodata = decode(bytes(blob), window, band)
+                r0, c0 = (max(0, window[0]), max(0, window[2])) if window else (0, 0)
+                for i, plane in enumerate(bands):
+                    for r in range(0, len(plane), 64):
+                        v = plane[r : r + 64].astype(np.float64)
                         if nodata is not None:
                             v[v == nodata] = np.nan
                         rr, cc = np.indices(v.shape)
-                        flat = v.ravel()
-                        yield pd.DataFrame({"path": name, "band": np.int32(i + 1), "row": (rr.ravel() + r).astype(np.int32), "col": cc.ravel().astype(np.int32), "value": flat})
+                        yield pd.DataFrame({"path": name, "band": np.int32(band or i + 1), "row": (rr.ravel() + r + r0).astype(np.int32), "col": (cc.ravel() + c0).astype(np.int32), "value": v.ravel()})
 
-    return files.mapInPandas(run, _CELLS).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return _files(spark, path, pattern).mapInPandas(run, _CELLS).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def read_grids(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """One catalog row per file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """One catalog row per file, from its tags; no block is unpacked."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for name, blob in zip(frame["path"], frame["content"]):
-                bands, g, nodata = decode(bytes(blob))
+                bands, g, nodata = decode(bytes(blob), (0, 0, 0, 0))
                 rows.append((name, g.crs, list(g.transform), g.width, g.height, len(bands), nodata, bands.dtype.name))
             yield pd.DataFrame(rows, columns=["path", "crs", "transform", "width", "height", "bands", "nodata", "dtype"])
 
-    return files.mapInPandas(run, _GRIDS)
+    return _files(spark, path, pattern).mapInPandas(run, _GRIDS)
 
 
-def write_layer(cells: DataFrame, grid: GridSpec, path: str, dtype: str = "float32", nodata: float = -9999.0, overwrite: bool = False) -> bool:
-    """One file from cells ``band, row, col, value``; False if it exists and ``overwrite`` is off.
+def packed_tiles(cells: DataFrame, dtype: str = "float32", nodata: float = -9999.0) -> DataFrame:
+    """``band, tile_row, tile_col, size, data``: deflate blocks of 256 x 256 from cells ``band, row, col, value``; a task holds one block at a time."""
+    at = cells.where("value is not null").select("band", (F.col("row") / BLOCK).cast("int").alias("tile_row"), (F.col("col") / BLOCK).cast("int").alias("tile_col"), "row", "col", "value")
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((BLOCK, BLOCK), nodata, np.dtype(dtype).newbyteorder("<"))
+        a[part["row"] % BLOCK, part["col"] % BLOCK] = part["value"]
+        data = zlib.compress(a.tobytes())
+        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in ("band", "tile_row", "tile_col")}, "size": [len(data)], "data": [data]})
+
+    return at.groupBy("band", "tile_row", "tile_col").applyInPandas(pack, "band int, tile_row int, tile_col int, size int, data binary")
 
-    A file is one array on the driver, so this is for finished layers; the distributed sink is Parquet by tile (:func:`write_tiles`).
-    """
-    from pathlib import Path
 
-    if Path(path).exists() and not overwrite:
+def write_layer(cells: DataFrame, grid: GridSpec, path: str, dtype: str = "float32", nodata: float = -9999.0, overwrite: bool = False, bands: int | None = None) -> bool:
+    """One file, in any store, from cells ``band, row, col, value``; False if it exists and ``overwrite`` is off.
+
+    Tasks pack the blocks into a written table.  The driver learns their sizes, writes the header (a big file from 4 GB on) and
+    streams one packed block after another; blocks without cells share one block of NoData.  Cells outside the grid raise.
+    """
+    spark = cells.sparkSession
+    if not overwrite and store.exists(spark, path):
         return False
-    n = cells.agg(F.max("band")).first()[0] or 1
-    out = np.full((n, grid.height, grid.width), nodata, dtype)
-    for band, row, col, value in ((r["band"], r["row"], r["col"], r["value"]) for r in cells.where("value is not null").select("band", "row", "col", "value").toLocalIterator()):
-        out[band - 1, row, col] = value
-    Path(path).write_bytes(encode(out, grid, nodata))
+    at = store.new_path(spark, "tiles")
+    inside = (F.col("row") >= 0) & (F.col("row") < grid.height) & (F.col("col") >= 0) & (F.col("col") < grid.width)
+    checked = cells.withColumn("row", F.when(inside, F.col("row")).otherwise(F.raise_error(F.lit("a cell outside the grid")).cast("int")))
+    packed_tiles(checked, dtype, nodata).write.parquet(at)
+    tiles = spark.read.parquet(at)
+    down, across = -(-grid.height // BLOCK), -(-grid.width // BLOCK)
+    sizes = {(r["band"], r["tile_row"], r["tile_col"]): r["size"] for r in tiles.select("band", "tile_row", "tile_col", "size").toLocalIterator()}
+    n = bands or max((b for b, _, _ in sizes), default=1)
+    blank = zlib.compress(np.full((BLOCK, BLOCK), nodata, np.dtype(dtype).newbyteorder("<")).tobytes())
+    lengths, places, end = [], [], len(blank)
+    for key in ((b, r, c) for b in range(1, n + 1) for r in range(down) for c in range(across)):
+        lengths.append(sizes.get(key, len(blank)))
+        places.append(end if key in sizes else 0)
+        end += sizes.get(key, 0)
+    head = _head(grid, n, np.dtype(dtype), nodata, lengths, places, True, (BLOCK, BLOCK), end >= BIG)
+    ordered = (bytes(r["data"]) for r in tiles.orderBy("band", "tile_row", "tile_col").select("data").toLocalIterator())
+    store.write_bytes(spark, path, [head, blank], ordered)
+    store.discard(spark, at)
     return True
 
 

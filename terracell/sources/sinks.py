@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from .. import store
 from ..model import GridSpec
 from ..operators.grid import pyramid
 
 
-def exists(spark, path: str) -> bool:
-    """Through Hadoop, so any store counts."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def export(df: DataFrame, path: str, by: str = "layer", overwrite: bool = False, grid: GridSpec | None = None) -> bool:
+    """One folder per value of ``by``, values as 32-bit floats; False if it is there and ``overwrite`` is off.
 
-
-def export(df: DataFrame, path: str, by: str = "layer", overwrite: bool = False) -> bool:
-    """One folder per value of ``by``, values as 32-bit floats; False if it is there and ``overwrite`` is off."""
-    if not overwrite and exists(df.sparkSession, path):
+    The grid that the rows and columns refer to goes to ``_grid`` next to them, as a catalog row.
+    """
+    spark = df.sparkSession
+    if not overwrite and store.exists(spark, path):
         return False
     df.withColumn("value", df["value"].cast("float")).repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    if grid is not None:
+        row = (grid.crs, list(grid.transform), grid.width, grid.height)
+        spark.createDataFrame([row], "crs string, transform array<double>, width int, height int").write.parquet(f"{path}/_grid")
     return True
 
 
+def exported_grid(spark: SparkSession, path: str) -> GridSpec:
+    """The grid of an export."""
+    return GridSpec.of(spark.read.parquet(f"{path}/_grid").first().asDict())
+
+
+def jobs(spark: SparkSession, tag: str) -> dict[int, str]:
+    """State of each job that Spark still remembers under a tag (``spark.addTag``): RUNNING, SUCCEEDED, FAILED or UNKNOWN."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    out = {}
+    for job in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.jobsList(None)):
+        if any(t.endswith(tag) for t in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(job.jobTags())):
+            out[job.jobId()] = job.status().toString()
+    return out
+
+
 def export_with_overviews(df: DataFrame, grid: GridSpec, path: str, how: str = "mean", levels: int | None = None, overwrite: bool = False) -> int:
     """Exports cells ``layer, row, col, value`` and 2 x 2 overviews under ``level=<n>``, until a level is one cell; returns the levels written.
 
@@ -31,7 +48,7 @@ def export_with_overviews(df: DataFrame, grid: GridSpec, path: str, how: str = "
     most = max(grid.width, grid.height)
     while True:
         at = f"{path}/level={n}"
-        if overwrite or not exists(spark, at):
+        if overwrite or not store.exists(spark, at):
             df.write.mode("overwrite").parquet(at)
         if most <= 1 or (levels is not None and n >= levels):
             return n + 1

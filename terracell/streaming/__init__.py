@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
+
 
 def windowed_means(stream: DataFrame, t: str, value: str, keys: list[str], window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """``start, keys, average, n`` per tumbling window; rows later than the watermark are dropped by Spark.
@@ -26,6 +28,7 @@ def keep_running_means(stream: DataFrame, keys: list[str], value: str, state_pat
     """Starts a query that merges each micro-batch into a table of sums and counts under ``state_path``.
 
     Each batch writes a new version named by its number, so a batch that is run again after a failure overwrites its own version.
+    The version before is kept for that; older ones go.
     """
     from ..operators.temporal import merge_running
 
@@ -35,5 +38,7 @@ def keep_running_means(stream: DataFrame, keys: list[str], value: str, state_pat
         if number:
             state = merge_running(spark.read.parquet(f"{state_path}/version={number - 1}"), state, keys)
         state.write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        if number > 1:
+            store.discard(spark, f"{state_path}/version={number - 2}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).start()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, climate, geometry, grids, names, tables, temporal
+from . import catalog, climate, files, geometry, grids, names, tables, temporal
 from .base import ORACLE, QUERIES
 
 
@@ -14,4 +14,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["catalog", "climate", "geometry", "grids", "names", "oracle_sql", "queries", "tables", "temporal"]
+__all__ = ["catalog", "climate", "files", "geometry", "grids", "names", "oracle_sql", "queries", "tables", "temporal"]

@@ -88,13 +88,12 @@ def grid_shapes(spark, sf_dir):
 CASE WHEN r_regionkey = 1 THEN 1000.0 END AS resolution FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def curation_actions(spark, sf_dir):
     """What happens to a file, by rule and CRS."""
-    regions = {r["r_regionkey"]: r["r_name"] for r in table(spark, sf_dir, "region").collect()}
-    cfg = curate.Config("/raw", "/curated", rules={regions[1].upper(): curate.RULES["NTL"]})
-    rows = []
-    for r in table(spark, sf_dir, "nation").collect():
-        rule = curate.rule_for(regions[r["n_regionkey"]], cfg)
-        rows.append((r["n_name"], regions[r["n_regionkey"]].upper(), curate.action("ESRI:54009" if r["n_nationkey"] % 2 == 0 else "EPSG:4326", rule), rule.resolution))
-    return spark.createDataFrame(rows, "name string, data_type string, action string, resolution double")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    crs = F.when(F.col("n_nationkey") % 2 == 0, "ESRI:54009").otherwise("EPSG:4326")
+    second = table(spark, sf_dir, "region").where("r_regionkey = 1").select(F.upper("r_name").alias("data_type"))
+    lights = curate.rule_table(spark, {"NTL": curate.RULES["NTL"]}).drop("data_type")
+    out = curate.actions(n.select(F.col("n_name").alias("name"), F.upper("r_name").alias("data_type"), crs.alias("crs")), second.join(lights))
+    return out.select("name", "data_type", "action", "resolution")
 
 
 @query("""WITH e AS (SELECT r_name AS folder, n_name AS name, n_nationkey AS seq, CASE WHEN n_nationkey % 2 = 0 THEN 'copied' ELSE 'reprojected' END AS action FROM nation JOIN region ON n_regionkey = r_regionkey

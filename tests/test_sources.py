@@ -131,3 +131,106 @@ def test_exports(spark, tmp_path):
     levels = str(tmp_path / "levels")
     assert sinks.export_with_overviews(df, grid, levels) == 3
     assert spark.read.parquet(f"{levels}/level=2").first()["value"] == 7.5
+
+
+def lzw(data: bytes) -> bytes:
+    """TIFF flavour of LZW: codes of growing width, the highest bit first."""
+    table, out, width, held, bits = {bytes([i]): i for i in range(256)}, bytearray(), 9, 0, 0
+
+    def put(code):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+
+    put(256)
+    last, nxt = b"", 258
+    for b in data:
+        if last + bytes([b]) in table:
+            last += bytes([b])
+            continue
+        put(table[last])
+        table[last + bytes([b])] = nxt
+        nxt += 1
+        width = max(width, nxt.bit_length())
+        if nxt == 4095:
+            put(256)
+            table, width, nxt = {bytes([i]): i for i in range(256)}, 9, 258
+        last = bytes([b])
+    if last:
+        put(table[last])
+    put(257)
+    out.append(held << (8 - bits) & 255 if bits else 0)
+    return bytes(out)
+
+
+def test_lzw():
+    rng = np.random.default_rng(2)
+    for data in (b"", b"a", b"ababababab" * 50, bytes(rng.integers(0, 256, 30_000, dtype=np.uint8)), bytes(rng.integers(0, 3, 200_000, dtype=np.uint8))):
+        assert geotiff._unpack_lzw(lzw(data)) == data
+
+
+def test_tiff_of_other_makers():
+    """Strips with LZW and a predictor, made by patching a plain file's tags."""
+    a = np.random.default_rng(3).normal(size=(1, 40, 30)).astype("<f4")
+    plain = geotiff.encode(a, GridSpec.square("EPSG:4326", 0.0, 0.0, 1.0, 30, 40), compress=False, tiled=False)
+    big = a[0].astype(">f4").view(np.uint8).reshape(40, 30, 4).transpose(0, 2, 1).reshape(40, 120)
+    rows = np.concatenate([big[:, :1], np.diff(big.astype(np.int16), axis=1).astype(np.uint8)], axis=1)
+    for predictor, raw in ((1, a.tobytes()), (3, rows.tobytes())):
+        packed = lzw(raw)
+        order, tags = geotiff._header(plain)
+        head = geotiff._head(GridSpec.square("EPSG:4326", 0.0, 0.0, 1.0, 30, 40), 1, a.dtype, None, [len(packed)], [0], True, 40, False)
+        at = head.index(b"\x03\x01\x03\x00\x01\x00\x00\x00\x08\x00")  # compression 8 becomes 5
+        head = head[: at + 8] + b"\x05" + head[at + 9 :]
+        at = head.index(b"\x06\x01\x03\x00\x01\x00\x00\x00\x01\x00")  # the photometric entry becomes the predictor
+        head = head[:at] + b"\x3d\x01\x03\x00\x01\x00\x00\x00" + bytes([predictor]) + head[at + 9 :]
+        assert (geotiff.decode(head + packed)[0] == a).all()
+
+
+def test_big_tiff_and_windows(spark, tmp_path):
+    a = np.random.default_rng(4).integers(0, 99, (3, 700, 600)).astype("int16")
+    g = GridSpec.square("EPSG:4326", -10.0, 45.0, 0.5, 600, 700)
+    blob = geotiff.encode(a, g, -1.0, big=True)
+    assert blob[2:4] == b"\x2b\0"
+    back, grid, nodata = geotiff.decode(blob)
+    assert (back == a).all() and (grid, nodata) == (g, -1.0)
+    for tiled in (True, False):
+        blob = geotiff.encode(a, g, -1.0, tiled=tiled)
+        assert (geotiff.decode(blob, (250, 520, 10, 600), 2)[0] == a[1:2, 250:520, 10:600]).all()
+        assert geotiff.decode(blob, (650, 900, -5, 3))[0].shape == (3, 50, 3)
+    (tmp_path / "a.tif").write_bytes(blob)
+    c = geotiff.read_cells(spark, str(tmp_path), window=(699, 700, 598, 600), band=3).orderBy("col").collect()
+    assert [(r["band"], r["row"], r["col"], r["value"]) for r in c] == [(3, 699, k, float(a[2, 699, k])) for k in (598, 599)]
+
+
+def test_layers_are_written_by_tile(spark, tmp_path):
+    g = GridSpec.square("ESRI:54009", 0.0, 0.0, 10.0, 600, 520)
+    rows = [(1, 0, 0, 1.5), (1, 519, 599, 2.5), (2, 300, 300, -1.0), (2, 300, 301, None)]
+    df = spark.createDataFrame(rows, "band int, row int, col int, value double")
+    assert geotiff.write_layer(df, g, str(tmp_path / "x.tif"), bands=3)
+    back, grid, nodata = geotiff.decode((tmp_path / "x.tif").read_bytes())
+    assert back.shape == (3, 520, 600) and grid == g and nodata == -9999.0
+    want = np.full((3, 520, 600), -9999.0, "float32")
+    want[0, 0, 0], want[0, 519, 599], want[1, 300, 300] = 1.5, 2.5, -1.0
+    assert (back == want).all() and [p.name for p in tmp_path.iterdir() if p.suffix == ".part"] == []
+    with pytest.raises(Exception, match="outside"):
+        geotiff.write_layer(df.withColumn("row", F.lit(520)), g, str(tmp_path / "y.tif"))
+
+
+def test_crs_of_prj(spark):
+    rows = [('PROJCS["World_Mollweide",GEOGCS["x"]]', "ESRI:54009"), ('GEOGCS["GCS_WGS_1984",DATUM["D"]]', "EPSG:4326"), (" ", None), (None, None), ('PROJCS["Lisbon"]', 'PROJCS["Lisbon"]'),
+            ('PROJCS["ETRS89 / TM06",GEOGCS["ETRS89",AUTHORITY["EPSG","4258"]],AUTHORITY["EPSG","3763"]]', "EPSG:3763")]
+    df = spark.createDataFrame(rows, "wkt string, crs string")
+    assert [r["got"] for r in df.select(shapefile.crs_of_prj(F.col("wkt")).alias("got")).collect()] == [c for _, c in rows]
+
+
+def test_jobs_by_tag(spark):
+    from terracell.sources import sinks
+
+    spark.addTag("export-7")
+    spark.range(10).count()
+    spark.removeTag("export-7")
+    found = sinks.jobs(spark, "export-7")
+    assert found and set(found.values()) <= {"SUCCEEDED", "RUNNING"} and sinks.jobs(spark, "other") == {}

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell import ship
-from terracell.llm import decontamination, mixing, ngram_join, store, token_ids, toxicity
+from terracell import ship, store
+from terracell.llm import decontamination, mixing, ngram_join, token_ids, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

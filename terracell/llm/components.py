@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, discard, new_path
+from ..store import cut, discard, new_path
 
 
 #: A key with more than this fraction (1/HOT_KEYS) of all rows is hot; there are at most so many, whatever the size of the table.

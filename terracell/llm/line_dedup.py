@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from ..store import cut
 
 #: Characters stripped from both ends of a line (fixed values: \x20, \x09-\x0D).
 _STRIP = " \t\n\x0b\x0c\r"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import join_hot
-from .store import cut
+from ..store import cut
 
 #: Weights by rank of the source, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)

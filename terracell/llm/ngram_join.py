@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_hot
-from .store import cut
+from ..store import cut
 from .vectext import chunks, mix64, space_table, text_buffers, tidy, U64, windows, _WORD_POWERS, words, Words
 
 _IS_WORD = space_table()

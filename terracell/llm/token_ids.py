@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import new_path
+from ..store import new_path
 from .vectext import chunks, give_back, run_codes, text_buffers, tidy
 
 #: Format constants (fixed values): magic, version, rows and lanes of a block.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .store import cut
+from ..store import cut
 from .vectext import chunks, tidy
 
 #: Labelled rows used for fitting, per class at most (a documented bound; the rows are those with the smallest hashes of their ids).

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -275,9 +275,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
     # Of rows that repeat an id one text counts, and copies of a text are one witness.
     one = texts.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text")).groupBy("text", "toxic").agg(F.min("h").alias("h"))
-    # The window runs over the bounded sample.
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", F.xxhash64("text")))
-    return one.withColumn("bytes", so_far).where(F.col("bytes") <= max_bytes).select("h", "text", "toxic")
+    one = cut(one.withColumn("size", F.octet_length("text")))
+    # The driver gets the sizes of the bounded sample and says up to which hash its texts fit.
+    last, held = {0: None, 1: None}, {0: 0, 1: 0}
+    for r in sorted(one.select("toxic", "h", "size").collect(), key=lambda r: (r["toxic"], r["h"])):
+        held[r["toxic"]] += r["size"]
+        if held[r["toxic"]] <= max_bytes:
+            last[r["toxic"]] = r["h"]
+    fits = F.when(F.col("toxic") == 1, F.col("h") <= F.lit(last[1])).otherwise(F.col("h") <= F.lit(last[0]))
+    return one.where(fits).select("h", "text", "toxic")
 
 
 def _count_entries(sample: DataFrame) -> DataFrame:
@@ -320,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, m
     repeat an id one text counts.  Entries are learned on each half of the rows for the curve on the other half, and then on all.
     Without labelled rows of both classes the seed vocabulary and a fixed curve serve.
     """
-    sample = cut(labelled_sample(docs, labels, max_toxic, max_clean, max_bytes))
+    sample = labelled_sample(docs, labels, max_toxic, max_clean, max_bytes)
     size = np.zeros(4, int)
     for r in sample.groupBy("toxic", F.col("h").bitwiseAND(F.lit(1)).alias("half")).count().collect():
         size[(0 if r["toxic"] else 2) + r["half"]] = r["count"]

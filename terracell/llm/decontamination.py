@@ -5,13 +5,16 @@ vocabulary; a suffix that starts with fewer in-vocabulary words than the shortes
 match one, so the shard's suffix array holds the other suffixes only, sorted by their
 leading words.  All benchmark suffixes are then binary-searched in it at once.  The
 interval of an item's suffix gives the locations of its window; its neighbours in
-the array give the longest verbatim match.  The benchmark travels to the
-executors in pieces of at most ``piece_bytes``, whatever its size.
+the array give the longest verbatim match.
+
+A benchmark of at most ``piece_bytes`` travels to the executors whole.  A larger one meets the
+documents through shuffles: documents whose windows have an anchor (the smallest fingerprint of the short word runs
+inside) in common with some item's are cut into snippets, and shards are formed by anchor, with the
+snippets of both sides; each shard is searched in the same way.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import alnum_table, chunks, fold_table, text_buffers, tidy, words
+from ..store import new_path
+from .substring_dedup import _runs, anchors
+from .vectext import alnum_table, chunks, fold_table, text_buffers, tidy, U64, Words, words
 
 _IS_WORD, _FOLD = alnum_table(), fold_table()
 #: Words in a window; shorter items are one window.
 WINDOW = 10
-#: Bytes of benchmark text sent to the executors at once.
+#: Bytes of benchmark text up to which it is sent to all executors.
 PIECE_BYTES = 16 << 20
+#: Words in the short runs that anchors are chosen from.
+ANCHOR = 5
+#: Words of documents that a shard by anchor indexes at once, and shards that one anchor's documents are dealt to.
+SHARD_WORDS, SALTS = 1 << 18, 32
+
+
+def split_words(texts: pa.Array) -> Words:
+    return words(*text_buffers(texts), _IS_WORD, _FOLD)
 
 
 class Queries:
-    """The suffixes of one piece of the benchmark as ranks in its vocabulary."""
+    """The suffixes of benchmark items, or of snippets of them, as ranks in their vocabulary."""
 
-    def __init__(self, ids: list, texts: list[str], window: int):
-        data, offsets = text_buffers(pa.array(texts, pa.string()))
-        w = words(data, offsets, _IS_WORD, _FOLD)
+    def __init__(self, ids: list, w: Words, window: int):
         self.vocabulary = np.unique(w.code)
         rank = np.searchsorted(self.vocabulary, w.code).astype(np.int32)
         # Rank 0 is "not in the vocabulary"; -1 ends an item and equals nothing.
@@ -116,20 +127,23 @@ def row_chunks(batch: pa.RecordBatch, field: int) -> Iterator[pa.RecordBatch]:
         at += c.num_rows
 
 
-def _scan(texts: pa.Array, q: Queries) -> tuple[np.ndarray, list, list[list[tuple]]]:
-    """For one chunk: words per document, hit flags per document, and matches (item, item word, document word, words) per document."""
-    data, offsets = text_buffers(texts)
-    w = words(data, offsets, _IS_WORD, _FOLD)
-    n_docs = len(offsets) - 1
-    matches: list[list[tuple]] = [[] for _ in range(n_docs)]
+def _occurrences(w: Words, q: Queries) -> tuple[np.ndarray, np.ndarray, Shard]:
+    """(number of the item suffix, first word in ``w``) of every occurrence of a window, and the shard."""
+    s = Shard(w.code, w.first, q)
+    wanted = _keys(q.text, q.at, q.window)
+    lo, hi = s.search(wanted, q.need, False), s.search(wanted, q.need, True)
+    size = hi - lo
+    which = np.repeat(np.arange(len(q.at)), size)
+    place = s.at[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)] if len(which) else np.zeros(0, np.int64)
+    return which, place, s
+
+
+def _scan(w: Words, q: Queries) -> tuple[np.ndarray, list[list[tuple]]]:
+    """For one chunk: hit flags of its words, and matches (item, item word, document word, words) per document."""
+    matches: list[list[tuple]] = [[] for _ in range(len(w.first) - 1)]
     hit = np.zeros(len(w.code) + 1, np.int32)
     if len(w.code) and len(q.at):
-        s = Shard(w.code, w.first, q)
-        wanted = _keys(q.text, q.at, q.window)
-        lo, hi = s.search(wanted, q.need, False), s.search(wanted, q.need, True)
-        size = hi - lo
-        which = np.repeat(np.arange(len(q.at)), size)
-        place = s.at[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)] if len(which) else np.zeros(0, np.int64)
+        which, place, s = _occurrences(w, q)
         np.add.at(hit, place, 1)
         np.add.at(hit, place + q.need[which], -1)
         length = s.longest(q, q.at[which], place)
@@ -143,27 +157,167 @@ def _scan(texts: pa.Array, q: Queries) -> tuple[np.ndarray, list, list[list[tupl
         for i, (d, p, t, k, n) in enumerate(zip(doc.tolist(), place.tolist(), item.tolist(), q.at[which].tolist(), length.tolist())):
             if (k - 1, p - 1) not in before or inside[i] == 0:
                 matches[d].append((q.ids[t], int(inside[i]), p - int(first_word[i]), n))
-    covered = np.cumsum(hit[:-1]) > 0
-    flags = np.split(covered, w.first[1:-1]) if n_docs else []
-    return w.counts(), flags, matches
+    return np.cumsum(hit[:-1]) > 0, matches
 
 
+_MATCH_NAMES = ("item_id", "item_word", "doc_word", "words")
 _MATCH = pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])
 
 
-def _pieces(benchmark: DataFrame, item_id: str, text: str, piece_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """The benchmark in pieces whose texts have ``piece_bytes`` at most, or are a single item."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
-    ids, texts, held = [], [], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].encode())
-        if ids and held + n > piece_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        held += n
-    yield ids, texts
+def _found(c: pa.RecordBatch, w: Words, covered: np.ndarray, matches: list[list[tuple]]) -> pa.RecordBatch:
+    flags = np.split(covered, w.first[1:-1]) if len(w.first) > 1 else []
+    return pa.RecordBatch.from_arrays(
+        [c.column("doc_id"), c.column("row"), pa.array(w.counts(), pa.int64()), pa.array([f.tobytes() for f in flags], pa.binary()), pa.array([[dict(zip(_MATCH_NAMES, x)) for x in m] for m in matches], pa.list_(_MATCH))],
+        ["doc_id", "row", "n_words", "hit", "matches"])
+
+
+# --- a benchmark that is too large to send -----------------------------------------------------------------------------
+
+
+def _keyed(source: DataFrame, window: int, lengths: list[int] | None) -> DataFrame:
+    """``n, key, id, place`` of ``id, text``: runs of windows of ``n`` words with one anchor; a place is ``first window << 32 | windows``.
+
+    Windows have each of ``lengths`` (documents), or ``window`` or as many words as a shorter text has (items, without lengths).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, "text"):
+                w = split_words(c.column("text"))
+                count = w.counts()
+                for n in lengths or np.unique(np.minimum(count[count > 0], window)).tolist():
+                    start, anchor, _ = anchors(w, n, min(n, ANCHOR))
+                    row = np.searchsorted(w.first, start, "right") - 1
+                    if lengths is None:
+                        own = np.minimum(count[row], window) == n
+                        start, anchor, row = start[own], anchor[own], row[own]
+                    if len(start):
+                        edge = _runs(anchor, row)
+                        s = edge[:-1]
+                        place = ((start[s] - w.first[row[s]]) << 32) | np.diff(edge)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), n, np.int32)), pa.array(anchor[s].view(np.int64)), c.column("id").take(pa.array(row[s])), pa.array(place)], ["n", "key", "id", "place"])
+
+    return source.mapInArrow(tidy(run), "n int, key long, id long, place long")
+
+
+def _snippets(source: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """``n, key, id, at, codes``: the words of each run of ``places (n, key, id, place)``, as fingerprints."""
+    per = places.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("n", "key", "place")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, "text"):
+                w = split_words(c.column("text"))
+                lists = c.column("places")
+                row = np.repeat(np.arange(c.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                n, place = flat.field("n").to_numpy(), flat.field("place").to_numpy()
+                at = w.first[row] + (place >> 32)
+                end = at + (place & 0xFFFFFFFF) + n - 1
+                blobs = [w.code[s:e].tobytes() for s, e in zip(at.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([flat.field("n"), flat.field("key"), c.column("id").take(pa.array(row)), pa.array((place >> 32).astype(np.int32)), pa.array(blobs, pa.binary())], _SNIPPET)
+
+    return source.join(per, F.col("id") == F.col("_id")).select("id", "text", "places").mapInArrow(tidy(run), "n int, key long, id long, at int, codes binary")
+
+
+_SNIPPET = ["n", "key", "id", "at", "codes"]
+
+
+def _words_of(codes: list[bytes]) -> Words:
+    size = np.fromiter((len(x) // 8 for x in codes), np.int64, len(codes))
+    none = np.zeros(0, np.int64)
+    return Words(none, none, np.frombuffer(b"".join(codes), U64), np.concatenate(([0], np.cumsum(size))))
+
+
+def _shard_hits(sides: DataFrame, n: int, window: int) -> DataFrame:
+    """``id, at, n, item, item_at``: occurrences of item windows in the snippets ``n, key, salt, side, id, at, codes`` of items (side 0) and documents (1)."""
+
+    def search(items: dict[tuple[int, int], bytes], docs: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if items and docs:
+            q, w = Queries(list(items), _words_of(list(items.values())), window), _words_of([x[2] for x in docs])
+            which, place, _ = _occurrences(w, q)
+            begin = np.searchsorted(q.item, np.arange(len(items)), "left")
+            doc = np.searchsorted(w.first, place, "right") - 1
+            item = q.item[which]
+            ids, ats = (np.array([x[k] for x in docs], np.int64) for k in (0, 1))
+            item_ids, item_ats = (np.array([x[k] for x in items], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[doc]), pa.array((ats[doc] + place - w.first[doc]).astype(np.int32)), pa.array(q.need[which].astype(np.int32)), pa.array(item_ids[item]),
+                 pa.array((item_ats[item] + q.at[which] - q.at[begin[item]]).astype(np.int32))], ["id", "at", "n", "item", "item_at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by group, items first; a full shard keeps the items of the group that goes on.
+        items: dict[tuple[int, int], bytes] = {}
+        own: dict[tuple[int, int], bytes] = {}
+        docs: list[tuple[int, int, bytes]] = []
+        held, group = 0, None
+        for b in batches:
+            for n, key, salt, side, i, at, codes in zip(*(b.column(k).to_pylist() for k in ("n", "key", "salt", "side", "id", "at", "codes"))):
+                if (n, key, salt) != group:
+                    group, own = (n, key, salt), {}
+                if held >= SHARD_WORDS:
+                    yield from search(items, docs)
+                    items, docs, held = dict(own), [], 0
+                if side == 0:
+                    own[i, at] = items[i, at] = codes
+                else:
+                    docs.append((i, at, codes))
+                held += len(codes) // 8
+        yield from search(items, docs)
+
+    by = ["n", "key", "salt"]
+    return sides.repartition(n, *by).sortWithinPartitions(*by, "side").mapInArrow(tidy(run), "id long, at int, n int, item long, item_at int")
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """A written copy with a number for each row in ``id``."""
+    path = new_path(df.sparkSession, name)
+    df.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _find_by_shards(docs: DataFrame, items: DataFrame, schema, window: int) -> DataFrame:
+    """:func:`find_contamination` for ``doc_id, row, text`` and ``item_id, text``, both of any size."""
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs, items = _numbered(docs, "documents"), _numbered(items, "benchmark")
+    texts = docs.select("id", "text")
+    path = new_path(spark, "item-runs")
+    _keyed(items.select("id", "text"), window, None).write.parquet(path)
+    item_runs = spark.read.parquet(path)
+    lengths = sorted(r["n"] for r in item_runs.select("n").distinct().collect())  # at most ``window`` of them
+    near = _keyed(texts, window, lengths).join(item_runs.select("n", "key").distinct(), ["n", "key"], "left_semi") if lengths else _keyed(texts, window, [window]).limit(0)
+    theirs = _snippets(texts, near, window).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    ours = _snippets(items.select("id", "text"), item_runs, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = _shard_hits(ours.withColumn("side", F.lit(0)).unionByName(theirs.withColumn("side", F.lit(1))), n, window)
+    named = hits.join(items.select(F.col("id").alias("item"), "item_id"), "item")
+    per = named.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "n", "item", "item_at", "item_id")).alias("hits"))
+    both = docs.join(per, F.col("id") == F.col("_id"), "left").select("doc_id", "row", "text", "hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b, "text"):
+                w = split_words(c.column("text"))
+                hit = np.zeros(len(w.code) + 1, np.int32)
+                matches: list[list[tuple]] = []
+                for first, found in zip(w.first[:-1].tolist(), c.column("hits").to_pylist()):
+                    # Hits that go on word by word in an item and the document are one match.
+                    runs: list[list] = []
+                    for h in sorted(found or [], key=lambda h: (h["item"], h["item_at"] - h["at"], h["at"])):
+                        hit[first + h["at"]] += 1
+                        hit[first + h["at"] + h["n"]] -= 1
+                        last = runs[-1] if runs else None
+                        if last and last[0] == h["item"] and last[1][2] + last[1][3] == h["at"] + h["n"] - 1 and last[1][1] - last[1][2] == h["item_at"] - h["at"]:
+                            last[1][3] += 1
+                        else:
+                            runs.append([h["item"], [h["item_id"], h["item_at"], h["at"], h["n"]]])
+                    matches.append([tuple(m) for _, m in runs])
+                yield _found(c, w, np.cumsum(hit[:-1]) > 0, matches)
+
+    return both.mapInArrow(tidy(run), schema)
+
+
+# --- both ---------------------------------------------------------------------------------------------------------------
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -173,34 +327,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Returns
     ``doc_id, n_words, hit binary, matches array<struct<item_id,item_word,doc_word,words>>`` and the input's columns in
     ``row`` (a struct); ``hit`` has a byte for each word, 1 inside an occurrence of a window; ``matches`` has the longest
-    verbatim match at each place where an item's text begins to agree.  One row per input row; nothing is shuffled.
+    verbatim match at each place where an item's text begins to agree.  One row per input row.  Nothing is shuffled if the benchmark has
+    at most ``piece_bytes`` of text; the results are the same beyond that.
 
     Null and empty texts have no words and no hits.  Items without words never match; rows of one item_id are one
-    item.  Items with a null id match as others do, with a null in ``matches``.  Repeated rows repeat.
+    item.  Items with a null id match as others do, with a null in ``matches``.  Repeated rows repeat, repeated ids with other texts are judged by their own.
     """
-    out = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"),
-        F.array().cast("array<struct<item_id:bigint,item_word:int,doc_word:int,words:int>>").alias("matches"),
-    )
-    schema = out.schema
-    for ids, texts in _pieces(benchmark, item_id, item_text, piece_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            q = Queries(ids, texts, window)
-            for b in batches:
-                # The text is read where it lies, in the row, so it is sent once.
-                where = b.schema.field("row").type.get_field_index(text)
-                for c in row_chunks(b, where):
-                    n, flags, matches = _scan(c.column("row").field(where), q)
-                    old = c.column("hit").to_pylist()
-                    hits = [f.tobytes() if o is None else (np.frombuffer(o, bool) | f).tobytes() for f, o in zip(flags, old)]
-                    found = [o + [dict(zip(("item_id", "item_word", "doc_word", "words"), x)) for x in m] for o, m in zip(c.column("matches").to_pylist(), matches)]
-                    arrays = {"n_words": pa.array(n, pa.int64()), "hit": pa.array(hits, pa.binary()), "matches": pa.array(found, pa.list_(_MATCH))}
-                    yield pa.RecordBatch.from_arrays([arrays.get(x, c.column(i)) for i, x in enumerate(c.schema.names)], c.schema.names)
-
-        out = out.mapInArrow(tidy(run), schema)
-    return out
+    keep = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = keep.select(
+        "doc_id", "row", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<struct<item_id:bigint,item_word:int,doc_word:int,words:int>>").alias("matches")
+    ).schema
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
+    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > piece_bytes:
+        return _find_by_shards(keep.withColumn("text", F.col("row")[text].cast("string")), items, schema, window)
+    sent = items.orderBy("item_id", "text").collect()
+    ids, texts = [r["item_id"] for r in sent], [r["text"] for r in sent]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = Queries(ids, split_words(pa.array(texts, pa.string())), window)
+        for b in batches:
+            # The text is read where it lies, in the row, so it is sent once.
+            where = b.schema.field("row").type.get_field_index(text)
+            for c in row_chunks(b, where):
+                w = split_words(c.column("row").field(where))
+                yield _found(c, w, *_scan(w, q))
+
+    return keep.mapInArrow(tidy(run), schema)
 
 
 def contamination_summary(found: DataFrame) -> DataFrame:
@@ -217,7 +369,10 @@ def contamination_summary(found: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their own columns."""
+    """The rows of ``docs`` without any hit, with their own columns.
+
+    Null and empty texts and rows with a null id stay if nothing hits them; items with a null id count.  Repeated rows stay or go together.
+    """
     found = find_contamination(docs, benchmark, **options)
     return found.where(F.size("matches") == 0).select("row.*")
 

@@ -94,3 +94,29 @@ def test_items_without_an_id_are_searched(spark):
     none = hashlib.sha256(b"").hexdigest()
     assert got == {1: (4, 0, none, True), 2: (0, 0, none, False)}
     assert [r["doc_id"] for r in D.remove_contaminated(df, bench).collect()] == [2]
+
+
+def plain(found):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["row"]["text"] or "", r["n_words"], bytes(r["hit"]), sorted(tuple(m) for m in r["matches"])) for r in found.collect())
+
+
+def test_large_benchmarks_give_the_same(spark, monkeypatch):
+    rows = cases.texts() + extra_docs() + [(800, "another text of id 800 with short item inside", "en", "a")]
+    passage = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"
+    rows += [(900 + i, f"own {i} {passage} tail {i}", "en", "a") for i in range(60)]
+    bench = spark.createDataFrame(case_items(rows) + [(50, passage), (51, "x " + passage), (50, "w2 w3")], "item_id long, text string")
+    docs = cases.frame(spark, rows)
+    small = plain(D.find_contamination(docs, bench))
+    assert small == plain(D.find_contamination(docs, bench, piece_bytes=0))
+    monkeypatch.setattr(D, "SHARD_WORDS", 40)
+    monkeypatch.setattr(D, "SALTS", 2)
+    assert small == plain(D.find_contamination(docs, bench, piece_bytes=0))
+    assert small == plain(D.find_contamination(docs.repartition(7), bench, piece_bytes=1 << 30))
+
+
+def test_empty_tables_beyond_the_bound(spark):
+    none = spark.createDataFrame([(1, ""), (2, None)], "item_id long, text string")
+    df = cases.frame(spark)
+    assert D.remove_contaminated(df, none, piece_bytes=0).count() == df.count()
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert D.find_contamination(cases.empty(spark), some, piece_bytes=0).collect() == []

@@ -163,3 +163,22 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query: words taken from every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the sources, the part of op2 that SQL can express."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", word_count(F.col("text")).alias("size"))
+    return source_targets(docs).select("source", "docs", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH s AS (
+  SELECT source, count(*) AS docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY 1
+), r AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s
+), l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), settled AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level <= cap / w)
+SELECT source, docs, source_size, round(least(cap, coalesce(w * (SELECT level FROM settled), cap)), 3) AS target FROM l
+"""

@@ -152,3 +152,23 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, "base_sha256", "spans")
+
+
+def pii_base_counts(spark, sf_dir: str) -> DataFrame:
+    """Numbers of base spans by kind, the part of op5 that SQL can express."""
+    return op5_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE_KINDS])
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS card,
+         list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM t
+)
+SELECT doc_id, len(email) AS n_email,
+       len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 256) > 255)) = 0)) AS n_ip,
+       len(list_filter(card, lambda x: len(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, len(x) + 1),
+         lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[i] AS INTEGER) WHEN CAST(x[i] AS INTEGER) > 4 THEN 2 * CAST(x[i] AS INTEGER) - 9 ELSE 2 * CAST(x[i] AS INTEGER) END)) % 10 = 0)) AS n_card,
+       len(list_filter(phone, lambda n: n BETWEEN 8 AND 15)) AS n_phone
+FROM m
+"""

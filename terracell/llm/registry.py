@@ -15,8 +15,14 @@ _QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_telephony": telephony.op10_telephony,
+    # Columns of the contracts that SQL can express, each through its operator.
+    "mixing_targets": mixing.mixing_targets,
+    "pii_base_counts": pii.pii_base_counts,
+    "secret_base_counts": secrets.secret_base_counts,
+    "telephony_payloads": telephony.telephony_payloads,
 }
-_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op9_decontamination": decontamination.OP9_SQL}
+_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op9_decontamination": decontamination.OP9_SQL,
+        "mixing_targets": mixing.TARGETS_SQL, "pii_base_counts": pii.BASE_SQL, "secret_base_counts": secrets.BASE_SQL, "telephony_payloads": telephony.PAYLOAD_SQL}
 
 
 def queries() -> dict:

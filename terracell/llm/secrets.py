@@ -164,3 +164,18 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, "base_sha256", "spans")
+
+
+def secret_base_counts(spark, sf_dir: str) -> DataFrame:
+    """Numbers of base spans by kind, the part of op8 that SQL can express."""
+    return op8_secrets(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE_KINDS])
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: len(x) >= 12)) AS n_assign,
+       len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 18)) AS n_access,
+       len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: len(x) >= 16)) AS n_hex
+FROM t
+"""

@@ -8,13 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mollweide as M
+from ..functions import transverse_mercator as TM
 from ..model import GridSpec
 from . import grid as G
 from .resample import sample
 
 
+#: CRS names of longitude and latitude in degrees (fixed values).
+LONLAT = ("EPSG:4326", "OGC:CRS84", "URN:OGC:DEF:CRS:OGC:1.3:CRS84", "EPSG:4258")
+
+
+def lonlat(crs: str):
+    """(to, from) longitude and latitude for a CRS: functions of two columns.  Names that are not known are taken as degrees unless they name a projection."""
+    if (tm := TM.of_crs(crs)) is not None:
+        return tm.inverse, tm.forward
+    if M.is_mollweide_name(crs):
+        return M.inverse, M.forward
+    if crs.upper().startswith(("EPSG:", "ESRI:")) and crs.upper() not in LONLAT:
+        raise ValueError(f"warps from {crs} are not supported")
+    same = lambda x, y: (x, y)
+    return same, same
+
+
 def mollweide_grid(spark: SparkSession, src: GridSpec, resolution: float | None = None, steps: int = 64) -> GridSpec:
-    """A grid in metres around the projected outline of a lon/lat grid, snapped to whole cells.
+    """A grid in metres around the projected outline of a grid (see :func:`lonlat` for its CRS), snapped to whole cells.
 
     Without a resolution a cell gets the diagonal share that the source's cells have.
     """
@@ -22,10 +39,11 @@ def mollweide_grid(spark: SparkSession, src: GridSpec, resolution: float | None
     side = spark.range(steps + 1).select((F.col("id") / steps).alias("s"))
     along = lambda lo, hi: F.lit(lo) + F.col("s") * (hi - lo)
     edges = [(along(xmin, xmax), F.lit(ymin)), (along(xmin, xmax), F.lit(ymax)), (F.lit(xmin), along(ymin, ymax)), (F.lit(xmax), along(ymin, ymax))]
-    # The parallel closest to the equator is the widest.
+    to, _ = lonlat(src.crs)
+    # Of a lon/lat grid the parallel closest to the equator is the widest.
     edges.append((along(xmin, xmax), F.lit(min(max(0.0, ymin), ymax))))
-    pts = F.array(*[F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat")) for x, y in edges])
-    p = side.select(F.explode(pts).alias("p")).select(*[c.alias(n) for c, n in zip(M.forward(F.col("p.lon"), F.col("p.lat")), "xy")])
+    pts = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in edges])
+    p = side.select(F.explode(pts).alias("p")).select(*[c.alias(n) for c, n in zip(M.forward(*to(F.col("p.x"), F.col("p.y"))), "xy")])
     r = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if r[0] is None:
         raise ValueError("the grid is outside the projection")
@@ -36,10 +54,10 @@ def mollweide_grid(spark: SparkSession, src: GridSpec, resolution: float | None
 
 
 def to_mollweide(cells: DataFrame, src: GridSpec, resolution: float | None = None, how: str = "nearest", keys: list[str] | None = None, target: GridSpec | None = None) -> tuple[DataFrame, GridSpec]:
-    """(cells on the target grid, the grid); lon/lat sources only."""
+    """(cells on the target grid, the grid); sources in longitude and latitude, UTM zones and Portugal TM06."""
     spark = cells.sparkSession
     dst = target or mollweide_grid(spark, src, resolution)
     x, y = G.centres(dst, F.col("col"), F.col("row"))
-    lon, lat = M.inverse(x, y)
-    wanted = G.cells(spark, dst).select("row", "col", lon.alias("x"), lat.alias("y"))
+    sx, sy = lonlat(src.crs)[1](*M.inverse(x, y))
+    wanted = G.cells(spark, dst).select("row", "col", sx.alias("x"), sy.alias("y"))
     return sample(cells, src, wanted, how, list(keys or [])), dst

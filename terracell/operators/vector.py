@@ -15,14 +15,14 @@ from . import grid as G
 SLOTS = 4
 
 
-def mask_cells(features: DataFrame, grid: GridSpec, geometry: str = "geometry", bin_cells: int = 64) -> DataFrame:
-    """``row, col`` of the cells whose centre is in some polygon of ``features``.
+def mask_cells(features: DataFrame, grid: GridSpec, geometry: str = "geometry", bin_cells: int = 64, carry: str | None = None) -> DataFrame:
+    """``row, col`` of the cells whose centre is in some polygon of ``features``; with ``carry`` also the largest value of that column among them.
 
     A polygon meets the cells of the bins its envelope touches, through an equi-join on the bin, so a mask costs what the
     envelopes cover and not cells times polygons.
     """
     spark = features.sparkSession
-    f = features.where(P.is_usable(F.col(geometry))).select(F.explode(F.col(geometry)["polys"]).alias("rings")).withColumn("b", P.bounds(F.array("rings")))
+    f = features.where(P.is_usable(F.col(geometry))).select(*([F.col(carry).alias("_carried")] if carry else []), F.explode(F.col(geometry)["polys"]).alias("rings")).withColumn("b", P.bounds(F.array("rings")))
     corners = [G.to_colrow(grid, F.col("b")[x], F.col("b")[y]) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
     clip = lambda v, n: F.greatest(F.least(F.floor(v), F.lit(n - 1)), F.lit(0))
     span = lambda i, n: F.sequence((clip(F.least(*[c[i] for c in corners]), n) / bin_cells).cast("int"), (clip(F.greatest(*[c[i] for c in corners]), n) / bin_cells).cast("int"))
@@ -30,7 +30,10 @@ def mask_cells(features: DataFrame, grid: GridSpec, geometry: str = "geometry",
     x, y = G.centres(grid, F.col("col"), F.col("row"))
     c = G.cells(spark, grid).select("row", "col", x.alias("x"), y.alias("y"), (F.col("col") / bin_cells).cast("int").alias("_bc"), (F.col("row") / bin_cells).cast("int").alias("_br"))
     inside = c.join(bins, ["_bc", "_br"]).where((F.col("x") >= F.col("b.xmin")) & (F.col("x") <= F.col("b.xmax")) & (F.col("y") >= F.col("b.ymin")) & (F.col("y") <= F.col("b.ymax")))
-    return inside.where(P.contains(F.array("rings"), F.col("x"), F.col("y"))).select("row", "col").distinct()
+    held = inside.where(P.contains(F.array("rings"), F.col("x"), F.col("y")))
+    if carry:
+        return held.groupBy("row", "col").agg(F.max("_carried").alias(carry))
+    return held.select("row", "col").distinct()
 
 
 def apply_mask(cells: DataFrame, mask: DataFrame, keep_rows: bool = False) -> DataFrame:
@@ -121,13 +124,18 @@ def layer_slots(features: DataFrame, layer: str, area: Column, slots: int = SLOT
     return total.select(layer, "area", F.pmod(rank - 1, F.lit(slots)).cast("int").alias("slot"))
 
 
-def crs_to_mollweide(features: DataFrame, geometry: str = "geometry", crs: str = "crs") -> DataFrame:
-    """Lon/lat geometries in metres; those with a Mollweide CRS or none stay."""
+def crs_to_mollweide(features: DataFrame, geometry: str = "geometry", crs: str = "crs", projected: tuple[str, ...] = ()) -> DataFrame:
+    """Geometries in metres: those in longitude and latitude, and those in the ``projected`` CRSs named (UTM zones, Portugal TM06); those with a Mollweide CRS, another or none stay."""
     from ..functions import mollweide as M
-
-    lonlat = F.upper(F.col(crs)).isin("EPSG:4326", "OGC:CRS84", "URN:OGC:DEF:CRS:OGC:1.3:CRS84")
-    moved = F.when(lonlat, P.transform_points(F.col(geometry), M.forward)).otherwise(F.col(geometry))
-    return features.withColumn(geometry, moved).withColumn(crs, F.when(lonlat, F.lit(M.CODE)).otherwise(F.col(crs)))
+    from .reproject import lonlat, LONLAT
+
+    named = F.upper(F.col(crs))
+    moved = F.when(named.isin(*LONLAT), P.transform_points(F.col(geometry), M.forward))
+    for code in projected:
+        to, _ = lonlat(code)
+        moved = moved.when(named == code.upper(), P.transform_points(F.col(geometry), lambda x, y, to=to: M.forward(*to(x, y))))
+    known = named.isin(*LONLAT, *(c.upper() for c in projected))
+    return features.withColumn(geometry, moved.otherwise(F.col(geometry))).withColumn(crs, F.when(known, F.lit(M.CODE)).otherwise(F.col(crs)))
 
 
 def circle(cx: float, cy: float, r: float, n: int = 32) -> list:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as P
 from ..model import GridSpec
 from ..operators import vector as V
+from ..plans import picture
 from ..sources import geojson
 from .base import query, r6, table
 
@@ -65,6 +66,18 @@ def mask_cells(spark, sf_dir):
     return V.mask_cells(f, GridSpec("LOCAL", (2.5, 0.0, 0.0, 0.0, 2.5, 0.0), *[max(1, math.ceil((v or 0) / 2.5)) for v in (b["xmax"], b["ymax"])]))
 
 
+@query(f"""WITH {_RECT}, q AS (SELECT quantile_cont(w, [0.2, 0.4, 0.6, 0.8]) AS b FROM r),
+c AS (SELECT *, unnest(range(CAST(x // 2.5 AS BIGINT), CAST((x + w) // 2.5 AS BIGINT) + 1)) AS col FROM r),
+p AS (SELECT *, unnest(range(CAST(y // 2.5 AS BIGINT), CAST((y + 2 * w) // 2.5 AS BIGINT) + 1)) AS row FROM c)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST((w > b[1])::INT + (w > b[2])::INT + (w > b[3])::INT + (w > b[4])::INT AS INTEGER) AS class FROM p, q
+WHERE col * 2.5 + 1.25 BETWEEN x AND x + w AND row * 2.5 + 1.25 BETWEEN y AND y + 2 * w""")
+def choropleth_classes(spark, sf_dir):
+    """The colour class of every pixel of a map, by quintile of the features' values."""
+    r = _rectangles(spark, sf_dir)
+    b = V.total_bounds(r).first()
+    return picture.classes(r, "w", GridSpec("LOCAL", (2.5, 0.0, 0.0, 0.0, 2.5, 0.0), *[max(1, math.ceil((v or 0) / 2.5)) for v in (b["xmax"], b["ymax"])]))
+
+
 @query(f"WITH {_RECT} SELECT layer, count(*) AS parts, sum(w * 2 * w) AS area, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS type FROM r GROUP BY 1")
 def dissolve(spark, sf_dir):
     """Disjoint parts of a key as one multipolygon."""

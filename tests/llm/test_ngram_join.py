@@ -75,3 +75,28 @@ def test_texts_that_share_their_smallest_id(spark, block):
     want = [(1, 1, 6, 6), (1, 1, 3, 4), *((i, 1, 6, 6) for i in range(5, 10)), *((i, 1, 3, 4) for i in range(20, 23)), (30, 1, 6, 1), (40, 40, 0, 1)]
     assert got == sorted(want)
     assert sorted(r["doc_id"] for r in N.drop_near_copies(df, block_docs=block).collect()) == [1, 1, 40]
+
+
+def test_recall_near_the_threshold(spark):
+    """Two thousand pairs of similarity 0.81: the banding is meant to find 999 of 1000."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(2000):
+        w = [f"v{rng.randrange(50_000)}" for _ in range(120)]
+        other = w[:108] + [f"u{rng.randrange(50_000)}" for _ in range(12)]  # 104 of 128 5-grams in common
+        rows += [(2 * k, " ".join(w), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    got = N.ngram_classes(cases.frame(spark, rows, repeat=False)).collect()
+    assert sum(r["n_links"] == 1 for r in got) >= 0.99 * len(rows) and all(r["n_links"] <= 1 for r in got)
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_sparse_components_are_compared_by_unit(spark, block):
+    """A chain whose ends share no band: the component is larger than its units, and each link is counted once."""
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(60):
+        base = base[2:] + [f"n{k}a", f"n{k}b"]
+        rows.append((k, " ".join(base), "en", "a"))
+    df = cases.frame(spark, rows, repeat=False)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.ngram_classes(df, block_docs=block, recall=0.9999999).collect()}
+    assert got == cases.classes([(i, t) for i, t, *_ in rows])

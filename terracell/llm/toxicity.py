@@ -7,8 +7,8 @@ until a target comes before or after them, and three weaken what stands in repor
 in a series.  They are composed into one automaton that runs over a clause once; the score
 of a document comes from its matched clauses.
 
-The abusive entries (whole words, and stems that productive endings follow) and their
-weights are learned from labelled documents, as is the logistic curve that turns clause
+The abusive entries (whole words, stems that productive endings follow, and stems that count
+where two different words of a document have them) and their weights are learned from labelled documents, as is the logistic curve that turns clause
 scores into a probability.  Entries are counted and features are computed by Spark; the driver gets
 counts and features.
 """
@@ -127,9 +127,13 @@ PARTS = [target(), threat(), insult(), reported_speech(), negation(), series()]
 GRAMMAR = compose(PARTS)
 
 
+#: Marks of entries: a whole word, and a stem that two different words of a document must have (fixed values).
+_WHOLE, _TWICE = "$", "+"
+
+
 def entries(word: str) -> list[str]:
-    """Lexicon entries that a word can match: itself, and its proper stems."""
-    return [word + "$", *(word[:k] for k in _STEM if k < len(word))]
+    """Lexicon entries that a word can match by itself: the word, and its proper stems."""
+    return [word + _WHOLE, *(word[:k] for k in _STEM if k < len(word))]
 
 
 @dataclass
@@ -142,6 +146,7 @@ class Model:
     def __post_init__(self):
         self.known: dict[str, tuple[str, float]] = {}
         self.plain: set[str] = set()
+        self.twice = {e[:-1]: w for e, w in self.lexicon.items() if e.endswith(_TWICE)}
         for label, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
             for w in ws:
                 self.known[w] = (label, 0.0)
@@ -157,24 +162,28 @@ class Model:
             self.known[word] = found
         return found
 
-    def triggers(self, words: list[str]) -> set[str]:
-        """Abuse and harm among the words; each distinct word is looked up once per worker, within a bound."""
-        distinct = set(words)
+    def triggers(self, words: list[str]) -> tuple[set[str], dict[str, float]]:
+        """(abuse and harm among the words, weights of those that are abuse in this document); plain words are remembered by a worker, within a bound."""
         if len(self.plain) > PLAIN_WORDS:
             self.plain.clear()
-        out = set()
-        for w in distinct.difference(self.plain):
+        out, stems = set(), {}
+        for w in set(words).difference(self.plain):
+            held = [w[:k] for k in _STEM if k < len(w) and w[:k] in self.twice] if self.twice else ()
+            if held:
+                stems[w] = held
             if self.label(w)[0] in ("abuse", "harm"):
                 out.add(w)
-            else:
+            elif not held:
                 self.plain.add(w)
-        return out
+        count = Counter(x for held in stems.values() for x in held)
+        here = {w: best for w, held in stems.items() if self.label(w)[0] in ("abuse", "other") and (best := max((self.twice[x] for x in held if count[x] > 1), default=0.0))}
+        return out | here.keys(), here
 
     def clause_scores(self, text: str) -> tuple[list[float], int]:
         """(scores of matched clauses, words of the document)."""
         lower = text.lower()
         words = _WORD.findall(lower)
-        triggers = self.triggers(words)
+        triggers, here = self.triggers(words)
         scores = []
         if triggers:
             for clause in _CLAUSE.split(lower):
@@ -184,6 +193,8 @@ class Model:
                 state, total = 0, 0.0
                 for w in ws:
                     label, weight = self.label(w)
+                    if w in here:
+                        label, weight = "abuse", max(weight, here[w])
                     state, factor = GRAMMAR[state, label]
                     # A target that completes a threat or insult has no weight of its own.
                     total += factor * (weight or THREAT_WEIGHT)
@@ -202,7 +213,10 @@ class Model:
 
 
 def doc_entries(text: str) -> set[str]:
-    return {e for w in set(_WORD.findall(text.lower())) for e in entries(w)}
+    """Entries that a document matches."""
+    words = set(_WORD.findall(text.lower()))
+    stems = Counter(w[:k] for w in words for k in _STEM if k < len(w))
+    return {w + _WHOLE for w in words} | stems.keys() | {e + _TWICE for e, n in stems.items() if n > 1}
 
 
 #: Toxic documents that an entry must be in.
@@ -232,16 +246,17 @@ def choose(found: dict[str, tuple[float, int, int]], held: dict[str, list[int]],
     seen, out, longer = Counter(), {}, {}
     # Of entries with the same evidence the longest is the most specific.
     for e in sorted(found, key=lambda e: (-found[e][0] * math.sqrt(found[e][1]), -len(e), e)):
-        if any(e[:k] in out for k in _STEM if k < len(e)):
+        stem = e.rstrip(_WHOLE + _TWICE)
+        if any(stem[:k] in out or stem[:k] + _TWICE in out for k in _STEM if k < len(stem)) or e.endswith(_TWICE) and stem in out:
             continue
         # A stem of chosen entries is judged by the documents that they leave out.
-        rest = [i for i in held[e] if i not in longer.get(e, ())]
+        rest = [i for i in held[e] if i not in longer.get(stem if e.endswith(_TWICE) else e, ())]
         if sum(seen[i] < 2 for i in rest) >= LEAST_DOCS and (w := float(odds(len(rest), found[e][2], toxic, clean))) >= rest_odds:
             out[e] = min(w, 5.0)
             seen.update(held[e])
             for k in _STEM:
-                if k < len(e):
-                    longer.setdefault(e[:k], set()).update(held[e])
+                if k <= len(stem) and stem[:k] != e:
+                    longer.setdefault(stem[:k], set()).update(held[e])
     return out
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..model import GridSpec, var_type
 from ..operators import resample as R
@@ -26,6 +27,21 @@ def reducer_for(kind: str) -> str:
     return _REDUCER[var_type(kind)]
 
 
+def _map(table: dict[str, str], key: Column) -> tuple[Column, Column]:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key
+
+
+def decisions(kind: Column, size: Column, target: Column, tol: float = 1e-6) -> Column:
+    """``struct(method, reducer)`` for a layer of a variable type and cell size that goes onto a target's cell size: the tables above as columns.
+
+    An unknown type has NULL in both.
+    """
+    known = F.coalesce(kind.isin(*_REDUCER), F.lit(False))
+    equal, finer = F.abs(size - target) <= tol, size < target
+    method = F.when(equal, F.try_element_at(*_map(_EQUAL, kind))).when(finer, F.try_element_at(*_map(_COARSEN, kind))).otherwise(F.try_element_at(*_map(_REFINE, kind)))
+    return F.struct(F.when(known, method).alias("method"), F.when(known & finer & ~equal, F.try_element_at(*_map(_REDUCER, kind))).alias("reducer"))
+
+
 def moved_label(size_a: float, size_b: float, prefer: str = "A_to_B", tol: float = 1e-6) -> tuple[str, str]:
     """(label of the raster that moves, relation): the finer one moves; equal sizes go by preference."""
     if prefer not in ("A_to_B", "B_to_A"):

@@ -25,6 +25,27 @@ def choose_emission_variable(variables: dict[str, str]) -> str:
     return next((n for n, t in variables.items() if is_numeric(t)), next(iter(variables)))
 
 
+#: What the name of a concentration variable scores: pm25; pm_25 or pm2_5; pm (fixed values).
+PM25_SCORES = (10, 9, 3)
+
+
+def chosen_variables(variables: DataFrame, rule: str = "emission") -> DataFrame:
+    """``path, name``: the variable that a rule (``emission`` or ``pm25``) takes of each file; ``variables``: ``path, position, name, dtype``.
+
+    The same choice as :func:`choose_emission_variable` and :func:`choose_pm25_variable` make in one file.
+    """
+    if rule not in ("emission", "pm25"):
+        raise ValueError(f"unknown rule {rule!r}")
+    low, numeric = F.lower("name"), F.lower("dtype").rlike("int|float|double|short|byte|long|decimal")
+    if rule == "emission":
+        rank = F.struct(F.col("name") == "res", numeric, -F.col("position"))
+    else:
+        pm25, other, pm = ((c.cast("int") * k) for c, k in zip((low.contains("pm25"), low.contains("pm_25") | low.contains("pm2_5"), low.contains("pm")), PM25_SCORES))
+        # Without a numeric variable the first one is taken, whatever its name.
+        rank = F.struct(numeric, F.when(numeric, pm25 + other + pm), F.when(numeric, F.col("name")), -F.col("position"))
+    return variables.groupBy("path").agg(F.max_by("name", rank).alias("name"))
+
+
 def choose_pm25_variable(variables: dict[str, str], override: str | None = None) -> str:
     """The best-named numeric variable by (score, name), or the first without a numeric one."""
     if override is not None:
@@ -36,7 +57,7 @@ def choose_pm25_variable(variables: dict[str, str], override: str | None = None)
 
     def score(name: str) -> int:
         n = name.lower()
-        return 10 * ("pm25" in n) + 9 * ("pm_25" in n or "pm2_5" in n) + 3 * ("pm" in n)
+        return sum(k * hit for k, hit in zip(PM25_SCORES, ("pm25" in n, "pm_25" in n or "pm2_5" in n, "pm" in n)))
 
     numeric = [n for n, t in variables.items() if is_numeric(t)]
     return max(numeric, key=lambda n: (score(n), n)) if numeric else next(iter(variables))

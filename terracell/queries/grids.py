@@ -133,13 +133,17 @@ def align_two(spark, sf_dir):
     return out.select("row", "col", r6("value", 4).alias("value"), F.lit(label).alias("moved"))
 
 
-@query("""SELECT k AS var_type, CASE WHEN k IN ('categorical', 'binary') THEN 'mode' ELSE 'average' END AS coarsen, CASE WHEN k IN ('categorical', 'binary') THEN 'nearest' ELSE 'bilinear' END AS refine,
-CASE WHEN k IN ('categorical', 'binary', 'count') THEN 'nearest' ELSE 'bilinear' END AS equal, CASE k WHEN 'count' THEN 'sum' WHEN 'share' THEN 'mean' WHEN 'continuous' THEN 'mean' ELSE 'mode' END AS reducer
-FROM (VALUES ('count'), ('share'), ('continuous'), ('categorical'), ('binary')) v(k)""")
+@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'count' WHEN 1 THEN 'share' WHEN 2 THEN 'continuous' WHEN 3 THEN 'categorical' WHEN 4 THEN 'binary' ELSE 'other' END AS k, p_size AS s FROM part)
+SELECT p_partkey, k AS var_type, CASE WHEN k = 'other' THEN NULL WHEN s = 25 THEN CASE WHEN k IN ('categorical', 'binary', 'count') THEN 'nearest' ELSE 'bilinear' END
+WHEN s < 25 THEN CASE WHEN k IN ('categorical', 'binary') THEN 'mode' ELSE 'average' END ELSE CASE WHEN k IN ('categorical', 'binary') THEN 'nearest' ELSE 'bilinear' END END AS method,
+CASE WHEN s < 25 THEN CASE k WHEN 'count' THEN 'sum' WHEN 'share' THEN 'mean' WHEN 'continuous' THEN 'mean' WHEN 'other' THEN NULL ELSE 'mode' END END AS reducer FROM v""")
 def resampling_rules(spark, sf_dir):
-    """R12, R14, R18, A24d: decision tables by variable type."""
-    rows = [(k, A.resampling_for(k, True), A.resampling_for(k, False), A.equal_size_resampling(k), A.reducer_for(k)) for k in VAR_TYPES]
-    return spark.createDataFrame(rows, "var_type string, coarsen string, refine string, equal string, reducer string")
+    """R12, R14, R18, A24d: how each of many layers is resampled or reduced, by its variable type and cell size."""
+    kinds = F.create_map(*[F.lit(x) for i, k in enumerate(VAR_TYPES) for x in (i, k)])
+    k = F.coalesce(F.try_element_at(kinds, (F.col("p_partkey") % 6).cast("int")), F.lit("other"))
+    p = table(spark, sf_dir, "part").select("p_partkey", k.alias("var_type"), F.col("p_size").cast("double").alias("size"))
+    d = A.decisions(F.col("var_type"), F.col("size"), F.lit(25.0))
+    return p.select("p_partkey", "var_type", d["method"].alias("method"), d["reducer"].alias("reducer"))
 
 
 @query("SELECT p_partkey AS id, round(500.0 + 2.5 * (p_partkey % 50) + 0.5 * (p_partkey // 50), 6) AS x, round(900.0 - 3.0 * (p_partkey // 50) + 0.25 * (p_partkey % 50), 6) AS y, CAST(p_partkey % 50 AS DOUBLE) AS col, CAST(p_partkey // 50 AS DOUBLE) AS row FROM part")

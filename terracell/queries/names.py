@@ -70,8 +70,19 @@ def wkt_affine(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", a[0].alias("scale"), a[1].alias("shear"), (a[2] + F.lit(0.0)).alias("origin"))
 
 
-@query("SELECT 'res' AS emission, 'PM2_5' AS pm25, 'b' AS by_name, 'first' AS text_only")
+_NAMES = "CASE p_partkey % 11 WHEN 0 THEN 'res' WHEN 1 THEN 'PM2_5' WHEN 2 THEN 'pm25_total' WHEN 3 THEN 'spm' ELSE 'v' || p_partkey END"
+
+
+@query(f"""WITH v AS (SELECT p_size AS path, p_partkey AS position, {_NAMES} AS name, p_partkey % 3 <> 0 AS num FROM part WHERE p_size % 10 <> 7 OR p_partkey % 3 = 0),
+s AS (SELECT *, 10 * contains(lower(name), 'pm25')::INT + 9 * (contains(lower(name), 'pm_25') OR contains(lower(name), 'pm2_5'))::INT + 3 * contains(lower(name), 'pm')::INT AS score FROM v),
+e AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY name = 'res' DESC, num DESC, position) AS r FROM v),
+c AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY num DESC, CASE WHEN num THEN score END DESC, CASE WHEN num THEN name END DESC, position) AS r FROM s)
+SELECT e.path, e.name AS emission, c.name AS pm25 FROM e JOIN c ON e.path = c.path WHERE e.r = 1 AND c.r = 1""")
 def chosen_variables(spark, sf_dir):
-    """Variables by rule."""
-    row = (emissions.choose_emission_variable({"crs": "string", "a": "float32", "res": "float32"}), emissions.choose_pm25_variable({"pm": "float32", "PM2_5": "float64"}), emissions.choose_pm25_variable({"b": "int16", "a": "int16"}), emissions.choose_pm25_variable({"first": "string", "second": "string"}))
-    return spark.createDataFrame([row], "emission string, pm25 string, by_name string, text_only string")
+    """The variable of each file by rule; some files have no numeric one."""
+    k = F.col("p_partkey")
+    name = F.when(k % 11 == 0, "res").when(k % 11 == 1, "PM2_5").when(k % 11 == 2, "pm25_total").when(k % 11 == 3, "spm").otherwise(F.concat(F.lit("v"), k.cast("string")))
+    p = table(spark, sf_dir, "part").where((F.col("p_size") % 10 != 7) | (k % 3 == 0))
+    v = p.select(F.col("p_size").alias("path"), k.alias("position"), name.alias("name"), F.when(k % 3 == 0, "string").otherwise("float32").alias("dtype"))
+    a, b = (emissions.chosen_variables(v, r).withColumnRenamed("name", r) for r in ("emission", "pm25"))
+    return a.join(b, "path")

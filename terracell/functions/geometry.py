@@ -25,6 +25,16 @@ def ring_area(ring: Column) -> Column:
     return F.abs(_total(_pairs(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))) / 2
 
 
+def signed_area(ring: Column) -> Column:
+    """Area inside a closed ring, positive if it runs counterclockwise."""
+    return _total(_pairs(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+
+
+def edges(ring: Column) -> Column:
+    """``struct(a, b)`` of consecutive points."""
+    return _pairs(ring, lambda p, q: F.struct(p.alias("a"), q.alias("b")))
+
+
 def polygon_area(rings: Column) -> Column:
     """Shell less holes."""
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))

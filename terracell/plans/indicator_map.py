@@ -40,12 +40,12 @@ def with_key(layers: dict[str, DataFrame], key: str = "dicofre") -> tuple[dict[s
 
 
 def parishes(layers: dict[str, DataFrame], key: str = "dicofre") -> DataFrame:
-    """``layer, key, geometry``: cleaned polygons of all layers, the parts of a key in a layer gathered into one geometry."""
+    """``layer, key, geometry``: cleaned polygons of all layers, the parts of a key in a layer dissolved into one geometry."""
     kept, _ = with_key(layers, key)
     if not kept:
         raise ValueError(f"no layer has {key}")
     both = K.stack([V.clean_geometries(d).select(F.lit(n).alias("layer"), F.col(key).cast("string").alias(key), "geometry") for n, d in kept.items()])
-    return V.gather_parts(both, ["layer", key])
+    return V.dissolve_coverage(both, ["layer", key])
 
 
 def indicator_map(layers: dict[str, DataFrame], table: DataFrame, key: str = "dicofre", value_key: str = "ID") -> DataFrame:

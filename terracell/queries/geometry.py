@@ -85,6 +85,20 @@ def dissolve(spark, sf_dir):
     return d.select("layer", F.size("geometry.polys").cast("long").alias("parts"), P.area(F.col("geometry.polys")).alias("area"), F.col("geometry.type").alias("type"))
 
 
+@query("""WITH c AS (SELECT p_partkey % 50 AS x, p_partkey // 50 AS y, p_partkey % 50 // 10 AS strip FROM part WHERE p_partkey % 23 <> 0),
+n AS (SELECT c.*, (SELECT count(*) FROM c d WHERE d.strip = c.strip AND abs(d.x - c.x) + abs(d.y - c.y) = 1 AND d.y BETWEEN c.y - 1 AND c.y + 1) AS k FROM c)
+SELECT CAST(strip AS BIGINT) AS strip, CAST(count(*) AS DOUBLE) AS area, CAST(sum(4 - k) AS BIGINT) AS edges FROM n GROUP BY 1""")
+def dissolved_coverage(spark, sf_dir):
+    """Unit squares of a strip become one geometry without inner borders, with holes where a square is missing."""
+    k = F.col("p_partkey")
+    x, y = (k % 50).cast("double"), F.floor(k / 50).cast("double")
+    shape = F.struct(F.lit("Polygon").alias("type"), P.rectangle(x, y, x + 1, y + 1).alias("polys"))
+    squares = table(spark, sf_dir, "part").where(k % 23 != 0).select(F.floor(k % 50 / 10).alias("strip"), shape.alias("geometry"))
+    d = V.dissolve_coverage(squares, ["strip"])
+    polys = F.col("geometry.polys")
+    return d.select("strip", P.area(polys).alias("area"), (F.size(P.points(polys)) - F.size(F.flatten(polys))).cast("long").alias("edges"))
+
+
 @query(f"""WITH {_RECT} SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Polygon' ELSE 'MultiPolygon' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 2 * w * w ELSE 2 * w * w + 1 END AS area FROM r WHERE s_suppkey % 4 < 3""")
 def clean_geometries(spark, sf_dir):
     """Collections keep polygons, other kinds and empty ones go."""

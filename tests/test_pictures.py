@@ -93,3 +93,14 @@ def test_features_from_tm06(spark):
     f = spark.range(2).select(F.when(F.col("id") == 0, "EPSG:3763").otherwise("EPSG:9999").alias("crs"), shape.alias("geometry"))
     got = {r["crs"]: r["area"] for r in V.crs_to_mollweide(f, projected=("EPSG:3763",)).select("crs", P.area(F.col("geometry.polys")).alias("area")).collect()}
     assert got["EPSG:9999"] == 1e6 and abs(got["ESRI:54009"] - 1e6) < 1e4  # Mollweide keeps areas, up to the sphere
+
+
+def test_dissolved_parts(spark):
+    box = lambda x, y, w, h: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]
+    ring = lambda r: "array(" + ", ".join(f"struct(double({x}) as x, double({y}) as y)" for x, y in r) + ")"
+    poly = lambda p: "array(" + ", ".join(map(ring, p)) + ")"
+    parts = [("a", box(0, 0, 1, 1)), ("a", box(1, 0, 1, 1)), ("a", box(1, 0, 1, 1)), ("a", [box(5, 0, 1, 1)[0][::-1]]), ("b", [*box(0, 0, 5, 5), box(1, 1, 3, 3)[0]]), ("b", box(2, 2, 1, 1)), ("c", box(0, 0, 1, 1)), ("c", box(1, 1, 1, 1))]
+    rows = " union all ".join(f"select '{k}' as k, named_struct('type', 'Polygon', 'polys', array({poly(p)})) as geometry" for k, p in parts)
+    d = V.dissolve_coverage(spark.sql(rows), ["k"])
+    got = {r["k"]: (r["type"], r["n"], r["rings"], r["area"]) for r in d.select("k", "geometry.type", F.size("geometry.polys").alias("n"), F.size(F.flatten("geometry.polys")).alias("rings"), P.area(F.col("geometry.polys")).alias("area")).collect()}
+    assert got == {"a": ("MultiPolygon", 2, 2, 3.0), "b": ("MultiPolygon", 2, 3, 17.0), "c": ("MultiPolygon", 2, 2, 2.0)}

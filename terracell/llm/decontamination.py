@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import new_path
+from .components import join_hot
 from .substring_dedup import _runs, anchors
 from .vectext import alnum_table, chunks, fold_table, text_buffers, tidy, U64, Words, words
 
@@ -33,8 +34,8 @@ WINDOW = 10
 PIECE_BYTES = 16 << 20
 #: Words in the short runs that anchors are chosen from.
 ANCHOR = 5
-#: Words of documents that a shard by anchor indexes at once, and shards that one anchor's documents are dealt to.
-SHARD_WORDS, SALTS = 1 << 18, 32
+#: Words that a shard by anchor holds at once, and runs of documents with one anchor after which it gets another shard.
+SHARD_WORDS, ANCHOR_RUNS = 1 << 18, 4096
 
 
 def split_words(texts: pa.Array) -> Words:
@@ -201,8 +202,8 @@ def _keyed(source: DataFrame, window: int, lengths: list[int] | None) -> DataFra
 
 
 def _snippets(source: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """``n, key, id, at, codes``: the words of each run of ``places (n, key, id, place)``, as fingerprints."""
-    per = places.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("n", "key", "place")).alias("places"))
+    """``n, key, salts, id, at, codes``: the words of each run of ``places (n, key, salts, id, place)``, as fingerprints."""
+    per = places.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("n", "key", "salts", "place")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,12 +216,12 @@ def _snippets(source: DataFrame, places: DataFrame, window: int) -> DataFrame:
                 at = w.first[row] + (place >> 32)
                 end = at + (place & 0xFFFFFFFF) + n - 1
                 blobs = [w.code[s:e].tobytes() for s, e in zip(at.tolist(), end.tolist())]
-                yield pa.RecordBatch.from_arrays([flat.field("n"), flat.field("key"), c.column("id").take(pa.array(row)), pa.array((place >> 32).astype(np.int32)), pa.array(blobs, pa.binary())], _SNIPPET)
+                yield pa.RecordBatch.from_arrays([flat.field("n"), flat.field("key"), flat.field("salts"), c.column("id").take(pa.array(row)), pa.array((place >> 32).astype(np.int32)), pa.array(blobs, pa.binary())], _SNIPPET)
 
-    return source.join(per, F.col("id") == F.col("_id")).select("id", "text", "places").mapInArrow(tidy(run), "n int, key long, id long, at int, codes binary")
+    return source.join(per, F.col("id") == F.col("_id")).select("id", "text", "places").mapInArrow(tidy(run), "n int, key long, salts long, id long, at int, codes binary")
 
 
-_SNIPPET = ["n", "key", "id", "at", "codes"]
+_SNIPPET = ["n", "key", "salts", "id", "at", "codes"]
 
 
 def _words_of(codes: list[bytes]) -> Words:
@@ -269,26 +270,32 @@ def _shard_hits(sides: DataFrame, n: int, window: int) -> DataFrame:
     return sides.repartition(n, *by).sortWithinPartitions(*by, "side").mapInArrow(tidy(run), "id long, at int, n int, item long, item_at int")
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """A written copy with a number for each row in ``id``."""
+def _written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
-    df.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """A written copy with a number for each row in ``id``."""
+    return _written(df.withColumn("id", F.monotonically_increasing_id()), name)
+
+
 def _find_by_shards(docs: DataFrame, items: DataFrame, schema, window: int) -> DataFrame:
     """:func:`find_contamination` for ``doc_id, row, text`` and ``item_id, text``, both of any size."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs, items = _numbered(docs, "documents"), _numbered(items, "benchmark")
     texts = docs.select("id", "text")
-    path = new_path(spark, "item-runs")
-    _keyed(items.select("id", "text"), window, None).write.parquet(path)
-    item_runs = spark.read.parquet(path)
+    item_runs = _written(_keyed(items.select("id", "text"), window, None), "item-runs")
     lengths = sorted(r["n"] for r in item_runs.select("n").distinct().collect())  # at most ``window`` of them
     near = _keyed(texts, window, lengths).join(item_runs.select("n", "key").distinct(), ["n", "key"], "left_semi") if lengths else _keyed(texts, window, [window]).limit(0)
-    theirs = _snippets(texts, near, window).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    ours = _snippets(items.select("id", "text"), item_runs, window).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = _written(near, "document-runs")
+    # Anchors that both sides have; one with many runs of documents has several shards, and the items' snippets go to each.
+    met = near.groupBy("n", "key").agg(F.count("*").alias("rows"))
+    met = _written(met.withColumn("salts", F.ceil(F.col("rows") / ANCHOR_RUNS)), "anchors")
+    theirs = _snippets(texts, join_hot(near, met, ["n", "key"], "rows"), window).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    ours = _snippets(items.select("id", "text"), item_runs.join(met, ["n", "key"]), window).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     hits = _shard_hits(ours.withColumn("side", F.lit(0)).unionByName(theirs.withColumn("side", F.lit(1))), n, window)
     named = hits.join(items.select(F.col("id").alias("item"), "item_id"), "item")
     per = named.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "n", "item", "item_at", "item_id")).alias("hits"))

@@ -109,7 +109,7 @@ def test_large_benchmarks_give_the_same(spark, monkeypatch):
     small = plain(D.find_contamination(docs, bench))
     assert small == plain(D.find_contamination(docs, bench, piece_bytes=0))
     monkeypatch.setattr(D, "SHARD_WORDS", 40)
-    monkeypatch.setattr(D, "SALTS", 2)
+    monkeypatch.setattr(D, "ANCHOR_RUNS", 5)
     assert small == plain(D.find_contamination(docs, bench, piece_bytes=0))
     assert small == plain(D.find_contamination(docs.repartition(7), bench, piece_bytes=1 << 30))
 

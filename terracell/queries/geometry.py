@@ -51,9 +51,10 @@ def layer_slots(spark, sf_dir):
     return V.layer_slots(_rectangles(spark, sf_dir), "layer", P.area(F.col("geometry.polys")))
 
 
-@query(f"""WITH {_RECT} SELECT DISTINCT CAST(b.r AS INTEGER) AS row, CAST(a.c AS INTEGER) AS col FROM r, range(0, 80) a(c), range(0, 100) b(r)
-WHERE a.c * 2.5 + 1.25 >= x AND a.c * 2.5 + 1.25 < x + w AND b.r * 2.5 + 1.25 >= y AND b.r * 2.5 + 1.25 < y + 2 * w
-AND NOT (a.c * 2.5 + 1.25 >= x + w / 4 AND a.c * 2.5 + 1.25 < x + w * 3 / 4 AND b.r * 2.5 + 1.25 >= y + w / 2 AND b.r * 2.5 + 1.25 < y + w * 3 / 2)""")
+@query(f"""WITH {_RECT}, a AS (SELECT *, unnest(range(CAST(x // 2.5 AS BIGINT), CAST((x + w) // 2.5 AS BIGINT) + 1)) AS c FROM r),
+b AS (SELECT *, unnest(range(CAST(y // 2.5 AS BIGINT), CAST((y + 2 * w) // 2.5 AS BIGINT) + 1)) AS r FROM a)
+SELECT DISTINCT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM b WHERE c * 2.5 + 1.25 >= x AND c * 2.5 + 1.25 < x + w AND r * 2.5 + 1.25 >= y AND r * 2.5 + 1.25 < y + 2 * w
+AND NOT (c * 2.5 + 1.25 >= x + w / 4 AND c * 2.5 + 1.25 < x + w * 3 / 4 AND r * 2.5 + 1.25 >= y + w / 2 AND r * 2.5 + 1.25 < y + w * 3 / 2)""")
 def mask_cells(spark, sf_dir):
     """Cell centres in polygons with holes."""
     r = _rectangles(spark, sf_dir)

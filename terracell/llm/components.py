@@ -42,6 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     e = edges.where("u is not null and v is not null and u <> v")
     e = keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "u long, v long")
+    if e.isEmpty():
+        return spark.createDataFrame([], "node long, component long")
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -98,7 +98,7 @@ def _wrap(kind: Column, polys: Column) -> Column:
 def force_polygonal(geometry: Column) -> Column:
     """Polygons stay; a collection keeps its polygonal parts as one multipolygon; anything else is NULL.
 
-    Readers put the polygonal parts of a collection, however deep, into ``polys``.
+    Readers put the polygonal parts of a collection, however deep, into ``polys``; :func:`terracell.operators.overlay.repair` unites parts that overlap.
     """
     kind = geometry["type"]
     many = F.when(kind == "GeometryCollection", F.lit("MultiPolygon")).otherwise(kind)
@@ -108,7 +108,7 @@ def force_polygonal(geometry: Column) -> Column:
 def drop_degenerate(geometry: Column) -> Column:
     """Without rings of no area and repeated points; a polygon whose shell goes, goes.  NULL when nothing is left.
 
-    Self-crossing shells are not mended here; see :func:`terracell.operators.vector.repair`.
+    Self-crossing shells are not mended here; see :func:`terracell.operators.overlay.repair`.
     """
     def points_once(r: Column) -> Column:
         kept = F.filter(r, lambda p, i: (i == 0) | (F.get(r, i - 1) != p))

@@ -1,4 +1,4 @@
-"""Features: masks from polygons, dissolving, repair, layer areas."""
+"""Features: masks from polygons, dissolving, layer areas."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as P
 from ..model import GridSpec
 from . import grid as G
+from .overlay import repair
 
 #: Insets of a map (fixed value).
 SLOTS = 4
@@ -45,9 +46,8 @@ def apply_mask(cells: DataFrame, mask: DataFrame, keep_rows: bool = False) -> Da
 
 
 def clean_geometries(features: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Usable polygonal geometries only, without degenerate rings."""
-    fixed = features.where(P.is_usable(F.col(geometry))).withColumn(geometry, P.drop_degenerate(P.force_polygonal(F.col(geometry))))
-    return fixed.where(P.is_usable(F.col(geometry)))
+    """Polygonal geometries only, made valid: see :func:`terracell.operators.overlay.repair`; the overlapping parts of a collection are united."""
+    return repair(features.withColumn(geometry, P.force_polygonal(F.col(geometry))), geometry)
 
 
 def gather_parts(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
@@ -129,7 +129,7 @@ def rings_to_polygons(rings: list[list[tuple[float, float]]]) -> list[list[list[
 
 
 def dissolve(features: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
-    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_coverage` and :func:`dissolve_exact`."""
+    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_coverage` and :func:`terracell.operators.overlay.union`."""
     parts = features.where(P.is_usable(F.col(geometry))).groupBy(key).agg(F.flatten(F.collect_list(F.col(geometry)["polys"])).alias("polys"))
     boxes = F.transform("polys", lambda p: P.bounds(F.array(p)))
     meet = lambda a, b: (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"]) & (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"])
@@ -140,47 +140,6 @@ def dissolve(features: DataFrame, key: str, geometry: str = "geometry") -> DataF
     return parts.select(key, F.when(clash, failed).otherwise(shape).alias(geometry))
 
 
-def dissolve_exact(rows: list[tuple[str, list]], spark) -> list[tuple[str, list]]:
-    """(key, polygons) unions and repairs through the JTS library that Spark ships, for administrative layers that fit the driver."""
-    jts = spark._jvm.org.locationtech.jts
-    factory, reader = jts.geom.GeometryFactory(), jts.io.WKTReader()
-    groups: dict[str, list[str]] = {}
-    for key, polys in rows:
-        groups.setdefault(key, []).append(to_wkt(polys))
-    out = []
-    for key, texts in groups.items():
-        shapes = spark._jvm.java.util.ArrayList()
-        for t in texts:
-            shapes.add(jts.geom.util.GeometryFixer.fix(reader.read(t)))
-        merged = jts.operation.union.UnaryUnionOp.union(shapes, factory)
-        out.append((key, _from_jts(merged)))
-    return out
-
-
-def repair(rows: list[tuple[str, list]], spark) -> list[tuple[str, list]]:
-    """Valid polygons per row, by the same library; rows whose geometry vanishes go."""
-    jts = spark._jvm.org.locationtech.jts
-    reader = jts.io.WKTReader()
-    fixed = [(k, _from_jts(jts.geom.util.GeometryFixer.fix(reader.read(to_wkt(p))))) for k, p in rows if p]
-    return [(k, p) for k, p in fixed if p]
-
-
-def to_wkt(polys: list) -> str:
-    """WKT of polygons given as rings of (x, y)."""
-    ring = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")"
-    return "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(ring, p)) + ")" for p in polys) + ")"
-
-
-def _from_jts(g) -> list:
-    points = lambda r: [(c.getX(), c.getY()) for c in r.getCoordinates()]
-    out = []
-    for i in range(g.getNumGeometries()):
-        p = g.getGeometryN(i)
-        if p.getGeometryType() == "Polygon" and not p.isEmpty():
-            out.append([points(p.getExteriorRing()), *[points(p.getInteriorRingN(j)) for j in range(p.getNumInteriorRing())]])
-    return out
-
-
 def total_bounds(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     b = features.where(P.is_usable(F.col(geometry))).select(P.bounds(F.col(geometry)["polys"]).alias("b"))
     return b.agg(F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as P
 from ..operators import keys as K
+from ..operators import overlay as O
 from ..operators import vector as V
 
 #: File name of the mainland layer (fixed value).
@@ -45,7 +46,7 @@ def parishes(layers: dict[str, DataFrame], key: str = "dicofre") -> DataFrame:
     if not kept:
         raise ValueError(f"no layer has {key}")
     both = K.stack([V.clean_geometries(d).select(F.lit(n).alias("layer"), F.col(key).cast("string").alias(key), "geometry") for n, d in kept.items()])
-    return V.dissolve_coverage(both, ["layer", key])
+    return O.union(both, ["layer", key])
 
 
 def indicator_map(layers: dict[str, DataFrame], table: DataFrame, key: str = "dicofre", value_key: str = "ID") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as P
 from ..model import GridSpec
+from ..operators import overlay as O
 from ..operators import vector as V
 from ..plans import picture
 from ..sources import geojson
@@ -113,6 +114,44 @@ def clean_geometries(spark, sf_dir):
     return c.select("s_suppkey", F.col("geometry.type").alias("type"), P.area(F.col("geometry.polys")).alias("area"))
 
 
+_TILES = """t AS (SELECT p_partkey % 9 AS k, CAST(p_partkey * 7 % 60 AS BIGINT) AS x, CAST(p_partkey * 13 % 41 AS BIGINT) AS y, p_size % 9 + 1 AS w, p_partkey % 5 + 1 AS h FROM part),
+c AS (SELECT DISTINCT k, unnest(range(x, x + w)) AS x, y, h FROM t), d AS (SELECT DISTINCT k, x, unnest(range(y, y + h)) AS y FROM c)"""
+
+
+@query(f"""WITH {_TILES}, e AS (SELECT d.k, d.x, d.y, s.dx, s.dy FROM d, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy)),
+o AS (SELECT e.k, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.k = e.k AND d.x = e.x + e.dx AND d.y = e.y + e.dy) GROUP BY 1)
+SELECT CAST(d.k AS BIGINT) AS k, CAST(count(*) AS DOUBLE) AS area, CAST(any_value(o.n) AS DOUBLE) AS perimeter FROM d JOIN o ON d.k = o.k GROUP BY 1""")
+def united_overlaps(spark, sf_dir):
+    """Rectangles of a key that overlap in any way, united; area and length of the border."""
+    k = F.col("p_partkey")
+    x, y, w, h = (k * 7 % 60).cast("double"), (k * 13 % 41).cast("double"), F.col("p_size") % 9 + 1, k % 5 + 1
+    shape = F.struct(F.lit("Polygon").alias("type"), P.rectangle(x, y, x + w, y + h).alias("polys"))
+    u = O.union(table(spark, sf_dir, "part").select((k % 9).alias("k"), shape.alias("geometry")), ["k"])
+    sides = F.flatten(F.transform(F.flatten("geometry.polys"), P.edges))
+    length = F.aggregate(F.transform(sides, lambda e: F.abs(e["a"]["x"] - e["b"]["x"]) + F.abs(e["a"]["y"] - e["b"]["y"])), F.lit(0.0), lambda a, v: a + v)
+    return u.select("k", P.area(F.col("geometry.polys")).alias("area"), length.alias("perimeter"))
+
+
+@query(f"WITH {_RECT} SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN 2 ELSE 1 END AS parts, CASE s_suppkey % 4 WHEN 0 THEN 1.5 * w * w WHEN 3 THEN 3.5 * w * w ELSE 2 * w * w END AS area FROM r")
+def repaired_geometries(spark, sf_dir):
+    """Holes that touch the shell, bow-ties, spikes, and collections with parts that overlap."""
+    r = _rectangles(spark, sf_dir)
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    ring = lambda *pts: F.array(*[F.struct((x + a * w).alias("x"), (y + b * w).alias("y")) for a, b in pts])
+    box = ((0, 0), (1, 0), (1, 2), (0, 2), (0, 0))
+    shapes = [
+        F.array(F.array(ring(*box), ring((0.25, 1), (0.75, 1), (0.75, 2), (0.25, 2), (0.25, 1)))),
+        F.array(F.array(ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)))),
+        F.array(F.array(ring((0, 0), (1, 0), (1, 2), (1, 5), (1, 2), (0, 2), (0, 0)))),
+        F.array(F.array(ring(*box)), F.array(ring((0.5, 1), (1.5, 1), (1.5, 3), (0.5, 3), (0.5, 1)))),
+    ]
+    k = F.col("s_suppkey") % 4
+    pick = F.when(k == 0, shapes[0]).when(k == 1, shapes[1]).when(k == 2, shapes[2]).otherwise(shapes[3])
+    shape = F.struct(F.when(k == 3, "GeometryCollection").otherwise("Polygon").alias("type"), pick.alias("polys"))
+    c = V.clean_geometries(r.select("s_suppkey", shape.alias("geometry")))
+    return c.select("s_suppkey", F.size("geometry.polys").alias("parts"), P.area(F.col("geometry.polys")).alias("area"))
+
+
 @query(f"WITH {_RECT} SELECT s_suppkey, 'Polygon' AS type, x AS xmin, y + 2 * w AS ymax, w * 2 * w AS area FROM r")
 def geojson_round_trip(spark, sf_dir):
     """Geometries to GeoJSON text and back."""

@@ -163,14 +163,6 @@ def test_dissolve(spark):
         vector.dissolve(spark.createDataFrame([("a", poly(BOX(0, 0, 2))), ("a", poly(BOX(1, 1, 2)))], SHAPES), "k").collect()
 
 
-def test_exact_union_and_repair(spark):
-    (key, polys), = vector.dissolve_exact([("a", [[BOX(0, 0, 2)]]), ("a", [[BOX(1, 1, 2)]])], spark)
-    area = abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(polys[0][0], polys[0][0][1:]))) / 2
-    assert key == "a" and len(polys) == 1 and area == pytest.approx(7.0)
-    (_, fixed), = vector.repair([("bow", [[[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]])], spark)
-    assert len(fixed) == 2
-
-
 def test_mask_is_idempotent(spark):
     f = spark.createDataFrame([("a", poly(BOX(1, 1, 2)))], SHAPES)
     g = square(5, 1.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mollweide as M
+from ..functions import projections as J
 from ..functions import transverse_mercator as TM
 from ..model import GridSpec
 from . import grid as G
@@ -19,13 +20,14 @@ LONLAT = ("EPSG:4326", "OGC:CRS84", "URN:OGC:DEF:CRS:OGC:1.3:CRS84", "EPSG:4258"
 
 
 def lonlat(crs: str):
-    """(to, from) longitude and latitude for a CRS: functions of two columns.  Names that are not known are taken as degrees unless they name a projection."""
+    """(to, from) longitude and latitude for a CRS: functions of two columns.  Codes, WKT and PROJ strings that are not supported raise; other names are taken as degrees."""
     if (tm := TM.of_crs(crs)) is not None:
         return tm.inverse, tm.forward
     if M.is_mollweide_name(crs):
         return M.inverse, M.forward
-    if crs.upper().startswith(("EPSG:", "ESRI:")) and crs.upper() not in LONLAT:
-        raise ValueError(f"warps from {crs} are not supported")
+    if crs.upper() not in LONLAT and (crs.upper().startswith(("EPSG:", "ESRI:", "+PROJ")) or "[" in crs):
+        system = J.crs(crs)
+        return (lambda x, y: J.on_columns(system.inverse(), x, y)), (lambda lon, lat: J.on_columns(system.forward(), lon, lat))
     same = lambda x, y: (x, y)
     return same, same
 
@@ -54,7 +56,7 @@ def mollweide_grid(spark: SparkSession, src: GridSpec, resolution: float | None
 
 
 def to_mollweide(cells: DataFrame, src: GridSpec, resolution: float | None = None, how: str = "nearest", keys: list[str] | None = None, target: GridSpec | None = None) -> tuple[DataFrame, GridSpec]:
-    """(cells on the target grid, the grid); sources in longitude and latitude, UTM zones and Portugal TM06."""
+    """(cells on the target grid, the grid); for sources of any CRS that :func:`lonlat` knows."""
     spark = cells.sparkSession
     dst = target or mollweide_grid(spark, src, resolution)
     x, y = G.centres(dst, F.col("col"), F.col("row"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as P
+from ..functions import projections as J
 from ..model import GridSpec
 from . import grid as G
 from .overlay import repair
@@ -153,7 +154,7 @@ def layer_slots(features: DataFrame, layer: str, area: Column, slots: int = SLOT
 
 
 def crs_to_mollweide(features: DataFrame, geometry: str = "geometry", crs: str = "crs", projected: tuple[str, ...] = ()) -> DataFrame:
-    """Geometries in metres: those in longitude and latitude, and those in the ``projected`` CRSs named (UTM zones, Portugal TM06); those with a Mollweide CRS, another or none stay."""
+    """Geometries in metres: those in longitude and latitude, and those in the ``projected`` CRSs named (any that :func:`terracell.functions.projections.crs` knows); those with a Mollweide CRS, another or none stay."""
     from ..functions import mollweide as M
     from .reproject import lonlat, LONLAT
 
@@ -166,6 +167,21 @@ def crs_to_mollweide(features: DataFrame, geometry: str = "geometry", crs: str =
     return features.withColumn(geometry, moved.otherwise(F.col(geometry))).withColumn(crs, F.when(known, F.lit(M.CODE)).otherwise(F.col(crs)))
 
 
+def to_crs(features: DataFrame, target: str, sources: list[str], geometry: str = "geometry", crs: str = "crs") -> DataFrame:
+    """Geometries of the CRSs in ``sources`` (codes, WKT or PROJ strings, as in column ``crs``) in the target's coordinates; others stay.
+
+    Each corner is moved; points outside the target's projection become NULL.  One expression for each source, no shuffle.
+    """
+    named, moved = F.col(crs), None
+    for s in sources:
+        steps = J.between(s, target)
+        here = P.transform_points(F.col(geometry), lambda x, y, steps=steps: J.on_columns(steps, x, y))
+        moved = F.when(named == s, here) if moved is None else moved.when(named == s, here)
+    if moved is None:
+        return features
+    return features.withColumn(geometry, moved.otherwise(F.col(geometry))).withColumn(crs, F.when(named.isin(*sources), F.lit(target)).otherwise(named))
+
+
 def circle(cx: float, cy: float, r: float, n: int = 32) -> list:
     """A closed ring around a centre, for tests and buffers of points."""
     pts = [(cx + r * math.cos(2 * math.pi * i / n), cy + r * math.sin(2 * math.pi * i / n)) for i in range(n)]

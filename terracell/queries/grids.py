@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..functions import mollweide as M
+from ..functions import projections as J
 from ..model import VAR_TYPES, GridSpec
 from ..operators import grid as G
 from ..operators import reproject as W
@@ -222,6 +223,58 @@ def warp_covering(spark, sf_dir):
     return out.select("row", "col", "value")
 
 
+def _degrees(spark, sf_dir):
+    """The raster of prices from 43 degrees north, at most 20 degrees high."""
+    h = _grid(spark, sf_dir).height
+    return GridSpec.square("EPSG:4326", -12.0, 43.0, min(0.5, 20.0 / h), WIDTH, h)
+
+
+@query("SELECT crs, round(sum(p_retailprice), 2) AS total FROM part, (VALUES ('ESRI:54009'), ('EPSG:3035'), ('EPSG:32629')) AS t(crs) GROUP BY 1")
+def warped_totals(spark, sf_dir):
+    """Counts on grids of other CRSs by shares of area; totals are what they were."""
+    src, cells, out = _degrees(spark, sf_dir), _prices(spark, sf_dir), None
+    targets = [GridSpec.square(M.CODE, -1_500_000.0, 5_500_000.0, 125_000.0, 40, 30), GridSpec.square("EPSG:3035", 1_500_000.0, 3_200_000.0, 125_000.0, 40, 30), GridSpec.square("EPSG:32629", -500_000.0, 5_300_000.0, 125_000.0, 40, 30)]
+    for t in targets:
+        one = R.reduce_cells(cells, src, t, "sum").agg(F.round(F.sum("value"), 2).alias("total")).select(F.lit(t.crs).alias("crs"), "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SINUSOID = "+proj=sinu +R=6371007.181 +units=m"
+
+
+@query("""WITH g AS (SELECT max(p_partkey) // 50 + 1 AS h FROM part), p AS (SELECT p_partkey AS id, p_partkey % 50 AS c, p_partkey // 50 AS r, p_retailprice AS v, least(0.5, 20.0 / h) AS d FROM part, g),
+m AS (SELECT p.id, p.v, i, -12.0 + (c + CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END) * d AS lon, 43.0 - (r + CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END) * d AS lat FROM p, range(0, 4) AS t(i)),
+q AS (SELECT id, v, i, (6371007.181 * radians(lon) * cos(radians(lat)) + 1200000.0) / 90000.0 AS x, (4900000.0 - 6371007.181 * radians(lat)) / 90000.0 AS y FROM m),
+b AS (SELECT id, v, floor(min(x)) AS x0, ceil(max(x)) AS x1, floor(min(y)) AS y0, ceil(max(y)) AS y1 FROM q GROUP BY 1, 2),
+t AS (SELECT id, v, col, unnest(range(CAST(greatest(y0, 0) AS BIGINT), CAST(least(y1, 40) AS BIGINT))) AS row FROM (SELECT *, unnest(range(CAST(greatest(x0, 0) AS BIGINT), CAST(least(x1, 60) AS BIGINT))) AS col FROM b)),
+e AS (SELECT a.id, a.x AS xa, a.y AS ya, z.x AS xb, z.y AS yb FROM q a JOIN q z ON a.id = z.id AND z.i = (a.i + 1) % 4),
+s AS (SELECT t.id, t.v, t.row, t.col, xa, ya, xb, yb, least(greatest(ya, row), row + 1) AS p, least(greatest(yb, row), row + 1) AS n FROM t JOIN e ON t.id = e.id),
+w AS (SELECT *, xa + (p - ya) / (yb - ya) * (xb - xa) - col AS l, xa + (n - ya) / (yb - ya) * (xb - xa) - col AS u FROM s WHERE p <> n),
+f AS (SELECT *, CASE WHEN l <= 0 THEN 0 WHEN l >= 1 THEN l - 0.5 ELSE l * l / 2 END AS fl, CASE WHEN u <= 0 THEN 0 WHEN u >= 1 THEN u - 0.5 ELSE u * u / 2 END AS fu FROM w),
+o AS (SELECT id, v, row, col, abs(sum((n - p) * CASE WHEN abs(u - l) < 1e-7 THEN least(greatest((u + l) / 2, 0), 1) ELSE (fu - fl) / (u - l) END)) AS area FROM f GROUP BY ALL)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(v * area) / sum(area), 3) AS value, round(sum(area), 5) AS covered FROM o WHERE area > 1e-6 GROUP BY 1, 2""")
+def warped_average(spark, sf_dir):
+    """Area-weighted average on a grid of another CRS, and how much of each cell is covered."""
+    o = R.overlaps(_prices(spark, sf_dir), _degrees(spark, sf_dir), GridSpec.square(_SINUSOID, -1_200_000.0, 4_900_000.0, 90_000.0, 60, 40), []).where("area > 1e-6")
+    a = o.groupBy("row", "col").agg((F.sum(F.col("value") * F.col("area")) / F.sum("area")).alias("value"), F.sum("area").alias("covered"))
+    return a.select("row", "col", r6("value", 3).alias("value"), r6("covered", 5).alias("covered"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, radians(p_partkey % 80 - 30.0) AS lon, radians(p_partkey // 80 % 50 + 20.0) AS lat FROM part), k AS (SELECT 6378137.0 AS a, sqrt(2 / 298.257222101 - 1 / 298.257222101 ** 2) AS e),
+u AS (SELECT *, sin(lat) AS s, sin(radians(52.0)) AS s0 FROM p, k), v AS (SELECT *, (1 - e * e) * (s / (1 - e * e * s * s) + atanh(e * s) / e) AS q, (1 - e * e) * (s0 / (1 - e * e * s0 * s0) + atanh(e * s0) / e) AS q0, (1 - e * e) * (1 / (1 - e * e) + atanh(e) / e) AS qp FROM u),
+w AS (SELECT *, asin(q / qp) AS b, asin(q0 / qp) AS b0, sqrt(qp / 2) AS r, cos(radians(52.0)) / sqrt(1 - e * e * s0 * s0) AS m, lon - radians(10.0) AS d FROM v),
+x AS (SELECT *, m / (r * cos(b0)) AS k, r * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(d))) AS f FROM w)
+SELECT id, round(4321000.0 + a * f * k * cos(b) * sin(d), 3) AS x, round(3210000.0 + a * f / k * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(d)), 3) AS y, round(degrees(lon), 8) + 0.0 AS lon, round(degrees(lat), 8) + 0.0 AS lat FROM x""")
+def equal_area_points(spark, sf_dir):
+    """An ellipsoidal azimuthal projection, and back."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k.alias("id"), (k % 80 - 30.0).alias("x"), (F.floor(k / 80) % 50 + 20.0).alias("y"))
+    there = J.on_frame(p, J.between("EPSG:4326", "EPSG:3035"), [("x", "y")])
+    back = J.on_frame(there.select("*", F.col("x").alias("lon"), F.col("y").alias("lat")), J.between("EPSG:3035", "EPSG:4326"), [("lon", "lat")])
+    return back.select("id", r6("x", 3).alias("x"), r6("y", 3).alias("y"), r6("lon", 8).alias("lon"), r6("lat", 8).alias("lat"))
+
+
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN -3.0 WHEN 2 THEN -2.0 WHEN 3 THEN -1.5 WHEN 4 THEN -9999.0 WHEN 5 THEN CAST('nan' AS DOUBLE) WHEN 6 THEN CAST('inf' AS DOUBLE) ELSE l_quantity END AS v, l_linenumber % 2 + 1 AS band FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN band <> 1 THEN CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE round(v, 5) END WHEN isnan(v) OR isinf(v) OR v = -9999 OR v + 2 <= 0 THEN NULL ELSE round(ln(CASE WHEN v > -2 AND NOT isinf(v) THEN v + 2 END), 5) + 0.0 END AS value FROM v""")
 def night_lights(spark, sf_dir):

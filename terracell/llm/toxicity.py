@@ -15,6 +15,7 @@ counts and features.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -30,6 +31,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..store import cut
 from .vectext import chunks, tidy
 
+log = logging.getLogger(__name__)
+
 #: Labelled rows used for fitting, per class at most (a documented bound; the rows are those with the smallest hashes of their ids).
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 5000
 #: Bytes of text used for fitting, per class at most: rows are taken in the order of those hashes while they fit.
@@ -291,14 +294,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     # Of rows that repeat an id one text counts, and copies of a text are one witness.
     one = texts.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text")).groupBy("text", "toxic").agg(F.min("h").alias("h"))
     one = cut(one.withColumn("size", F.octet_length("text")))
-    # The driver gets the sizes of the bounded sample and says up to which hash its texts fit.
-    last, held = {0: None, 1: None}, {0: 0, 1: 0}
-    for r in sorted(one.select("toxic", "h", "size").collect(), key=lambda r: (r["toxic"], r["h"])):
-        held[r["toxic"]] += r["size"]
-        if held[r["toxic"]] <= max_bytes:
-            last[r["toxic"]] = r["h"]
-    fits = F.when(F.col("toxic") == 1, F.col("h") <= F.lit(last[1])).otherwise(F.col("h") <= F.lit(last[0]))
-    return one.where(fits).select("h", "text", "toxic")
+    # The driver gets the sizes of the bounded sample and says which of its texts fit; one that does not is passed over.
+    kept, held = [], {0: 0, 1: 0}
+    rows = sorted(one.select("toxic", "h", "size").collect(), key=lambda r: (r["toxic"], r["h"]))
+    for r in rows:
+        if held[r["toxic"]] + r["size"] <= max_bytes:
+            held[r["toxic"]] += r["size"]
+            kept.append((r["toxic"], r["h"]))
+    if len(kept) < len(rows):
+        log.warning("%d of %d labelled texts are not learned from, as their class has more than %d bytes", len(rows) - len(kept), len(rows), max_bytes)
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "toxic int, h long")), ["toxic", "h"], "left_semi")
+    return one.select("h", "text", "toxic")
 
 
 def _count_entries(sample: DataFrame) -> DataFrame:
@@ -338,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, m
     """Fits on labelled rows that are not held out: at most ``max_toxic`` and ``max_clean`` of them, and ``max_bytes`` of text per class.
 
     labels: ``doc_id, toxic``; null ids and labels are left out, and of several labels of one id the largest counts.  Of rows that
-    repeat an id one text counts.  Entries are learned on each half of the rows for the curve on the other half, and then on all.
+    repeat an id one text counts.  A text that does not fit beside those with smaller hashes is passed over, and the next that fits is taken.  Entries are learned on each half of the rows for the curve on the other half, and then on all.
     Without labelled rows of both classes the seed vocabulary and a fixed curve serve.
     """
     sample = labelled_sample(docs, labels, max_toxic, max_clean, max_bytes)
@@ -346,6 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC_ROWS, m
     for r in sample.groupBy("toxic", F.col("h").bitwiseAND(F.lit(1)).alias("half")).count().collect():
         size[(0 if r["toxic"] else 2) + r["half"]] = r["count"]
     if not size[:2].sum() or not size[2:].sum():
+        log.warning("no labelled texts of both classes: the seed vocabulary and a fixed curve serve")
         return Model(dict(SEED), [-2.5, 3.0, 1.0, 0.5, 0.5])
     t = _count_entries(sample).toArrow()
     entry, p0, p1, n0, n1 = (t.column(k).to_pylist() if k == "entry" else t.column(k).to_numpy() for k in t.schema.names)

@@ -144,6 +144,19 @@ def test_the_sample_is_bounded(spark):
     assert len({r["h"] for r in everything}) == len(everything) and len(everything) <= len(usable)
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    """Whatever its hash, a text beyond the bound takes no other text of its class with it."""
+    rows = [(i, f"you are a gronk number {i}" if i % 2 else f"a calm note number {i}") for i in range(400)]
+    usable = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and i % 2]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    for big in usable[:6]:
+        docs = spark.createDataFrame([(i, "gronk " * 20_000 if i == big else t) for i, t in rows], "doc_id long, text string")
+        got = T.labelled_sample(docs, labels, 1000, 1000, 20_000)
+        assert got.where("toxic = 1").count() == len(usable) - 1
+    model = T.train(docs, labels, max_bytes=20_000)
+    assert model.lexicon != T.SEED and model.score("you are a gronk") > 0.5 > model.score("a calm note")
+
+
 def test_held_out_accuracy(spark):
     rows = labelled()
     docs, labels = frames(spark, rows)

@@ -56,10 +56,17 @@ class Queries:
         self.window = window
         self.text = np.concatenate([rank + 1, np.full(window, -1, np.int32)])
         self.stop = w.first[1:][item]
+        self.count = count
         use = left >= need
         self.at, self.need, self.item = np.flatnonzero(use), need[use], item[use]
         self.ids = ids
         self.shortest = int(self.need.min()) if len(self.need) else 0
+        # Distinct windows: the first suffix of each, and the suffixes of each one after another.
+        key = np.concatenate([np.where(np.arange(window) < self.need[:, None], _keys(self.text, self.at, window), 0), self.need[:, None]], axis=1)
+        _, self.sample, self.window_of = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        self.window_of = self.window_of.ravel()
+        self.suffixes = np.argsort(self.window_of, kind="stable")
+        self.edge = np.concatenate(([0], np.cumsum(np.bincount(self.window_of, minlength=len(self.sample))))).astype(np.int64)
 
 
 def _keys(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -120,6 +127,20 @@ class Shard:
         return n
 
 
+    def before(self, q: Queries, start: np.ndarray, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Words that agree just before the item positions ``start`` and the shard positions ``at``, back to the item's first word ``begin``."""
+        n = np.zeros(len(start), np.int64)
+        stop = np.minimum(start - begin, at)
+        active = np.flatnonzero(stop > 0)
+        while len(active):
+            i, j = start[active] - n[active] - 1, at[active] - n[active] - 1
+            # Words of the document before are behind the end of a run of known words.
+            active = active[(q.text[i] == self.text[j]) & (self.run_end[j] >= self.run_end[at[active]])]
+            n[active] += 1
+            active = active[n[active] < stop[active]]
+        return n
+
+
 def row_chunks(batch: pa.RecordBatch, field: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch by the bytes of one field of its column ``row``."""
     at = 0
@@ -128,36 +149,68 @@ def row_chunks(batch: pa.RecordBatch, field: int) -> Iterator[pa.RecordBatch]:
         at += c.num_rows
 
 
-def _occurrences(w: Words, q: Queries) -> tuple[np.ndarray, np.ndarray, Shard]:
-    """(number of the item suffix, first word in ``w``) of every occurrence of a window, and the shard."""
+def _places(w: Words, q: Queries) -> tuple[np.ndarray, np.ndarray, Shard]:
+    """(number of the distinct window, first word in ``w``) of every occurrence of a window, and the shard."""
     s = Shard(w.code, w.first, q)
-    wanted = _keys(q.text, q.at, q.window)
-    lo, hi = s.search(wanted, q.need, False), s.search(wanted, q.need, True)
+    wanted, need = _keys(q.text, q.at[q.sample], q.window), q.need[q.sample]
+    lo, hi = s.search(wanted, need, False), s.search(wanted, need, True)
     size = hi - lo
-    which = np.repeat(np.arange(len(q.at)), size)
+    which = np.repeat(np.arange(len(size)), size)
     place = s.at[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)] if len(which) else np.zeros(0, np.int64)
     return which, place, s
 
 
+def _spread(edge: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of ``which``, position) of all positions in the groups ``which`` that ``edge`` bounds."""
+    size = edge[which + 1] - edge[which]
+    of = np.repeat(np.arange(len(which)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edge[which], size)
+
+
+def _occurrences(w: Words, q: Queries) -> tuple[np.ndarray, np.ndarray, Shard]:
+    """(number of the item suffix, first word in ``w``) of every occurrence of an item's window, and the shard."""
+    which, place, s = _places(w, q)
+    of, at = _spread(q.edge, which)
+    return q.suffixes[at], place[of], s
+
+
 def _scan(w: Words, q: Queries) -> tuple[np.ndarray, list[list[tuple]]]:
-    """For one chunk: hit flags of its words, and matches (item, item word, document word, words) per document."""
+    """For one chunk: hit flags of its words, and for each document the longest match (item, item word, document word, words) with each item that has a window in it.
+
+    Windows that items share are looked up once, and only their first place in a document meets the items: what a document
+    costs is its occurrences of windows and the items it has, not their product.
+    """
     matches: list[list[tuple]] = [[] for _ in range(len(w.first) - 1)]
     hit = np.zeros(len(w.code) + 1, np.int32)
     if len(w.code) and len(q.at):
-        which, place, s = _occurrences(w, q)
+        which, place, s = _places(w, q)
         np.add.at(hit, place, 1)
-        np.add.at(hit, place + q.need[which], -1)
-        length = s.longest(q, q.at[which], place)
+        np.add.at(hit, place + q.need[q.sample][which], -1)
         doc = np.searchsorted(w.first, place, "right") - 1
-        first_word = w.first[doc]
-        item = q.item[which]
-        begin = np.searchsorted(q.item, item, "left")
-        inside = q.at[which] - q.at[begin]
-        # A match that only continues the one a word before is not reported again.
-        before = set(zip((q.at[which]).tolist(), place.tolist()))
-        for i, (d, p, t, k, n) in enumerate(zip(doc.tolist(), place.tolist(), item.tolist(), q.at[which].tolist(), length.tolist())):
-            if (k - 1, p - 1) not in before or inside[i] == 0:
-                matches[d].append((q.ids[t], int(inside[i]), p - int(first_word[i]), n))
+        # The first place of each window in each document.
+        order = np.lexsort((place, which, doc))
+        doc, which, place = doc[order], which[order], place[order]
+        first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (which[1:] != which[:-1]))) if len(doc) else np.zeros(0, bool)
+        doc, which, place = doc[first], which[first], place[first]
+        for d in np.unique(doc).tolist():
+            a, b = np.searchsorted(doc, [d, d + 1])
+            of, at = _spread(q.edge, which[a:b])
+            suffix, p = q.suffixes[at], place[a:b][of]
+            # What only continues the match a word before is part of it.
+            order = np.argsort(suffix, kind="stable")
+            suffix, p = suffix[order], p[order]
+            follows = np.zeros(len(suffix), bool)
+            follows[1:] = (q.at[suffix[1:]] == q.at[suffix[:-1]] + 1) & (q.item[suffix[1:]] == q.item[suffix[:-1]]) & (p[1:] == p[:-1] + 1)
+            suffix, p = suffix[~follows], p[~follows]
+            item = q.item[suffix]
+            begin = q.stop[q.at[suffix]] - q.count[item]
+            back = s.before(q, q.at[suffix], p, begin)
+            start, p = q.at[suffix] - back, p - back
+            length = s.longest(q, start, p)
+            best = np.lexsort((start, p, -length, item))
+            best = best[np.concatenate(([True], item[best][1:] != item[best][:-1]))]
+            low = int(w.first[d])
+            matches[d] = [(q.ids[t], i, x - low, n) for t, i, x, n in zip(item[best].tolist(), (start - begin)[best].tolist(), p[best].tolist(), length[best].tolist())]
     return np.cumsum(hit[:-1]) > 0, matches
 
 
@@ -318,7 +371,10 @@ def _find_by_shards(docs: DataFrame, items: DataFrame, schema, window: int) -> D
                             last[1][3] += 1
                         else:
                             runs.append([h["item"], [h["item_id"], h["item_at"], h["at"], h["n"]]])
-                    matches.append([tuple(m) for _, m in runs])
+                    longest: dict[int, tuple] = {}
+                    for item, m in sorted(runs, key=lambda r: (-r[1][3], r[1][2], r[1][1])):
+                        longest.setdefault(item, tuple(m))
+                    matches.append(list(longest.values()))
                 yield _found(c, w, np.cumsum(hit[:-1]) > 0, matches)
 
     return both.mapInArrow(tidy(run), schema)
@@ -333,8 +389,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Returns
     ``doc_id, n_words, hit binary, matches array<struct<item_id,item_word,doc_word,words>>`` and the input's columns in
-    ``row`` (a struct); ``hit`` has a byte for each word, 1 inside an occurrence of a window; ``matches`` has the longest
-    verbatim match at each place where an item's text begins to agree.  One row per input row.  Nothing is shuffled if the benchmark has
+    ``row`` (a struct); ``hit`` has a byte for each word, 1 inside an occurrence of a window; ``matches`` has, for each
+    item with a window in the document, the longest verbatim match at a first occurrence of one of its windows, the earliest of equally long ones.  One row per input row.  Nothing is shuffled if the benchmark has
     at most ``piece_bytes`` of text; the results are the same beyond that.
 
     Null and empty texts have no words and no hits.  Items without words never match; rows of one item_id are one

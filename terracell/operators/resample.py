@@ -102,7 +102,7 @@ def overlaps(cells: DataFrame, src: GridSpec, dst: GridSpec, keys: list[str]) ->
     return e.select(*keys, "row", "col", "value", (part("_c0", "_c1", "col") * part("_r0", "_r1", "row")).alias("w")).withColumn("area", F.col("w"))
 
 
-def _by_overlap(cells: DataFrame, src: GridSpec, dst: GridSpec, how: str, keys: list[str]) -> DataFrame:
+def _by_overlap(cells: DataFrame, src: GridSpec, dst: GridSpec, how: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
     o = overlaps(cells.where("value is not null"), src, dst, keys)
     by = [*keys, "row", "col"]
     if how == "mode":
@@ -110,9 +110,10 @@ def _by_overlap(cells: DataFrame, src: GridSpec, dst: GridSpec, how: str, keys:
         # Ties go to the smallest value; weights are compared after rounding, as their sums depend on the order.
         return n.groupBy(*by).agg(F.max_by("value", F.struct(F.round("_w", 9), -F.col("value"))).alias("value"))
     v, w, area = F.col("value"), F.col("w"), F.col("area")
+    quantile = (lambda q: F.percentile(v, q)) if accuracy is None else (lambda q: F.percentile_approx(v, q, accuracy))
     agg = {
         "average": F.sum(v * area) / F.sum(area), "sum": F.sum(v * w), "max": F.max(v), "min": F.min(v),
-        "med": F.percentile(v, 0.5), "q1": F.percentile(v, 0.25), "q3": F.percentile(v, 0.75),
+        "med": quantile(0.5), "q1": quantile(0.25), "q3": quantile(0.75),
     }[how]
     return o.groupBy(*by).agg(agg.alias("value"))
 
@@ -149,9 +150,12 @@ def sample(cells: DataFrame, src: GridSpec, wanted: DataFrame, how: str, keys: l
     return out.where("abs(_d) > 1e-9").select(*keys, "row", "col", (F.col("_n") / F.col("_d")).alias("value"))
 
 
-def regrid(cells: DataFrame, src: GridSpec | dict, dst: GridSpec | dict, how: str = "nearest", keys: list[str] | None = None, fill: float | None = None) -> DataFrame:
+def regrid(cells: DataFrame, src: GridSpec | dict, dst: GridSpec | dict, how: str = "nearest", keys: list[str] | None = None, fill: float | None = None, accuracy: int | None = None) -> DataFrame:
     """Cells of ``src`` on ``dst``: ``keys, row, col, value``.
 
+    Medians and quartiles are exact and interpolate, for which a task holds the distinct values of a target cell.  With ``accuracy`` they are values of the cell whose rank is
+    off by at most one part in ``accuracy``, from sketches of bounded size that tasks make and the shuffle merges: for targets so coarse that a cell has millions of sources.
+
     The grids may differ in CRS and rotation: methods that look up points take them through the projections, and the others
     weigh by area in the target's CRS.  Target cells without a valid source cell have no row; with ``fill`` every target cell has one (single layer only).
     """
@@ -161,7 +165,7 @@ def regrid(cells: DataFrame, src: GridSpec | dict, dst: GridSpec | dict, how: st
         wanted = G.cells(cells.sparkSession, dst).select("row", "col", x.alias("x"), y.alias("y"))
         out = sample(cells, src, J.on_frame(wanted, J.between(dst.crs, src.crs), [("x", "y")]), how, keys)
     else:
-        out = _by_overlap(cells, src, dst, how, keys)
+        out = _by_overlap(cells, src, dst, how, keys, accuracy)
     if fill is None:
         return out
     if keys:

@@ -21,9 +21,49 @@ SLOTS = 4
 def mask_cells(features: DataFrame, grid: GridSpec, geometry: str = "geometry", bin_cells: int = 64, carry: str | None = None) -> DataFrame:
     """``row, col`` of the cells whose centre is in some polygon of ``features``; with ``carry`` also the largest value of that column among them.
 
-    A polygon meets the cells of the bins its envelope touches, through an equi-join on the bin, so a mask costs what the
-    envelopes cover and not cells times polygons.
+    A polygon costs its edges' crossings with lines of cell centres and the cells inside, whatever its shape: see :func:`scan_lines`.  On rotated grids it meets
+    the cells of the bins its envelope touches, through an equi-join on the bin, and each point is tested.
     """
+    if grid.transform[1] or grid.transform[3]:
+        return _mask_by_bins(features, grid, geometry, bin_cells, carry)
+    keep = [F.col(carry).alias("_carried")] if carry else []
+    polys = features.where(P.is_usable(F.col(geometry))).select(*keep, F.explode(F.col(geometry)["polys"]).alias("_rings"))
+    spans = polys.select(*["_carried"] * bool(carry), F.explode(scan_lines(F.col("_rings"), grid)).alias("_s"))
+    near = lambda x: F.floor(G.to_colrow(grid, x, F.lit(0.0))[0])
+    ends = [near(F.col("_s")[k]) for k in ("a", "b")]
+    lo, hi = F.greatest(F.least(*ends) - 1, F.lit(0)).cast("int"), F.least(F.greatest(*ends) + 1, F.lit(grid.width - 1)).cast("int")
+    held = spans.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select("*", F.explode(F.sequence("_lo", "_hi")).alias("col"))
+    x, _ = G.centres(grid, F.col("col"), F.col("_s.row"))
+    held = held.where((x >= F.col("_s.a")) & (x < F.col("_s.b"))).select(F.col("_s.row").alias("row"), "col", *["_carried"] * bool(carry))
+    if carry:
+        return held.groupBy("row", "col").agg(F.max("_carried").alias(carry))
+    return held.distinct()
+
+
+def scan_lines(rings: Column, grid: GridSpec) -> Column:
+    """``array<struct<row,a,b>>``: where a polygon's inside begins and ends on the line of centres of each row, by the even-odd rule.
+
+    An edge gives its crossings with those lines; in order of row and place they form pairs, as each line crosses closed rings an even number of times.
+    A vertex on a line counts with its lower edge.
+    """
+    height = lambda r: G.centres(grid, F.lit(0), r)[1]
+    place = lambda y: G.to_colrow(grid, F.lit(0.0), y)[1]
+
+    def crossed(e: Column) -> Column:
+        p, q = e["a"], e["b"]
+        v = [place(p["y"]), place(q["y"])]
+        lo, hi = F.greatest(F.floor(F.least(*v)) - 1, F.lit(0)), F.least(F.ceil(F.greatest(*v)) + 1, F.lit(grid.height - 1))
+        rows = F.when((lo <= hi) & (p["y"] != q["y"]), F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
+        rows = F.filter(rows, lambda r: (p["y"] > height(r)) != (q["y"] > height(r)))
+        return F.transform(rows, lambda r: F.struct(r.alias("row"), (p["x"] + F.try_divide((height(r) - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])).alias("x")))
+
+    at = F.sort_array(F.flatten(F.transform(F.flatten(F.transform(rings, P.edges)), crossed)))
+    # The crossings are bound, so that pairing them does not compute them again.
+    pairs = lambda c: F.filter(F.transform(c, lambda s, i: F.when(i % 2 == 0, F.struct(s["row"].alias("row"), s["x"].alias("a"), F.get(c, i + 1)["x"].alias("b")))), lambda s: s.isNotNull())
+    return F.get(F.transform(F.array(at), pairs), F.lit(0))
+
+
+def _mask_by_bins(features: DataFrame, grid: GridSpec, geometry: str, bin_cells: int, carry: str | None) -> DataFrame:
     spark = features.sparkSession
     f = features.where(P.is_usable(F.col(geometry))).select(*([F.col(carry).alias("_carried")] if carry else []), F.explode(F.col(geometry)["polys"]).alias("rings")).withColumn("b", P.bounds(F.array("rings")))
     corners = [G.to_colrow(grid, F.col("b")[x], F.col("b")[y]) for x in ("xmin", "xmax") for y in ("ymin", "ymax")]

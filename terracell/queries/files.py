@@ -12,7 +12,7 @@ from ..functions import geometry as P
 from ..plans import align, curate, guards, indicator_map
 from ..plans import manifest as M
 from ..sources import catalog as C
-from ..sources import geotiff, netcdf3, shapefile, sinks
+from ..sources import blocks, geotiff, netcdf3, shapefile, sinks
 from .base import query, r6, table
 from .grids import _cells, _grid, WIDTH
 
@@ -46,6 +46,15 @@ def geotiff_window(spark, sf_dir):
     return geotiff.read_cells(spark, _tiff(spark, sf_dir), window=(2, 301, 3, 20), band=2).where("value is not null").select("band", "row", "col", "value")
 
 
+@query(f"SELECT 'parts.tif' AS file, CAST(band AS INTEGER) AS band, count(*) AS cells, count(v) AS held, round(sum(v), 2) AS total FROM (SELECT p_partkey, unnest([1, 2]) AS band, CASE WHEN {_HELD} THEN unnest([CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE), CAST(p_size AS DOUBLE)]) END AS v FROM part WHERE p_partkey // {WIDTH} >= 1) GROUP BY ALL")
+def geotiff_blocks(spark, sf_dir):
+    """A file of both bands read block by block through the data source, from its second row on."""
+    h = _grid(spark, sf_dir).height
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    cells = blocks.read_blocks(spark, _tiff(spark, sf_dir), window=(1, h, 0, WIDTH), partition_cells=1 << 16).where(F.col("row") * WIDTH + F.col("col") <= last)
+    return cells.groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "band").agg(F.count("*").alias("cells"), F.count("value").alias("held"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query(f"SELECT 'LOCAL' AS crs, {WIDTH} AS width, CAST((max(p_partkey) + {WIDTH}) // {WIDTH} AS INTEGER) AS height, 2 AS bands, -9999.0::DOUBLE AS nodata, 'float32' AS dtype, '1 x 1' AS resolution, false AS again FROM part")
 def geotiff_catalog(spark, sf_dir):
     """The catalog row of a written file, its resolution label; a second write without overwrite does nothing."""

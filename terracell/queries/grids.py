@@ -60,6 +60,10 @@ query(_overlap_sql(2.5, "SELECT row, col, round(min(v), 4) AS value FROM o"), "r
 query(_overlap_sql(2.0, "SELECT row, col, round(quantile_cont(v, 0.5), 4) AS value FROM o"), "regrid_median")(_regridded("med", 2.0))
 query(_overlap_sql(2.0, "SELECT row, col, round(quantile_cont(v, 0.25), 4) AS value FROM o"), "regrid_q1")(_regridded("q1", 2.0))
 query(_overlap_sql(2.0, "SELECT row, col, round(quantile_cont(v, 0.75), 4) AS value FROM o"), "regrid_q3")(_regridded("q3", 2.0))
+for _how, _q in (("med", 0.5), ("q1", 0.25), ("q3", 0.75)):
+    query(_overlap_sql(8.0, f"SELECT row, col, round(quantile_disc(v, {_q}), 4) AS value FROM o"), f"sketched_{_how}")(
+        lambda spark, sf_dir, how=_how: R.regrid(_cells(spark, sf_dir), _grid(spark, sf_dir), _coarse(_grid(spark, sf_dir), 8.0), how, accuracy=10_000).select("row", "col", r6("value", 4).alias("value"))
+    )
 query(
     _overlap_sql(2.5, ", n AS (SELECT row, col, v, round(sum(w), 9) AS n FROM o GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, v) AS i FROM n) SELECT row, col, round(v, 4) AS value FROM k WHERE i = 1", "p_size % 5", ""),
     "regrid_mode",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,26 @@ def decode(blob: bytes, window: Window | None = None, band: int | None = None) -
     return part, GridSpec(_crs(tags), _transform(tags), w, h), nodata
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Sizes of a file and of its blocks; ``separate``: each block has one band."""
+
+    width: int
+    height: int
+    bands: int
+    block_width: int
+    block_height: int
+    separate: bool
+
+
+def layout(blob: bytes) -> Layout:
+    """From the tags alone."""
+    _, tags = _header(blob)
+    w, h, n = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
+    block = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if TILE_OFFSETS in tags else (w, min(h, tags.get(ROWS_PER_STRIP, (h,))[0]))
+    return Layout(w, h, n, *block, n == 1 or tags.get(PLANAR, (1,))[0] == 2)
+
+
 def _samples(raw: bytes, dtype: np.dtype, width: int, per: int, predictor: int) -> np.ndarray:
     """(rows, width, samples) of an unpacked block."""
     size = width * per * dtype.itemsize
@@ -118,23 +139,24 @@ def _unpack_lzw(raw: bytes) -> bytes:
 
 
 def _header(blob: bytes) -> tuple[str, dict[int, tuple]]:
-    """(byte order, tags) of a classic or big file."""
-    order = {b"II": "<", b"MM": ">"}.get(blob[:2])
-    kind = struct.unpack_from(order + "H", blob, 2)[0] if order and len(blob) >= 16 else 0
+    """(byte order, tags) of a classic or big file; ``blob`` is only sliced, so it may read slices when they are asked for."""
+    order = {b"II": "<", b"MM": ">"}.get(bytes(blob[:2]))
+    at_place = lambda kind, at: struct.unpack(kind, blob[at : at + struct.calcsize(kind)])
+    kind = at_place(order + "H", 2)[0] if order and len(blob) >= 16 else 0
     if kind not in (42, 43):
         raise ValueError("not a TIFF file")
     word, number, inline = ("Q", "Q", 8) if kind == 43 else ("I", "H", 4)
-    at = struct.unpack_from(order + word, blob, 8 if kind == 43 else 4)[0]
+    at = at_place(order + word, 8 if kind == 43 else 4)[0]
     out, step = {}, 4 + 2 * inline
     first = at + struct.calcsize("<" + number)
-    for i in range(struct.unpack_from(order + number, blob, at)[0]):
-        tag, t, n = struct.unpack_from(order + "HH" + word, blob, first + step * i)
+    for i in range(at_place(order + number, at)[0]):
+        tag, t, n = at_place(order + "HH" + word, first + step * i)
         if t not in _TYPES:
             continue
         where = first + step * i + 4 + inline
         if struct.calcsize("<" + _TYPES[t]) * n > inline:
-            where = struct.unpack_from(order + word, blob, where)[0]
-        out[tag] = (blob[where : where + n],) if t == 2 else struct.unpack_from(order + _TYPES[t] * n, blob, where)
+            where = at_place(order + word, where)[0]
+        out[tag] = (blob[where : where + n],) if t == 2 else at_place(order + _TYPES[t] * n, where)
     return order, out
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,38 @@ def test_mask_is_idempotent(spark):
     assert kept.count() == 25 and kept.where("value is null").count() == 21
 
 
+@pytest.mark.parametrize("up", [True, False])
+def test_scan_lines_agree_with_point_tests(spark, up):
+    import random
+
+    rng = random.Random(3)
+    ring = lambda n: [(x, y) for x, y in [(rng.choice([rng.uniform(-3, 15), rng.randrange(-2, 14) + 0.5]), rng.choice([rng.uniform(-3, 15), rng.randrange(-2, 14) + 0.5])) for _ in range(n)]]
+    closed = lambda r: [*r, r[0]]
+    rows = [("a", poly(closed(ring(n)), closed(ring(4)))) for n in (3, 4, 7, 30)] + [("b", poly(closed(ring(5)))), ("b", poly(closed(ring(5)))), ("c", None), ("d", poly(BOX(1.5, 1.5, 3)))]
+    f = spark.createDataFrame(rows, SHAPES)
+    g = GridSpec.square("LOCAL", 0.0, 12.0 if up else 0.0, 1.0, 12, 12, up=up)
+    for carry in (None, "k"):
+        fast, slow = vector.mask_cells(f, g, carry=carry), vector._mask_by_bins(f, g, "geometry", 4, carry)
+        assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) and fast.count() > 20
+    turned = GridSpec("LOCAL", (0.7, 0.7, -2.0, 0.7, -0.7, 6.0), 9, 9)
+    assert vector.mask_cells(f, turned).count() > 5
+
+
+def test_quantiles_from_sketches(spark):
+    """With an accuracy beyond the number of cells they are the values of the exact ranks; with less, within the bound."""
+    src, dst = square(60, 1.0), square(2, 30.0)
+    c = cells(spark, [[float((r * 60 + k) * 7919 % 3607) for k in range(60)] for r in range(60)])
+    for how, q in (("med", 0.5), ("q1", 0.25), ("q3", 0.75)):
+        exact, loose = as_dict(resample.regrid(c, src, dst, how, accuracy=10_000)), as_dict(resample.regrid(c, src, dst, how, accuracy=20))
+        rows = {}
+        for r in c.collect():
+            rows.setdefault((r["row"] // 30, r["col"] // 30), []).append(r["value"])
+        for at, v in rows.items():
+            v = sorted(v)
+            assert exact[at] == v[math.ceil(q * len(v)) - 1]
+            assert abs(v.index(loose[at]) - q * len(v)) <= len(v) / 20 + 1
+
+
 def test_guards(spark):
     f = spark.createDataFrame([(2010, 1), (2010, 2), (2011, 1)], "year int, month int")
     assert guards.missing_years(f, 2010, 2012).collect()[0]["year"] == 2012

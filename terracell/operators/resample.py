@@ -26,6 +26,12 @@ def method(name: str) -> str:
     return m
 
 
+def method_names(names: Column) -> Column:
+    """The same for a column of names; NULL where :func:`method` raises."""
+    m = F.lower(F.trim(names))
+    return F.when(m.isin(*METHODS), m)
+
+
 #: Parts of a side of a source cell that are straight on a target of another CRS.
 SIDE_STEPS = 1
 #: Shares of area below this are rounding.

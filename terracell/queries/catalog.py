@@ -58,10 +58,11 @@ def coerced_numbers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.to_number(s).alias("v"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, -10.0 + 0.5 * c AS west, 45.0 - 0.5 * (r + 1) AS south FROM range(0, 12) a(r), range(0, 10) b(c)")
+@query("SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, -10.0 + 0.5 * c AS west, 45.0 - 0.5 * (r + 1) AS south FROM (SELECT unnest(range(0, max(p_partkey) // 50 + 1)) AS r FROM part), range(0, 50) b(c)")
 def cell_polygons(spark, sf_dir):
-    """A GeoJSON polygon per cell, by its first corner."""
-    p = G.cell_polygons(spark, GridSpec.square("EPSG:4326", -10.0, 45.0, 0.5, 10, 12))
+    """A GeoJSON polygon per cell of the parts' raster, by its first corner."""
+    h = table(spark, sf_dir, "part").agg(F.floor(F.max("p_partkey") / 50) + 1).first()[0]
+    p = G.cell_polygons(spark, GridSpec.square("EPSG:4326", -10.0, 45.0, 0.5, 50, h), max_cells=50 * h)
     corner = F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"][0][0]
     return p.select("row", "col", corner[0].alias("west"), corner[1].alias("south"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -197,3 +198,28 @@ def audit_steps(spark, sf_dir):
     steps = F.array_join(M.steps_text("below -100", "kg", (1, 2, 12), "delta", "ESRI:54009"), "; ")
     at = (F.col("o_orderdate") + F.expr("INTERVAL 3723 SECONDS")).cast("timestamp")
     return table(spark, sf_dir, "orders").select(M.stamp(at).alias("stamp"), steps.alias("steps")).distinct()
+
+
+@query("SELECT p_brand, count(*) AS parts, false AS there FROM part GROUP BY 1")
+def discarded_table(spark, sf_dir):
+    """A temporary table is gone once it is discarded; discarding it again does nothing."""
+    path = store.new_path(spark, "temporary")
+    table(spark, sf_dir, "part").select("p_brand").write.parquet(path)
+    counted = store.cut(spark.read.parquet(path).groupBy("p_brand").agg(F.count("*").alias("parts")))
+    for _ in range(2):
+        store.discard(spark, path)
+    return counted.withColumn("there", F.lit(store.exists(spark, path)))
+
+
+@query("SELECT 'SUCCEEDED' AS state, count(*) AS parts FROM part")
+def job_states(spark, sf_dir):
+    """M5: the states of an export's jobs, polled until none is running."""
+    sc, group = spark.sparkContext, f"export-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, "export")
+    try:
+        path = store.new_path(spark, "export")
+        table(spark, sf_dir, "part").select("p_partkey").write.parquet(path)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    states = sorted(set(sinks.poll(spark, group).values()))
+    return spark.read.parquet(path).agg(F.count("*").alias("parts")).select(F.lit(", ".join(states)).alias("state"), "parts")

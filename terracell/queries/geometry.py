@@ -80,6 +80,19 @@ def choropleth_classes(spark, sf_dir):
     return picture.classes(r, "w", GridSpec("LOCAL", (2.5, 0.0, 0.0, 0.0, 2.5, 0.0), *[max(1, math.ceil((v or 0) / 2.5)) for v in (b["xmax"], b["ymax"])]))
 
 
+@query(f"""WITH {_RECT}, b AS (SELECT layer, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + 2 * w) AS y1, sum(2 * w * w) AS area FROM r GROUP BY 1),
+k AS (SELECT *, CASE WHEN layer <> 0 THEN (row_number() OVER (PARTITION BY layer = 0 ORDER BY area DESC, layer) - 1) % 4 END AS slot FROM b), n AS (SELECT max(slot) + 1 AS n FROM k),
+h AS (SELECT *, (0.82 - (n - 1) * 0.02) / n AS h FROM k, n),
+s AS (SELECT layer, slot, 2000 * CASE WHEN slot IS NULL THEN 0.33 ELSE 0.05 END AS px, 2000 * CASE WHEN slot IS NULL THEN 0.05 ELSE 0.08 + slot * (h + 0.02) END AS py, 2000 * CASE WHEN slot IS NULL THEN 0.64 ELSE 0.25 END AS pw,
+  2000 * CASE WHEN slot IS NULL THEN 0.9 ELSE h END AS ph, x0 - m * (x1 - x0) AS x0, x1 + m * (x1 - x0) AS x1, y0 - m * (y1 - y0) AS y0, y1 + m * (y1 - y0) AS y1 FROM (SELECT *, CASE WHEN slot IS NULL THEN 0 ELSE 0.05 END AS m FROM h)),
+g AS (SELECT *, greatest((x1 - x0) / pw, (y1 - y0) / ph) AS scale FROM s)
+SELECT layer, CAST(slot AS INTEGER) AS slot, round(px, 6) AS px, round(py, 6) AS py, round(scale, 9) AS scale, round((x0 + x1) / 2 - (px + pw / 2) * scale, 6) + 0.0 AS "left", round((y0 + y1) / 2 + (py + ph / 2) * scale, 6) + 0.0 AS top FROM g""")
+def inset_frames(spark, sf_dir):
+    """M6, O3: places and scales of a mainland and of its islands, ranked by area, in one picture."""
+    f = picture.inset_frames(_rectangles(spark, sf_dir), 0)
+    return f.select("layer", "slot", r6("x").alias("px"), r6("y").alias("py"), r6("scale", 9).alias("scale"), r6("left").alias("left"), r6("top").alias("top"))
+
+
 @query(f"WITH {_RECT} SELECT layer, count(*) AS parts, sum(w * 2 * w) AS area, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS type FROM r GROUP BY 1")
 def dissolve(spark, sf_dir):
     """Disjoint parts of a key as one multipolygon."""

@@ -162,13 +162,22 @@ def affine_round_trip(spark, sf_dir):
     return q.select("id", r6("x").alias("x"), r6("y").alias("y"), r6(col).alias("col"), r6(row).alias("row"))
 
 
-@query("""SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, 100.0 + 10 * c AS xmin, 200.0 - 10 * (r + 1) AS ymin, 100.0 + 10 * (c + 1) AS xmax, 200.0 - 10 * r AS ymax FROM range(0, 7) a(r), range(0, 9) b(c)""")
+@query("""SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, 100.0 + 10 * c AS xmin, 200.0 - 10 * (r + 1) AS ymin, 100.0 + 10 * (c + 1) AS xmax, 200.0 - 10 * r AS ymax
+FROM (SELECT unnest(range(0, max(p_partkey) // 50 + 1)) AS r FROM part), range(0, 50) b(c)""")
 def cell_boxes(spark, sf_dir):
-    """Boxes of all cells of a grid."""
-    g = GridSpec.square("LOCAL", 100.0, 200.0, 10.0, 9, 7)
+    """Boxes of all cells of the parts' raster."""
+    g = GridSpec.square("LOCAL", 100.0, 200.0, 10.0, WIDTH, _grid(spark, sf_dir).height)
     return G.with_boxes(G.cells(spark, g), g)
 
 
+@query("""WITH m AS (SELECT p_partkey, ['nearest', ' Bilinear', 'CUBIC ', 'average', 'Mode', 'max', 'min', 'med', 'Q1', ' q3 ', 'lanczos', '', NULL][p_partkey % 13 + 1] AS name FROM part)
+SELECT p_partkey, CASE WHEN lower(trim(name)) IN ('nearest', 'bilinear', 'cubic', 'average', 'mode', 'max', 'min', 'med', 'q1', 'q3') THEN lower(trim(name)) END AS method FROM m""")
+def resampling_names(spark, sf_dir):
+    """Names of methods in any case, with blanks; unknown ones are NULL."""
+    names = F.array(*[F.lit(n) for n in ("nearest", " Bilinear", "CUBIC ", "average", "Mode", "max", "min", "med", "Q1", " q3 ", "lanczos", "", None)])
+    return table(spark, sf_dir, "part").select("p_partkey", R.method_names(F.get(names, (F.col("p_partkey") % 13).cast("int"))).alias("method"))
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, (p_partkey % 200 - 100) * 180000.0 AS x, (p_partkey // 200 % 100 - 50) * 180000.0 AS y FROM part),
 s AS (SELECT *, y / (6378137.0 * sqrt(2.0)) AS s FROM p), t AS (SELECT *, CASE WHEN abs(s) <= 1 THEN asin(CASE WHEN abs(s) <= 1 THEN s END) END AS th FROM s),
 l AS (SELECT id, degrees(pi() * x / (2 * sqrt(2.0) * 6378137.0 * cos(th))) AS lon, degrees(asin((2 * th + sin(2 * th)) / pi())) AS lat FROM t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import store
@@ -29,14 +31,21 @@ def exported_grid(spark: SparkSession, path: str) -> GridSpec:
     return GridSpec.of(spark.read.parquet(f"{path}/_grid").first().asDict())
 
 
-def jobs(spark: SparkSession, tag: str) -> dict[int, str]:
-    """State of each job that Spark still remembers under a tag (``spark.addTag``): RUNNING, SUCCEEDED, FAILED or UNKNOWN."""
-    tracker = spark.sparkContext._jsc.sc().statusStore()
-    out = {}
-    for job in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.jobsList(None)):
-        if any(t.endswith(tag) for t in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(job.jobTags())):
-            out[job.jobId()] = job.status().toString()
-    return out
+def jobs(spark: SparkSession, group: str) -> dict[int, str]:
+    """State of each job that Spark still remembers under a job group (``SparkContext.setJobGroup``): RUNNING, SUCCEEDED, FAILED or UNKNOWN."""
+    tracker = spark.sparkContext.statusTracker()
+    known = {i: tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup(group)}
+    return {i: info.status for i, info in sorted(known.items()) if info is not None}
+
+
+def poll(spark: SparkSession, group: str, seconds: float = 60.0, every: float = 0.2) -> dict[int, str]:
+    """States once no job of the group is running, or after ``seconds``."""
+    end = time.monotonic() + seconds
+    while not (states := jobs(spark, group)) or "RUNNING" in states.values():
+        if time.monotonic() > end:
+            break
+        time.sleep(every)
+    return states
 
 
 def export_with_overviews(df: DataFrame, grid: GridSpec, path: str, how: str = "mean", levels: int | None = None, overwrite: bool = False) -> int:

@@ -50,6 +50,27 @@ def test_choropleth(spark, tmp_path):
         picture.frame(f.limit(0))
 
 
+def test_mainland_with_insets(spark, tmp_path):
+    boxes = [("main", 0.0, 0.0, 80.0, 100.0, 1.0), ("big", 500.0, 0.0, 30.0, 20.0, 2.0), ("small", 900.0, 900.0, 3.0, 3.0, 3.0), ("none", 0.0, 0.0, 1.0, 1.0, None)]
+    d = spark.createDataFrame(boxes, "layer string, x double, y double, w double, h double, v double")
+    shape = F.struct(F.lit("Polygon").alias("type"), P.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("polys"))
+    f = d.select("layer", "v", shape.alias("geometry"))
+    path = str(tmp_path / "insets.png")
+    assert picture.draw_with_insets(f, "v", path, "main", side=200) and not picture.draw_with_insets(f, "v", path, "main", side=200)
+    p = pixels(open(path, "rb").read())
+    assert p.shape == (200, 200, 3)
+    frames = {r["layer"]: r for r in picture.inset_frames(f, "main", side=200).collect()}
+    assert [frames[k]["slot"] for k in ("main", "big", "small", "none")] == [None, 0, 1, 2]
+    for layer, x, y, w, h, v in boxes:
+        r = frames[layer]
+        corners = [((px - r["left"]) / r["scale"], (r["top"] - py) / r["scale"]) for px, py in ((x, y + h), (x + w, y))]
+        # Inside its slot, in the middle of it, as large as it allows.
+        assert r["x"] - 1e-6 <= corners[0][0] < corners[1][0] <= r["x"] + r["width"] + 1e-6 and r["y"] - 1e-6 <= corners[0][1] < corners[1][1] <= r["y"] + r["height"] + 1e-6
+        col, row = round(sum(c[0] for c in corners) / 2), round(sum(c[1] for c in corners) / 2)
+        assert tuple(p[row, col]) != picture.BACKGROUND and (tuple(p[row, col]) == picture.MISSING) == (v is None)
+    assert tuple(p[round(frames["big"]["y"]), round(frames["big"]["x"]) + 5]) == picture.BORDER and tuple(p[2, 2]) == picture.BACKGROUND
+
+
 def meridian(lat):
     """Metres from the equator along a meridian, by summing small steps."""
     e2, n = TM.FLAT * (2 - TM.FLAT), 200_000
@@ -83,8 +104,10 @@ def test_warp_from_utm(spark):
     got, grid = W.to_mollweide(cells, src, 2000.0)
     values = {r["value"] for r in got.where("value is not null").select("value").distinct().collect()}
     assert grid.crs == "ESRI:54009" and values == {float(i) for i in range(48)}
-    with pytest.raises(ValueError, match="3035"):
-        W.to_mollweide(cells, GridSpec.square("EPSG:3035", 0.0, 0.0, 1.0, 2, 2), 1.0)
+    with pytest.raises(ValueError, match="2056"):
+        W.to_mollweide(cells, GridSpec.square("EPSG:2056", 0.0, 0.0, 1.0, 2, 2), 1.0)
+    laea, _ = W.to_mollweide(cells, GridSpec.square("EPSG:3035", 2_700_000.0, 2_000_000.0, 10_000.0, 8, 6), 2000.0)
+    assert laea.select("value").distinct().count() == 48
 
 
 def test_features_from_tm06(spark):

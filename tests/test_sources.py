@@ -118,6 +118,26 @@ def test_streamed_state(spark, tmp_path):
     assert got == {"a": (9.0, 3), "b": (0.0, 0)}
 
 
+def test_running_changes(spark, tmp_path):
+    """State lives in Spark: the second batch only writes the key that it changed."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    add = lambda *rows: spark.createDataFrame(rows, "k string, v double").coalesce(1).write.mode("append").parquet(str(src))
+    add(("a", 1.0), ("a", 3.0), ("b", None), ("c", float("nan")), (None, 2.0))
+
+    def run():
+        q = streaming.keep_running_changes(spark.readStream.schema("k string, v double").parquet(str(src)), ["k"], "v", str(out), str(tmp_path / "cp"))
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    add(("a", 5.0))
+    run()
+    changes = spark.read.parquet(str(out))
+    assert sorted((r["batch"], r["k"] or "") for r in changes.collect()) == [(0, ""), (0, "a"), (0, "b"), (0, "c"), (1, "a")]
+    got = {r["k"]: (r["total"], r["n"], r["average"]) for r in streaming.latest(changes, ["k"]).collect()}
+    assert got == {"a": (9.0, 3, 3.0), "b": (0.0, 0, None), "c": (0.0, 0, None), None: (2.0, 1, 2.0)}
+
+
 def test_exports(spark, tmp_path):
     from terracell.sources import sinks
 
@@ -226,11 +246,13 @@ def test_crs_of_prj(spark):
     assert [r["got"] for r in df.select(shapefile.crs_of_prj(F.col("wkt")).alias("got")).collect()] == [c for _, c in rows]
 
 
-def test_jobs_by_tag(spark):
+def test_jobs_by_group(spark):
     from terracell.sources import sinks
 
-    spark.addTag("export-7")
+    sc = spark.sparkContext
+    sc.setJobGroup("export-7", "seventh")
     spark.range(10).count()
-    spark.removeTag("export-7")
-    found = sinks.jobs(spark, "export-7")
-    assert found and set(found.values()) <= {"SUCCEEDED", "RUNNING"} and sinks.jobs(spark, "other") == {}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    found = sinks.poll(spark, "export-7")
+    assert found and set(found.values()) == {"SUCCEEDED"} and sinks.jobs(spark, "other") == {} and sinks.poll(spark, "other", 0.1) == {}
+

@@ -1,6 +1,6 @@
 """Arrangements of polygon edges on a whole-number grid: cutting edges where they meet, winding numbers, rings from edges.
 
-Edges are four arrays of longs ``ax, ay, bx, by``.  Coordinates stay below 2**30, so every sign of a cross product is exact.
+Edges are four arrays of longs ``ax, ay, bx, by``.  Coordinates are not negative and stay below 2**30, so every sign of a cross product is exact.
 Edges are cut at hot pixels, the grid points next to a vertex or crossing, which leaves edges that meet at their ends only.
 These helpers work on the edges of one strip of rows; :mod:`terracell.operators.overlay` deals the strips to tasks.
 """
@@ -47,11 +47,14 @@ def cuts(edges: Edges, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.
     ax, ay, bx, by = edges
     n = len(ax)
     x0, x1, y0, y1 = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
-    crossed: list[np.ndarray] = []
+    crossed: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    level, upright = ay == by, ax == bx
     for s in range(0, n, BLOCK):
         e = slice(s, s + BLOCK)
         meet = (x0[e, None] <= x1) & (x0 <= x1[e, None]) & (y0[e, None] <= y1) & (y0 <= y1[e, None])
-        i, j = np.nonzero(meet & (np.arange(n) > np.arange(s, min(n, s + BLOCK))[:, None]))
+        # Level edges do not cross one another, nor do upright ones.
+        meet &= ~(level[e, None] & level) & ~(upright[e, None] & upright) & (np.arange(n) > np.arange(s, min(n, s + BLOCK))[:, None])
+        i, j = np.nonzero(meet)
         i += s
         side = lambda p, q, x, y: (bx[p] - ax[p]) * (y - ay[p]) - (by[p] - ay[p]) * (x - ax[p])
         c, d, f, g = side(i, j, ax[j], ay[j]), side(i, j, bx[j], by[j]), side(j, i, ax[i], ay[i]), side(j, i, bx[i], by[i])
@@ -61,26 +64,59 @@ def cuts(edges: Edges, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.
         x = np.rint(ax[j] + t * (bx[j] - ax[j])).astype(np.int64)
         y = np.rint(ay[j] + t * (by[j] - ay[j])).astype(np.int64)
         mine = (y >= low) & (y < high)
-        crossed.append(np.stack([np.concatenate([i[mine], j[mine]]), np.tile(x[mine], 2), np.tile(y[mine], 2)]))
-    hit = np.concatenate([np.zeros((3, 0), np.int64), *crossed], axis=1)
-    ends = np.stack([np.concatenate([ax, bx]), np.concatenate([ay, by])])
-    hot = np.unique(np.concatenate([ends[:, (ends[1] >= low) & (ends[1] < high)], hit[1:]], axis=1), axis=1)
+        crossed.append(np.stack([np.concatenate([i[mine], j[mine]]), np.tile(_packed(x[mine], y[mine]), 2)]))
+    hit = np.concatenate(crossed, axis=1)
+    ends = _packed(np.concatenate([ax, bx]), np.concatenate([ay, by]))
+    hot = np.unique(np.concatenate([ends[((y := np.concatenate([ay, by])) >= low) & (y < high)], hit[1]]))
+    hx, hy = hot >> 31, hot & ((1 << 31) - 1)
     reach = np.abs(bx - ax) + np.abs(by - ay)
-    found = [hit]
-    for s in range(0, hot.shape[1], BLOCK):
-        x, y = hot[0, s : s + BLOCK, None], hot[1, s : s + BLOCK, None]
+    found = [hit[0] * len(hot) + np.searchsorted(hot, hit[1])]
+    for s in range(0, len(hot), BLOCK):
+        x, y = hx[s : s + BLOCK, None], hy[s : s + BLOCK, None]
         near = (x >= x0 - 1) & (x <= x1 + 1) & (y >= y0 - 1) & (y <= y1 + 1)
         p, i = np.nonzero(near)
         p += s
-        off = (bx[i] - ax[i]) * (hot[1, p] - ay[i]) - (by[i] - ay[i]) * (hot[0, p] - ax[i])
+        off = (bx[i] - ax[i]) * (hy[p] - ay[i]) - (by[i] - ay[i]) * (hx[p] - ax[i])
         # The square of one unit around the point touches the edge: two of its corners are on different sides, and it is between the ends.
         dx, dy = bx[i] - ax[i], by[i] - ay[i]
-        along = dx * (2 * hot[0, p] - ax[i] - bx[i]) + dy * (2 * hot[1, p] - ay[i] - by[i])
-        end = ((hot[0, p] == ax[i]) & (hot[1, p] == ay[i])) | ((hot[0, p] == bx[i]) & (hot[1, p] == by[i]))
+        along = dx * (2 * hx[p] - ax[i] - bx[i]) + dy * (2 * hy[p] - ay[i] - by[i])
+        end = ((hx[p] == ax[i]) & (hy[p] == ay[i])) | ((hx[p] == bx[i]) & (hy[p] == by[i]))
         on = end | ((2 * np.abs(off) <= reach[i]) & (np.abs(along) < dx * dx + dy * dy))
-        found.append(np.stack([i[on], hot[0, p[on]], hot[1, p[on]]]))
-    out = np.unique(np.concatenate(found, axis=1), axis=1)
-    return out[0], out[1], out[2]
+        found.append(i[on] * len(hot) + p[on])
+    out = np.unique(np.concatenate(found))
+    edge, at = np.divmod(out, max(1, len(hot)))
+    return edge, hx[at], hy[at]
+
+
+def _packed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Both coordinates, which are not negative, as one number."""
+    return x << 31 | y
+
+
+def simple(ring: np.ndarray) -> int:
+    """1 or -1, by the ring's turn, for a ring of up to ``BLOCK`` points that meets itself nowhere; 0 if it may do so, has no area or is longer."""
+    x, y = ring
+    keep = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    x, y = x[keep], y[keep]
+    if x[0] == x[-1] and y[0] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    n = len(x)
+    if not 3 <= n <= BLOCK:
+        return 0
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    dx, dy = nx - x, ny - y
+    # On which side of each edge each point is; the next point along.
+    side = np.sign(dx[:, None] * (y - y[:, None]) - dy[:, None] * (x - x[:, None]))
+    apart = side * np.roll(side, -1, axis=1) > 0
+    i = np.arange(n)
+    gap = (i[None, :] - i[:, None]) % n
+    far = (gap > 1) & (gap < n - 1)
+    box = (np.minimum(x, nx)[:, None] > np.maximum(x, nx)) | (np.minimum(y, ny)[:, None] > np.maximum(y, ny))
+    clear = apart | apart.T | box | box.T
+    back = (side[i, (i + 2) % n] == 0) & (dx * np.roll(dx, -1) + dy * np.roll(dy, -1) < 0)
+    if not clear[far].all() or back.any():
+        return 0
+    return int(np.sign(((x - x[0]) * (ny - y[0]) - (nx - x[0]) * (y - y[0])).astype(float).sum()))
 
 
 def pieces(edges: Edges, edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, Edges]:
@@ -163,9 +199,8 @@ def rings(edges: Edges) -> list[np.ndarray]:
 
     Where several edges leave a point the one next to the inside is taken, so that parts that only touch become shells of their own.
     """
-    ends = np.stack([np.concatenate([edges[0], edges[2]]), np.concatenate([edges[1], edges[3]])])
-    points, number = np.unique(ends, axis=1, return_inverse=True)
-    number = number.ravel()
+    packed, number = np.unique(_packed(np.concatenate([edges[0], edges[2]]), np.concatenate([edges[1], edges[3]])), return_inverse=True)
+    points = np.stack([packed >> 31, packed & ((1 << 31) - 1)])
     n = len(edges[0])
     source, target = number[:n].tolist(), number[n:].tolist()
     leaving: dict[int, list[int]] = {}

@@ -45,6 +45,11 @@ def resolve(polys: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     step = A.unit(low[0], low[1], high[0], high[1])
     base = np.floor(low / step)[:, None]
     whole = lambda r: (np.rint(r / step) - base).astype(np.int64)
+    if len(polys) == 1 and len(polys[0]) == 1 and (turned := A.simple(whole(polys[0][0]))):
+        r = polys[0][0]
+        r = r if (r[:, 0] == r[:, -1]).all() else np.concatenate([r, r[:, :1]], axis=1)
+        r = r[:, np.concatenate(([True], (r[:, 1:] != r[:, :-1]).any(axis=0)))]
+        return [[r if turned > 0 else r[:, ::-1]]]
     borders = []
     for p in polys:
         parts = [(i[0, :-1], i[1, :-1], i[0, 1:], i[1, 1:]) for i in (whole(np.concatenate([r, r[:, :1]], axis=1)) for r in p)]

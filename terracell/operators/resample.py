@@ -32,8 +32,6 @@ def method_names(names: Column) -> Column:
     return F.when(m.isin(*METHODS), m)
 
 
-#: Parts of a side of a source cell that are straight on a target of another CRS.
-SIDE_STEPS = 1
 #: Shares of area below this are rounding.
 LEAST_AREA = 1e-9
 
@@ -42,14 +40,14 @@ def _straight(src: GridSpec, dst: GridSpec) -> bool:
     return src.crs == dst.crs and not any(g.transform[k] for g in (src, dst) for k in (1, 3))
 
 
-def warped_overlaps(cells: DataFrame, src: GridSpec, dst: GridSpec, keys: list[str], steps: int = SIDE_STEPS) -> DataFrame:
+def warped_overlaps(cells: DataFrame, src: GridSpec, dst: GridSpec, keys: list[str]) -> DataFrame:
     """``keys, row, col, value, w, area`` for grids of any CRS and rotation, without a join.
 
-    The outline of a source cell, with ``steps`` straight parts for each side, goes through the projections to columns and rows of the target.  ``area`` is what it
+    The corners of a source cell go through the projections to columns and rows of the target, and its sides are straight there.  ``area`` is what it
     covers of a target cell, in cells, and ``w`` that area over the area of the whole outline; so what a source cell has is dealt out completely, except
     to where the target has no cells.  Source cells with a corner outside the target's projection have no row.
     """
-    outline = [(i / steps, 0.0) for i in range(steps)] + [(1.0, i / steps) for i in range(steps)] + [(1.0 - i / steps, 1.0) for i in range(steps)] + [(0.0, 1.0 - i / steps) for i in range(steps)]
+    outline = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     n = len(outline)
     corner = lambda i: [c.cast("double").alias(f"_{k}{i}") for k, c in zip("xy", G.to_xy(src, F.col("col") + F.lit(outline[i][0]), F.col("row") + F.lit(outline[i][1])))]
     pairs = [(f"_x{i}", f"_y{i}") for i in range(n)]

@@ -2,16 +2,22 @@
 
 Every document of a source starts with the same expected number of copies, the ratio of
 the source's target to its size.  The whole part is taken as it is; the fractional part is
-mass, measured in words, that is settled by duels: two documents meet, mass moves from
-one to the other at random (so that expectations hold) until one of them is empty or
-full, and the other goes on.  A group of documents is settled in one fold and leaves at
-most one unsettled document; the survivors of 64 groups form a group of the next level.
-The tree ends with one survivor per source, which is rounded at random, so the words
-taken from a source differ from its target by less than one document.
+mass, measured in words, that is settled by duels: a document meets the pool of all smaller
+ones of its group, and mass moves from one to the other at random (so that expectations
+hold) until the document is empty or full; the pool shares its gain or loss in
+proportion, so its documents stay within their sizes.  Duels go from the largest
+document to the smallest, so a small one is left unsettled: the smallest, or the one at
+which the pool ran empty or full.  A document larger than all
+smaller ones together, which they cannot settle, is left as it is.  What 64 groups leave
+forms a group of the next level.  The tree ends with one document per source, usually a
+small one, which is rounded at random, so the words taken from a source differ from its
+target by less than one document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +26,7 @@ from ..store import cut
 
 #: Weights by rank of the source, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
-#: Documents in a group of the reduction tree, on average at the leaves and at most above them.
+#: Documents in a group of the reduction tree at the leaves, on average, and groups that meet in one above them.
 FAN_IN = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,38 +68,55 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def _settle(entries: Column, seed: int, level: int) -> Column:
-    """Folds one group: ``(left, done)`` with at most one unsettled entry in ``left``."""
-    empty = entries_type()
-    start = F.struct(F.expr(f"cast(null as {empty})").alias("left"), F.expr(f"cast(array() as array<struct<key:bigint,id:bigint,pick:int>>)").alias("done"))
-
-    def out(x: Column, mass: Column) -> Column:
-        pick = F.when(mass >= x["size"] * 0.5, 1).otherwise(0)
-        return F.array(F.struct(x["key"].alias("key"), x["id"].alias("id"), pick.cast("int").alias("pick")))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    def moved(x: Column, mass: Column) -> Column:
-        return F.struct(x["key"].alias("key"), x["id"].alias("id"), x["size"].alias("size"), mass.alias("mass"))
 
-    def whole(x: Column, mass: Column) -> Column:
-        return (mass <= 1e-6) | (mass >= x["size"] - 1e-6)
+_ENTRY = "struct<size:bigint,key:bigint,id:bigint,mass:double>"
+_DONE = "struct<key:bigint,id:bigint,pick:int>"
 
-    def duel(acc: Column, b: Column) -> Column:
-        a = acc["left"]
-        up = F.least(a["size"] - a["mass"], b["mass"])  # what a can gain
-        down = F.least(a["mass"], b["size"] - b["mass"])  # what a can lose
-        gains = _uniform(F.lit(seed), F.lit(level), a["key"], b["key"]) * (up + down) < down
-        shift = F.when(gains, up).otherwise(-down)
-        am, bm = a["mass"] + shift, b["mass"] - shift
-        a_whole, b_whole = whole(a, am), whole(b, bm)
-        left = F.when(~a_whole, moved(a, am)).when(~b_whole, moved(b, bm))
-        done = F.concat(acc["done"], F.when(a_whole & b_whole, F.concat(out(a, am), out(b, bm))).when(a_whole, out(a, am)).otherwise(out(b, bm)))
-        return F.when(a.isNull(), F.struct(b.alias("left"), acc["done"].alias("done"))).otherwise(F.struct(left.alias("left"), done.alias("done")))
 
-    return F.aggregate(entries, start, duel)
+def _settle(entries: Column, last: Column, seed: int, level: int) -> Column:
+    """Folds one group, in order of falling size: ``(left, done)``.
 
-
-def entries_type() -> str:
-    return "struct<key:bigint,id:bigint,size:bigint,mass:double>"
+    ``left`` has the entry that remains and those larger than all smaller ones together; in the ``last`` group of a source only one.
+    The mass of an entry that has not come yet is ``a * mass + b * size``: each duel moves the whole pool, of ``size`` and ``mass``, by one such step.
+    """
+    total = lambda field: F.aggregate(entries, F.lit(0.0), lambda t, e: t + e[field])
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), total("size").alias("size"), total("mass").alias("mass"),
+                     F.expr(f"cast(array() as array<{_ENTRY}>)").alias("left"), F.expr(f"cast(array() as array<{_DONE}>)").alias("done"))
+    tiny = 1e-6
+
+    def meet(acc: Column, e: Column) -> Column:
+        def pool(x: Column) -> Column:
+            size, mass = acc["size"] - e["size"], F.greatest(acc["mass"] - x["mass"], F.lit(0.0))
+            up, down = F.least(e["size"] - x["mass"], mass), F.least(x["mass"], size - mass)
+            return F.struct(x["mass"].alias("own"), size.alias("size"), mass.alias("mass"), up.alias("up"), down.alias("down"))
+
+        def move(x: Column) -> Column:
+            gains = _uniform(F.lit(seed), F.lit(level), e["key"], e["id"]) * (x["up"] + x["down"]) < x["down"]
+            enough = (x["up"] >= e["size"] - x["own"] - tiny) & (x["down"] >= x["own"] - tiny)
+            still = (x["up"] <= tiny) | (x["down"] <= tiny) | (~last & ~enough & (e["size"] > x["size"]))
+            shift = F.when(still, 0.0).when(gains, x["up"]).otherwise(-x["down"])
+            part = F.when(still, 0.0).when(gains, x["up"] / x["mass"]).otherwise(x["down"] / (x["size"] - x["mass"]))
+            return F.struct((x["own"] + shift).alias("own"), x["size"].alias("size"), (x["mass"] - shift).alias("mass"), part.alias("part"), (shift < 0).alias("fills"))
+
+        def settle(x: Column) -> Column:
+            whole = (x["own"] <= tiny) | (x["own"] >= e["size"] - tiny)
+            out = F.struct(e["key"].alias("key"), e["id"].alias("id"), F.when(x["own"] >= e["size"] * 0.5, 1).otherwise(0).cast("int").alias("pick"))
+            kept = F.struct(e["size"].alias("size"), e["key"].alias("key"), e["id"].alias("id"), x["own"].alias("mass"))
+            keep = 1 - x["part"]
+            return F.struct(
+                (acc["a"] * keep).alias("a"), (acc["b"] * keep + F.when(x["fills"], x["part"]).otherwise(0.0)).alias("b"), x["size"].alias("size"), x["mass"].alias("mass"),
+                F.when(whole, acc["left"]).otherwise(F.concat(acc["left"], F.array(kept))).alias("left"),
+                F.when(whole, F.concat(acc["done"], F.array(out))).otherwise(acc["done"]).alias("done"),
+            )
+
+        own = F.struct((acc["a"] * e["mass"] + acc["b"] * e["size"]).alias("mass"))
+        return _let(_let(_let(own, pool), move), settle)
+
+    return F.aggregate(entries, start, meet)
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0,
@@ -124,16 +147,16 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     leaves = F.greatest(F.ceil(F.col("docs") / FAN_IN), F.lit(1))
     live = entry.select(
         "source", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), leaves).alias("node"), leaves.alias("nodes"),
-        F.struct("key", F.col("doc_id").alias("id"), "size", (F.col("size") * F.col("part")).alias("mass")).alias("e"),
+        F.struct("size", "key", F.col("doc_id").alias("id"), (F.col("size") * F.col("part")).alias("mass")).alias("e"),
     )
     most = targets.agg(F.max("docs")).first()[0] or 0
     picked, level = None, 0
     while True:
-        group = live.groupBy("source", "node", "nodes").agg(F.array_sort(F.collect_list("e")).alias("es"))
-        folded = cut(group.select("source", "node", "nodes", _settle(F.col("es"), seed, level).alias("r")))
+        group = live.groupBy("source", "node", "nodes").agg(F.sort_array(F.collect_list("e"), asc=False).alias("es"))
+        folded = cut(group.select("source", "node", "nodes", _settle(F.col("es"), F.col("nodes") == 1, seed, level).alias("r")))
         done = folded.select(F.explode("r.done").alias("d")).select("d.key", "d.id", "d.pick")
         picked = done if picked is None else picked.unionByName(done)
-        left = folded.where("r.left is not null").select("source", F.floor(F.col("node") / FAN_IN).alias("node"), F.ceil(F.col("nodes") / FAN_IN).alias("nodes"), F.col("r.left").alias("e"))
+        left = folded.select("source", F.floor(F.col("node") / FAN_IN).alias("node"), F.ceil(F.col("nodes") / FAN_IN).alias("nodes"), F.explode("r.left").alias("e"))
         level += 1
         if most <= FAN_IN:
             break

@@ -97,3 +97,37 @@ def test_copies_as_rows(spark):
     for r in out.select("doc_id").collect():
         have[r[0]] += 1
     assert dict(have) == {k: v for k, v in want.items() if v}
+
+
+def misses(got):
+    """By source: words taken beyond or below the target, and the target."""
+    taken, want = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        want[r["source"]] = r["target"]
+    return {s: (abs(taken[s] - want[s]), want[s]) for s in want}
+
+
+def test_a_small_document_is_left(spark):
+    """Sources of one group miss their targets by little on average, though a seventh of the documents has most of the words.
+
+    Long documents may leave a pool empty or full, so single misses can be larger; check() bounds each by one document.
+    """
+    rows = [(i, "w " * (3 + i % 40 * (1 + 20 * (i % 7 == 0))), "en", "abc"[i % 3]) for i in range(150)]
+    parts = []
+    for seed in range(4):
+        got = M.mix_sources(cases.frame(spark, rows, repeat=False), seed=seed).collect()
+        check(rows, got)
+        parts += [miss / want for miss, want in misses(got).values()]
+    assert sum(parts) / len(parts) <= 0.01
+
+
+def test_a_giant_climbs_the_tree(spark, monkeypatch):
+    """A document larger than its group together is settled further up, where there is enough to settle it with."""
+    monkeypatch.setattr(M, "FAN_IN", 8)
+    rows = [(i, "w " * (2000 if i in (5, 77) else 5 + i % 9), "en", "ab"[i % 50 == 0]) for i in range(600)]
+    for seed in range(4):
+        got = M.mix_sources(cases.frame(spark, rows, repeat=False), seed=seed).collect()
+        check(rows, got)
+        assert sum(r["copies"] for r in got if r["doc_id"] in (5, 77)) in (2, 3, 4)
+        assert misses(got)["a"][0] < 100

@@ -100,3 +100,19 @@ def test_sparse_components_are_compared_by_unit(spark, block):
     df = cases.frame(spark, rows, repeat=False)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.ngram_classes(df, block_docs=block, recall=0.9999999).collect()}
     assert got == cases.classes([(i, t) for i, t, *_ in rows])
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_long_texts_are_compared_in_parts(spark, block):
+    """Where the texts of a task hold more n-grams than one task compares, parts of the n-grams give the same links."""
+    rng = random.Random(5)
+    rows = cases.texts()
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(900)}" for _ in range(400)]
+        for k in range(12):
+            words = list(base)
+            for _ in range(k):
+                words[rng.randrange(400)] = f"c{rng.randrange(10**6)}"
+            rows.append((2000 + 100 * family + k, " ".join(words), "en", "a"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.ngram_classes(cases.frame(spark, rows, repeat=False), block_docs=block, block_grams=300, recall=0.9999999).collect()}
+    assert got == cases.classes([(i, t) for i, t, *_ in rows])

@@ -7,6 +7,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import cases
@@ -125,3 +128,29 @@ def test_payloads_read_back(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "wide")).where("doc_id = 0").first()
     assert len(stored["pcm"]) == 4 * (len(stored["media"]) - 58) and stored["pcm_rate"] == 16_000
     assert read_back(spark, cases.empty(spark), tmp_path / "none").collect() == []
+
+
+@given(st.lists(st.integers(-32768, 32767), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_halves_are_lossless(samples):
+    x = np.array(samples, "<i2")
+    even, odd = A.split_pcm(x.tobytes())
+    assert len(even) + len(odd) == 2 * len(x) and A.join_pcm(even, odd) == x.tobytes()
+    assert not any(A.split_pcm(A.resample(x, 2).tobytes())[1])
+
+
+def test_query_resamples_what_it_stores(spark, tmp_path, monkeypatch):
+    cases.frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(A, "new_path", lambda *_: str(tmp_path / "media"))
+    got = {r["doc_id"]: r for r in A.op10_telephony(spark, str(tmp_path)).collect()}
+    stored = spark.read.parquet(str(tmp_path / "media"))
+    assert {r["pcm_rate"] for r in stored.select("pcm_rate").distinct().collect()} == {16_000}
+    row = stored.where("doc_id = 0").first()
+    pcm = A.join_pcm(row["pcm_even"], row["pcm_odd"])
+    assert len(pcm) == 4 * got[0]["payload_bytes"] and got[0]["feature"].endswith(f"pcm16k={zlib.crc32(pcm)}")
+    # What is stored between two samples of the file decides the feature.
+    other = stored.where("doc_id = 0").withColumn("pcm_odd", F.expr("concat(X'01', substring(pcm_odd, 2))"))
+    assert A.describe_media(other).first()["feature"] != got[0]["feature"]
+    rows = [(1, None), (2, b"junk"), (3, A.wav(b"", A.ALAW))]
+    halves = {r["id"]: r for r in A.decode_telephony(spark.createDataFrame(rows, "id int, media binary"), halves=True).collect()}
+    assert halves[1]["pcm_even"] is None and halves[2]["pcm_odd"] is None and halves[2]["error"] and halves[3]["pcm_even"] == halves[3]["pcm_odd"] == b""

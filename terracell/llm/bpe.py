@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_ids import _ODD, _ODD_SPACE, Encoder, public_vocabulary
+from .token_ids import Encoder, public_vocabulary
 from .vectext import chunks, give_back, text_buffers, tidy
 
 #: Pieces of the byte-level pre-tokenizer (fixed values); white space is the Unicode property.
@@ -326,20 +326,16 @@ class Transducer:
 class BpeEncoder(Encoder):
     """Batches of texts: parts between which the pre-tokenizer always cuts pass the transducer once and are remembered, up to a bound."""
 
+    #: The transducer merges all pieces of a text at once.
+    joined = 20_000
+
     def __init__(self, path: str):
         self.merges = MergeList(path)
         self.tokenizer = Transducer(self.merges)
-        self.added = list(self.merges.added)
-        added = [x.encode() for x in self.added]
-        self.whole = re.compile(b"|".join([_ODD_SPACE, *map(re.escape, added)]))
-        self.suspect = np.zeros(256, bool)
-        self.suspect[[*_ODD, *(x[0] for x in added)]] = True
-        newline = self._flat(["\n"])
-        self.newline = newline[0] if len(newline) == 1 else None
-        self._forget()
-
-    def _forget(self) -> None:
-        super()._forget()
+        self._heed(list(self.merges.added))
+
+    def _start(self) -> None:
+        super()._start()
         self.length[0] = 0  # no end of document
 
     def _flat(self, texts: list[str]) -> np.ndarray:

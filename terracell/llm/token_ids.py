@@ -12,6 +12,7 @@ for all blocks of one width at once.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -140,6 +141,8 @@ _ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2\x80[\x
 _SIMPLE = re.compile(r"\x20?\S+")
 #: Kinds of bytes: beyond ASCII, letter or digit, other mark, space, other ASCII white space.
 _ALNUM, _MARK, _BLANK = 1, 2, 3
+#: Flag beside the kind of bytes that may begin something unusual.
+_SUSPECT = 8
 _KIND = np.array([0 if b > 127 else 3 if b == 32 else 4 if 9 <= b <= 13 else 1 if chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 
 
@@ -150,27 +153,36 @@ class Encoder:
     after it unless it is a space, and between an ASCII letter or digit and a following ASCII mark.  A text with unusual
     white space or a token that the vocabulary adds to the model's is one piece.
 
+    What is remembered is bounded; when it is full, the pieces met most often since the last time stay, up to half of it.
+
     Pieces are looked up by fingerprint and then compared: by length and outer bytes, which are all bytes of pieces of up to 32, and
     longer ones byte by byte.  Should a fingerprint ever stand for two pieces, the texts of that chunk are encoded whole.
     """
 
+    #: Pieces joined to one text for the tokenizers library, whose cost for a text grows faster than its length.
+    joined = 64
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.whole = re.compile(b"|".join([_ODD_SPACE, *map(re.escape, added)]))
-        self.suspect = np.zeros(256, bool)
-        self.suspect[[*_ODD, *(x[0] for x in added)]] = True
-        self.added = [x.decode() for x in added]
+        self._heed([t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content])
+
+    def _heed(self, added: list[str]) -> None:
+        """Gets ready for texts, in which the added tokens may occur."""
+        self.added, tokens = added, [x.encode() for x in added]
+        self.whole = re.compile(b"|".join([_ODD_SPACE, *map(re.escape, tokens)]))
+        kind = _KIND.copy()
+        kind[sorted({*_ODD, *(x[0] for x in tokens)})] += _SUSPECT
+        self.kind = kind.tobytes()
         newline = self._flat(["\n"])
         self.newline = newline[0] if len(newline) == 1 else None
-        self._forget()
+        self._start()
 
     def _flat(self, texts: list[str]) -> np.ndarray:
         return np.array([i for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids], np.uint32)
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         # An open-addressing table that numbers pieces in order of appearance; number 0 is the end of a document.
         self.numbers = Int64Factorizer(CACHE_PIECES)
         self.numbers.factorize(np.array([END_ID], np.int64))
@@ -180,21 +192,42 @@ class Encoder:
         self.used = 1
         self.ids[0], self.length[0] = END_ID, 1  # slot 0 ends a document
         self.shape, self.inner = np.zeros((2, 1 << 16), np.uint64), np.zeros((2, 1 << 16), np.uint64)
-        self.bytes = np.zeros(1 << 16, np.int32)
+        self.bytes, self.met = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.code = np.zeros(1 << 16, np.int64)
+        self.code[0] = END_ID
         self.long: dict[int, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of the pieces with the next numbers."""
-        simple = [i for i, p in enumerate(pieces) if _SIMPLE.fullmatch(p) and not any(x in p for x in self.added)]
-        # A line feed between such pieces is always an id of its own, so they are encoded in one call and parted there.
-        parts = ["\n".join(pieces[i] for i in simple[a : a + 20_000]) for a in range(0, len(simple), 20_000)]
+    def _forget(self) -> None:
+        """Keeps the pieces met most often since the last time, up to half of what is remembered."""
+        met = self.met[1 : self.total]
+        least = max(2, int(np.partition(met, -(CACHE_PIECES // 2))[-(CACHE_PIECES // 2)]) + 1)
+        kept = np.concatenate(([0], 1 + np.flatnonzero(met >= least)))
+        self.numbers = Int64Factorizer(CACHE_PIECES)
+        self.numbers.factorize(self.code[kept])
+        self.total, size = len(kept), self.length[kept].astype(np.int64)
+        begin = np.cumsum(size) - size
+        self.used = int(size.sum())
+        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(self.begin[kept] - begin, size)]
+        self.begin[: self.total], self.length[: self.total] = begin, size
+        for x in (self.bytes, self.code, *self.shape, *self.inner):
+            x[: self.total] = x[kept]
+        self.met[:] = 0
+        self.long = {new: self.long[old] for new, old in enumerate(kept.tolist()) if old in self.long}
+
+    def _learn(self, pieces: list[bytes], plain: list[bool]) -> None:
+        """Ids of the pieces with the next numbers; plain ones are known to be simple."""
+        text = [None if known else p.decode() for p, known in zip(pieces, plain)]
+        simple = [i for i, p in enumerate(text) if p is None or _SIMPLE.fullmatch(p) and not any(x in p for x in self.added)]
+        # A line feed between such pieces is always an id of its own, so many are encoded in one call and parted there.
+        parts = [b"\n".join([pieces[i] for i in simple[a : a + self.joined]]).decode() for a in range(0, len(simple), self.joined)]
         gap = np.array([self.newline or 0], np.uint32)
-        joined = np.concatenate([x for p in parts for x in (gap, self._flat([p]))][1:]) if parts else gap[:0]
+        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        joined = np.concatenate([x for e in found for x in (gap, np.array(e.ids, np.uint32))][1:]) if parts else gap[:0]
         edge = np.flatnonzero(joined == self.newline)
         if self.newline is None or len(edge) != len(simple) - 1:
             simple, joined, edge = [], joined[:0], edge[:0]
         alone = sorted(set(range(len(pieces))) - set(simple))
-        found = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch([pieces[i].decode() for i in alone], add_special_tokens=False)]
         part = np.diff(np.concatenate(([-1], edge, [len(joined)]))) - 1 if simple else np.zeros(0, np.int64)
         order = np.array(simple + alone, np.int64)
         size = np.concatenate([part, np.fromiter(map(len, found), np.int64, len(found))]).astype(np.int64)
@@ -205,7 +238,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.total + count > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
-            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+            self.bytes, self.met, self.code = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bytes, self.met, self.code))
             self.shape, self.inner = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.shape, self.inner))
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[slot] = self.used + np.cumsum(size) - size
@@ -216,9 +249,11 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, each with the end id; ids of each document)."""
         n_docs, n = len(offsets) - 1, len(data)
+        raw = data.tobytes()
         cut = np.zeros(n + 1, bool)
+        flagged = np.frombuffer(raw.translate(self.kind), np.uint8)
+        kind, suspect = flagged & (_SUSPECT - 1), flagged >= _SUSPECT
         if n > 2:
-            kind = _KIND[data]
             alone = (kind[1:-1] >= _BLANK) & (kind[:-2] < _BLANK) & (kind[2:] < _BLANK)
             last = offsets[1:] - 1
             last = last[(last >= 1) & (last < n - 1)]
@@ -229,7 +264,7 @@ class Encoder:
             cut[1 : n - 1] = alone
             cut[2:n] |= alone & (kind[1:-1] > _BLANK)
             cut[1:n] |= (kind[1:] == _MARK) & (kind[:-1] == _ALNUM)
-            odd = np.unique(np.searchsorted(offsets, np.flatnonzero(self.suspect[data]), "right") - 1)
+            odd = np.unique(np.searchsorted(offsets, np.flatnonzero(suspect), "right") - 1)
             for d in odd.tolist():
                 if self.whole.search(data[offsets[d] : offsets[d + 1]]):
                     cut[offsets[d] : offsets[d + 1]] = False
@@ -244,7 +279,6 @@ class Encoder:
         # Numbers grow with each first appearance, so new pieces are where the running maximum rises.
         highest = np.maximum.accumulate(np.concatenate(([self.total - 1], slots)))
         new = np.flatnonzero(highest[1:] > highest[:-1])
-        raw = data.tobytes()
         bytes_at = np.ndarray(n + 1, "<u8", raw + bytes(8), strides=(1,))
         piece = end - start
         head, tail = bytes_at[start], bytes_at[np.maximum(start, end - 8)]
@@ -256,7 +290,11 @@ class Encoder:
         longest = long[piece[long] > 32]
         if len(new):
             first = self.total
-            self._learn([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            # Pieces are simple without a second look if nothing but their first byte is a space, which does not stand alone.
+            unusual = np.flatnonzero((kind > _BLANK) | (kind == _BLANK) & ~cut[:-1] | suspect)
+            plain = (np.searchsorted(unusual, start[new]) == np.searchsorted(unusual, end[new])) & ((kind[start[new]] != _BLANK) | (piece[new] > 1))
+            self._learn([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], plain.tolist())
+            self.code[first : self.total] = codes[new].view(np.int64)
             self.shape[:, first : self.total] = head[new], tail[new]
             self.bytes[first : self.total] = piece[new]
             at = np.flatnonzero(slots[long] >= first)
@@ -267,6 +305,7 @@ class Encoder:
         alike = alike and (self.inner[0][slots[long]] == second).all() and (self.inner[1][slots[long]] == third).all()
         if not alike or any(self.long[k] != raw[a:b] for k, a, b in zip(slots[longest].tolist(), start[longest].tolist(), end[longest].tolist())):
             return self._whole(raw, offsets)
+        self.met[: self.total] += np.bincount(slots, minlength=self.total)
         # Documents without bytes share the start of the next one; their only id is the end id.
         doc_first = np.searchsorted(start, offsets)
         slots = np.insert(slots, doc_first[1:], 0)
@@ -277,7 +316,6 @@ class Encoder:
         per_doc = np.diff(np.concatenate(([0], ends[closing])))
         return self.ids[gather], per_doc
 
-
     def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], add_special_tokens=False)
         ids = [np.append(np.array(e.ids, np.uint32), np.uint32(END_ID)) for e in found]
@@ -290,6 +328,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core of its own and no more
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 

@@ -103,3 +103,30 @@ def test_rows_of_one_id_are_spread(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).select("part").distinct().count() > 3
     got = sorted(K.read_segments(spark, str(tmp_path / "a")).collect(), key=lambda r: r["start"])
     assert len(got) == 400 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_common_pieces_outlive_forgetting(monkeypatch, enc):
+    monkeypatch.setattr(K, "CACHE_PIECES", 60)
+    e, rng, learned = K.Encoder(K.public_vocabulary()), random.Random(3), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda pieces, plain: (learned.extend(pieces), learn(pieces, plain)))
+    common = [" often", " met", " " + "long" * 20, "\u3000odd space", ","]
+    for k in range(60):
+        t = ["start" + "".join(x for w in (f" w{k}x{i}" for i in range(8)) for x in (w, rng.choice(common[:3]))) for _ in range(2)] + [common[3], ""]
+        ids, n = e.encode(*V.text_buffers(pa.array(t)))
+        want = direct(enc, t)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+    assert len(learned) > 5 * K.CACHE_PIECES and e.total < 2 * K.CACHE_PIECES
+    assert all(learned.count(x.encode()) == 1 for x in common[:4])
+
+
+def test_plain_pieces_are_simple(monkeypatch, enc):
+    e, rng, seen = K.Encoder(K.public_vocabulary()), random.Random(4), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda pieces, plain: (seen.extend(zip(pieces, plain)), learn(pieces, plain)))
+    alphabet = list(" \n\t\r  ab'sAé12.,<\u3000\u00a0\x1c\x1f\x85\u2028\u1680漢") + ["<|endoftext|>", "  "]
+    for _ in range(100):
+        e.encode(*V.text_buffers(pa.array(["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 12))) for _ in range(40)])))
+    simple = [bool(K._SIMPLE.fullmatch(p.decode())) and b"<|endoftext|>" not in p for p, _ in seen]
+    assert all(s for s, (_, known) in zip(simple, seen) if known)
+    assert sum(known for _, known in seen) > 100 and any(s and not known for s, (_, known) in zip(simple, seen))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from collections.abc import Iterator
 from pathlib import Path
 

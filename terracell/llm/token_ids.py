@@ -192,9 +192,7 @@ class Encoder:
         self.used = 1
         self.ids[0], self.length[0] = END_ID, 1  # slot 0 ends a document
         self.shape, self.inner = np.zeros((2, 1 << 16), np.uint64), np.zeros((2, 1 << 16), np.uint64)
-        self.bytes, self.met = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.code = np.zeros(1 << 16, np.int64)
-        self.code[0] = END_ID
+        self.bytes, self.met = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.long: dict[int, bytes] = {}
 
     def _forget(self) -> None:
@@ -202,14 +200,16 @@ class Encoder:
         met = self.met[1 : self.total]
         least = max(2, int(np.partition(met, -(CACHE_PIECES // 2))[-(CACHE_PIECES // 2)]) + 1)
         kept = np.concatenate(([0], 1 + np.flatnonzero(met >= least)))
+        codes = self.numbers.uniques.to_array()[kept]
+        self.numbers = None  # before there is another
         self.numbers = Int64Factorizer(CACHE_PIECES)
-        self.numbers.factorize(self.code[kept])
+        self.numbers.factorize(codes)
         self.total, size = len(kept), self.length[kept].astype(np.int64)
         begin = np.cumsum(size) - size
         self.used = int(size.sum())
         self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(self.begin[kept] - begin, size)]
         self.begin[: self.total], self.length[: self.total] = begin, size
-        for x in (self.bytes, self.code, *self.shape, *self.inner):
+        for x in (self.bytes, *self.shape, *self.inner):
             x[: self.total] = x[kept]
         self.met[:] = 0
         self.long = {new: self.long[old] for new, old in enumerate(kept.tolist()) if old in self.long}
@@ -221,8 +221,8 @@ class Encoder:
         # A line feed between such pieces is always an id of its own, so many are encoded in one call and parted there.
         parts = [b"\n".join([pieces[i] for i in simple[a : a + self.joined]]).decode() for a in range(0, len(simple), self.joined)]
         gap = np.array([self.newline or 0], np.uint32)
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        joined = np.concatenate([x for e in found for x in (gap, np.array(e.ids, np.uint32))][1:]) if parts else gap[:0]
+        calls = (self.tokenizer.encode_batch(parts[a : a + 256], add_special_tokens=False) for a in range(0, len(parts), 256))
+        joined = np.concatenate([x for found in calls for e in found for x in (gap, np.array(e.ids, np.uint32))][1:]) if parts else gap[:0]
         edge = np.flatnonzero(joined == self.newline)
         if self.newline is None or len(edge) != len(simple) - 1:
             simple, joined, edge = [], joined[:0], edge[:0]
@@ -238,7 +238,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.total + count > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.length, np.zeros_like(self.length)])
-            self.bytes, self.met, self.code = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bytes, self.met, self.code))
+            self.bytes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bytes, self.met))
             self.shape, self.inner = (np.concatenate([x, np.zeros_like(x)], axis=1) for x in (self.shape, self.inner))
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[slot] = self.used + np.cumsum(size) - size
@@ -294,7 +294,6 @@ class Encoder:
             unusual = np.flatnonzero((kind > _BLANK) | (kind == _BLANK) & ~cut[:-1] | suspect)
             plain = (np.searchsorted(unusual, start[new]) == np.searchsorted(unusual, end[new])) & ((kind[start[new]] != _BLANK) | (piece[new] > 1))
             self._learn([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], plain.tolist())
-            self.code[first : self.total] = codes[new].view(np.int64)
             self.shape[:, first : self.total] = head[new], tail[new]
             self.bytes[first : self.total] = piece[new]
             at = np.flatnonzero(slots[long] >= first)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as P
 from ..functions import projections as J
@@ -16,6 +20,8 @@ from .overlay import repair
 
 #: Insets of a map (fixed value).
 SLOTS = 4
+#: Envelopes that a strip of a key has on average when :func:`dissolve` looks for overlaps.
+STRIP_PARTS = 4096
 
 
 def mask_cells(features: DataFrame, grid: GridSpec, geometry: str = "geometry", bin_cells: int = 64, carry: str | None = None) -> DataFrame:
@@ -169,16 +175,60 @@ def rings_to_polygons(rings: list[list[tuple[float, float]]]) -> list[list[list[
     return polys
 
 
-def dissolve(features: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
-    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_coverage` and :func:`terracell.operators.overlay.union`."""
-    parts = features.where(P.is_usable(F.col(geometry))).groupBy(key).agg(F.flatten(F.collect_list(F.col(geometry)["polys"])).alias("polys"))
-    boxes = F.transform("polys", lambda p: P.bounds(F.array(p)))
-    meet = lambda a, b: (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"]) & (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"])
-    clash = F.exists(F.transform(boxes, lambda b, i: F.exists(F.slice(boxes, i + 2, F.size(boxes)), lambda c: meet(b, c))), lambda x: x)
+def dissolve(features: DataFrame, key: str, geometry: str = "geometry", strip_parts: int = STRIP_PARTS) -> DataFrame:
+    """One multipolygon per key from disjoint parts; parts whose envelopes overlap raise, see :func:`dissolve_coverage` and :func:`terracell.operators.overlay.union`.
+
+    Envelopes are dealt to strips of rows of their key, of ``strip_parts`` envelopes on average, and each strip is swept once: see :func:`overlapping`.
+    A key has no more strips than leave its envelopes at about two strips each.
+    """
+    usable = features.where(P.is_usable(F.col(geometry))).select(F.struct(F.col(key)).alias("_g"), F.col(geometry)["polys"].alias("polys"))
+    parts = usable.groupBy("_g").agg(F.flatten(F.collect_list("polys")).alias("polys"))
+    boxes = usable.select("_g", F.explode("polys").alias("_p")).select("_g", P.bounds(F.array("_p")).alias("_b")).select("_g", "_b.*")
+    boxes = boxes.where("xmin is not null and ymin is not null")
+    tall, mean = F.max("ymax") - F.min("ymin"), F.sum(F.col("ymax") - F.col("ymin"))
+    strips = boxes.groupBy("_g").agg(F.count("*").alias("n"), F.min("ymin").alias("_y0"), tall.alias("_tall"), mean.alias("_sum"))
+    most = F.floor(F.least(F.col("n") / strip_parts, F.col("n") * F.try_divide(F.col("_tall"), F.col("_sum"))))
+    count = F.when((F.col("_tall") > 0) & (F.col("_tall") < math.inf) & (most > 1), most).otherwise(F.lit(1).cast("long"))
+    strips = strips.select("_g", "_y0", "_tall", count.alias("_count"))
+    row = lambda y: F.when(F.col("_count") == 1, F.lit(0).cast("long")).otherwise(F.floor((F.col(y) - F.col("_y0")) / F.col("_tall") * F.col("_count")))
+    dealt = boxes.join(strips, "_g").select("_g", F.explode(F.sequence(row("ymin"), row("ymax"))).alias("_row"), "xmin", "ymin", "xmax", "ymax")
+
+    def sweep(t: pa.Table) -> pa.Table:
+        return t.select(["_g"]).slice(0, int(overlapping(*[t.column(k).to_numpy() for k in ("xmin", "ymin", "xmax", "ymax")])))
+
+    clashes = dealt.groupBy("_g", "_row").applyInArrow(sweep, StructType([usable.schema["_g"]])).distinct()
+    joined = parts.join(clashes.withColumn("_clash", F.lit(True)), "_g", "left")
     kind = F.when(F.size("polys") == 1, F.lit("Polygon")).otherwise(F.lit("MultiPolygon"))
     shape = F.struct(kind.alias("type"), F.col("polys").alias("polys"))
-    failed = F.raise_error(F.concat(F.lit("parts overlap for key "), F.col(key).cast("string"))).cast("struct<type:string,polys:array<array<array<struct<x:double,y:double>>>>>")
-    return parts.select(key, F.when(clash, failed).otherwise(shape).alias(geometry))
+    failed = F.raise_error(F.concat(F.lit("parts overlap for key "), F.col("_g")[key].cast("string"))).cast("struct<type:string,polys:array<array<array<struct<x:double,y:double>>>>>")
+    return joined.select(F.col("_g")[key].alias(key), F.when(F.col("_clash"), failed).otherwise(shape).alias(geometry))
+
+
+def overlapping(xmin: np.ndarray, ymin: np.ndarray, xmax: np.ndarray, ymax: np.ndarray) -> bool:
+    """Do two of these boxes overlap; borders may touch.
+
+    A line sweeps over x and holds the boxes it crosses, in order of y.  As long as none overlap, a new one can only meet its neighbours there.
+    """
+    # Ranks, as NaN is beyond all numbers.
+    ranked = lambda low, high: np.split(np.unique(np.concatenate([low, high]), return_inverse=True)[1], 2)
+    (x0, x1), (y0, y1) = ranked(xmin, xmax), ranked(ymin, ymax)
+    boxes = list(zip(y0.tolist(), y1.tolist()))
+    flat, wide = np.flatnonzero(x0 == x1), np.flatnonzero(x0 < x1)
+    # Where several begin and end at one x, boxes end first; those without width meet what was there before, and are not held.
+    box, kind = np.concatenate([wide, flat, wide]), np.repeat([0, 1, 2], [len(wide), len(flat), len(wide)])
+    order = np.lexsort((kind, np.concatenate([x1[wide], x0[flat], x0[wide]])))
+    held: list[tuple[int, int]] = []
+    for k, b in zip(kind[order].tolist(), box[order].tolist()):
+        low, high = boxes[b]
+        i = bisect.bisect_left(held, (low, high))
+        if k == 0:
+            del held[i]
+            continue
+        if any(p < high and low < q for p, q in held[max(i - 1, 0) : i + 1]):
+            return True
+        if k == 2:
+            held.insert(i, (low, high))
+    return False
 
 
 def total_bounds(features: DataFrame, geometry: str = "geometry") -> DataFrame:

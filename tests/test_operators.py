@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terracell.functions import geometry as P
 from terracell.model import VAR_TYPES, GridSpec
 from terracell.operators import climate, grid, keys, reproject, resample, temporal, vector
 from terracell.plans import align, curate, emissions, guards, indicator_map
@@ -165,6 +168,48 @@ def test_dissolve(spark):
         vector.dissolve(spark.createDataFrame([("a", poly(BOX(0, 0, 2))), ("a", poly(BOX(1, 1, 2)))], SHAPES), "k").collect()
 
 
+def test_sweep_finds_overlaps():
+    rng = np.random.default_rng(1)
+    found = []
+    for _ in range(3000):
+        n = int(rng.integers(1, 7))
+        low = rng.integers(0, 9, (2, n)).astype(float)
+        high = low + rng.integers(0, 4, (2, n))
+        high[rng.random((2, n)) < 0.02] = math.nan
+        less = lambda a, b: a < b or (math.isnan(b) and not math.isnan(a))
+        pairs = ((i, j) for i in range(n) for j in range(i))
+        want = any(all(less(low[d, i], high[d, j]) and less(low[d, j], high[d, i]) for d in (0, 1)) for i, j in pairs)
+        assert vector.overlapping(low[0], low[1], high[0], high[1]) == want, (low, high)
+        found.append(want)
+    assert 500 < sum(found) < 2500
+
+
+def _boxes(spark, rows):
+    d = spark.createDataFrame(rows, "k int, x double, y double, w double, h double")
+    return d.select("k", F.struct(F.lit("Polygon").alias("type"), P.rectangle(F.col("x"), F.col("y"), F.expr("x + w"), F.expr("y + h")).alias("polys")).alias("geometry"))
+
+
+def test_dissolve_in_strips(spark):
+    tiles = [(k, float(x), float(y), 1.0, 1.0) for k in (1, None) for x in range(12) for y in range(25) if (x, y) != (5, 20)]
+    columns = [(2, float(x), 0.0, 1.0, 100.0) for x in range(60)]
+    size = lambda rows: {r["k"]: r["n"] for r in vector.dissolve(_boxes(spark, rows), "k", strip_parts=7).select("k", F.size("geometry.polys").alias("n")).collect()}
+    assert size([*tiles, *columns]) == {1: 299, None: 299, 2: 60}
+    assert size([*tiles, *columns, (1, 5.0, 20.0, 1.0, 1.0), (3, 0.0, 0.0, 20.0, 20.0)]) == {1: 300, None: 299, 2: 60, 3: 1}
+    for extra in [(1, 5.0, 20.0, 1.0, 1.125), (1, 5.5, 19.0, 0.0, 2.0), (2, 30.5, 99.0, 0.25, 5.0), (2, -5.0, 50.0, 200.0, 0.0), (2, 3.0, 0.0, 1.0, 100.0)]:
+        with pytest.raises(Exception, match=f"parts overlap for key {extra[0]}"):
+            size([*tiles, *columns, extra])
+    with pytest.raises(Exception):
+        size([*tiles, (None, 5.0, 20.0, 1.5, 1.0)])
+
+
+def test_dissolve_of_many_parts(spark):
+    k = F.col("id").cast("double")
+    f = spark.range(4000).select(F.lit(1).alias("k"), F.struct(F.lit("Polygon").alias("type"), P.rectangle(k % 60, F.floor(k / 60), k % 60 + 1, F.floor(k / 60) + 1).alias("polys")).alias("geometry"))
+    began = time.perf_counter()
+    assert vector.dissolve(f, "k").select(F.size("geometry.polys")).first()[0] == 4000
+    assert time.perf_counter() - began < 60  # all pairs of envelopes take minutes
+
+
 def test_mask_is_idempotent(spark):
     f = spark.createDataFrame([("a", poly(BOX(1, 1, 2)))], SHAPES)
     g = square(5, 1.0)

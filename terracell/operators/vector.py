@@ -6,16 +6,17 @@ import bisect
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import geometry as P
 from ..functions import projections as J
-from ..model import GridSpec
+from ..functions import stitching
+from ..model import GEOMETRY, GridSpec
 from . import grid as G
+from .overlay import _column as shapes
 from .overlay import repair
 
 #: Insets of a map (fixed value).
@@ -111,8 +112,8 @@ def dissolve_coverage(features: DataFrame, keys: list[str], geometry: str = "geo
     """One geometry per combination of ``keys`` from parts that do not overlap: borders that two parts share go, whatever their envelopes.
 
     Edges are directed so that the inside is on their left; an edge that stands in both directions is a shared border.  Edges are
-    counted by Spark, and what is left of each key is stitched into rings by one task.  A part that is there twice counts once.  Parts
-    that overlap, or whose common border has other vertices on each side, keep those edges; the area is that of all parts.
+    counted by Spark, and what is left of each key is stitched into rings by one task, see :func:`terracell.functions.stitching.polygons`.  A part that is there
+    twice counts once.  Parts that overlap, or whose common border has other vertices on each side, keep those edges; the area is that of all parts.
     """
     polys = features.where(P.is_usable(F.col(geometry))).select(*keys, F.explode(F.col(geometry)["polys"]).alias("_rings")).distinct()
     rings = polys.select(*keys, F.posexplode("_rings").alias("_i", "_ring")).where(F.size("_ring") > 3)
@@ -124,55 +125,12 @@ def dissolve_coverage(features: DataFrame, keys: list[str], geometry: str = "geo
     left = lone.where("n <> 0").select(*keys, F.expr("if(n > 0, a, b)").alias("a"), F.expr("if(n > 0, b, a)").alias("b"), F.abs("n").alias("n"))
     left = left.select(*keys, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), "n")
 
-    def stitch(part: pd.DataFrame) -> pd.DataFrame:
-        polys = rings_to_polygons(stitched([((a, b), (c, d)) for a, b, c, d, n in part[["x0", "y0", "x1", "y1", "n"]].itertuples(index=False) for _ in range(n)]))
-        shape = {"type": "Polygon" if len(polys) == 1 else "MultiPolygon", "polys": [[[{"x": x, "y": y} for x, y in r] for r in p] for p in polys]}
-        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, geometry: [shape]})
-
-    types = ", ".join(f"`{k}` {features.schema[k].dataType.simpleString()}" for k in keys)
-    return left.groupBy(*keys).applyInPandas(stitch, f"{types}, `{geometry}` struct<type:string,polys:array<array<array<struct<x:double,y:double>>>>>")
-
-
-def stitched(edges: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed edges of which as many leave each point as reach it; a ring passes no point twice."""
-    out: dict[tuple[float, float], list] = {}
-    for a, b in sorted(edges, reverse=True):
-        out.setdefault(a, []).append(b)
-    rings = []
-    for start in sorted(out):
-        while out[start]:
-            path, at = [start], {start: 0}
-            while out[path[-1]]:
-                p = out[path[-1]].pop()
-                if p in at:
-                    rings.append([*path[at[p] :], p])
-                    for q in path[at[p] + 1 :]:
-                        del at[q]
-                    del path[at[p] + 1 :]
-                else:
-                    at[p] = len(path)
-                    path.append(p)
-    return rings
-
-
-def rings_to_polygons(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
-    """Polygons of counterclockwise shells, each with the clockwise rings of which it is the smallest shell around."""
-    area = lambda r: sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(r, r[1:]))
-
-    def around(shell: list, hole: list) -> bool:
-        # A point of the hole that is no corner of the shell; corners may touch.
-        corners = set(shell)
-        x, y = next((p for p in hole if p not in corners), ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2))
-        odd = False
-        for (x0, y0), (x1, y1) in zip(shell, shell[1:]):
-            if (y0 > y) != (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0):
-                odd = not odd
-        return odd
-
-    polys = [[r] for r in sorted((r for r in rings if area(r) > 0), key=area)]
-    for hole in (r for r in rings if area(r) < 0):
-        next((p for p in polys if area(p[0]) > -area(hole) and around(p[0], hole)), polys[-1] if polys else []).append(hole)
-    return polys
+    def stitch(part: pa.Table) -> pa.Table:
+        polys = stitching.polygons(*[np.repeat(part.column(k).to_numpy(), part.column("n").to_numpy()) for k in ("x0", "y0", "x1", "y1")])
+        shape = shapes([polys]) if polys else pa.array([{"type": "MultiPolygon", "polys": []}], shapes([]).type)
+        return part.select(keys).slice(0, 1).append_column(geometry, shape)
+
+    return left.groupBy(*keys).applyInArrow(stitch, StructType([*(left.schema[k] for k in keys), StructField(geometry, GEOMETRY)]))
 
 
 def dissolve(features: DataFrame, key: str, geometry: str = "geometry", strip_parts: int = STRIP_PARTS) -> DataFrame:

@@ -35,6 +35,8 @@ def rings(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> Rin
 
     Where several edges leave a point each goes on next to its inside, so parts that only touch become rings of their own.
     """
+    if not all(np.isfinite(v).all() for v in (ax, ay, bx, by)):
+        raise ValueError("a coordinate is no number")
     order = np.lexsort((by, bx, ay, ax))
     ax, ay, bx, by = (v[order] + 0.0 for v in (ax, ay, bx, by))
     n = len(ax)

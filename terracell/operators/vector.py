@@ -119,11 +119,14 @@ def dissolve_coverage(features: DataFrame, keys: list[str], geometry: str = "geo
     rings = polys.select(*keys, F.posexplode("_rings").alias("_i", "_ring")).where(F.size("_ring") > 3)
     # A shell runs counterclockwise and a hole clockwise.
     turned = F.when((P.signed_area(F.col("_ring")) > 0) == (F.col("_i") == 0), F.col("_ring")).otherwise(F.reverse("_ring"))
-    edges = rings.select(*keys, F.explode(P.edges(turned)).alias("_e")).where("_e.a <> _e.b")
-    ahead = F.col("_e.a") < F.col("_e.b")
-    lone = edges.groupBy(*keys, F.when(ahead, F.col("_e.a")).otherwise(F.col("_e.b")).alias("a"), F.when(ahead, F.col("_e.b")).otherwise(F.col("_e.a")).alias("b")).agg(F.sum(F.when(ahead, 1).otherwise(-1)).alias("n"))
-    left = lone.where("n <> 0").select(*keys, F.expr("if(n > 0, a, b)").alias("a"), F.expr("if(n > 0, b, a)").alias("b"), F.abs("n").alias("n"))
-    left = left.select(*keys, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), "n")
+    corners = rings.select(*keys, turned.alias("_ring")).select(*keys, "_ring", F.explode(F.sequence(F.lit(1), F.size("_ring") - 1)).alias("_i"))
+    place = lambda i, k: F.get(F.col("_ring"), F.col("_i") + i)[k]
+    edges = corners.select(*keys, place(-1, "x").alias("x0"), place(-1, "y").alias("y0"), place(0, "x").alias("x1"), place(0, "y").alias("y1"))
+    a, b = F.struct("x0", "y0"), F.struct("x1", "y1")
+    pick = lambda first, p, q: F.when(first, F.col(p)).otherwise(F.col(q)).alias(p)
+    along = lambda first, n: [*keys, pick(first, "x0", "x1"), pick(first, "y0", "y1"), pick(first, "x1", "x0"), pick(first, "y1", "y0"), n.alias("n")]
+    lone = edges.where(a != b).select(*along(a < b, F.when(a < b, 1).otherwise(-1))).groupBy(*keys, "x0", "y0", "x1", "y1").agg(F.sum("n").alias("n"))
+    left = lone.where("n <> 0").select(*along(F.col("n") > 0, F.abs("n")))
 
     def stitch(part: pa.Table) -> pa.Table:
         polys = stitching.polygons(*[np.repeat(part.column(k).to_numpy(), part.column("n").to_numpy()) for k in ("x0", "y0", "x1", "y1")])

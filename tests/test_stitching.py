@@ -79,6 +79,8 @@ def test_overlapping_rings_keep_their_area():
 def test_open_rings_raise():
     with pytest.raises(ValueError, match="not closed"):
         stitching.polygons(*np.array([[0, 0, 1, 0], [1, 0, 1, 1]], float).T)
+    with pytest.raises(ValueError, match="no number"):
+        stitching.polygons(*np.array([[0, 0, 1, 0], [1, 0, np.nan, 1], [np.nan, 1, 0, 0]], float).T)
 
 
 def test_coverage_of_many_holes(spark):
